@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import nearest_time
+from quillon.llm import byte_bpe, mixing, nearest_time
 from quillon.plans.data_problems import PAIR
 from quillon.sources.tables import table
 
@@ -13,7 +13,27 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_time.quotes_at_bars(table(spark, sf_dir, "quotes"), table(spark, sf_dir, "prices"), table(spark, sf_dir, "timeframes")).select("quote_id", "line_id")
 
 
-QUERIES = {"p4_found": p4_found}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.token_ids(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = mixing.source_sizes(mixing.sized(table(spark, sf_dir, "documents")))
+    return mixing.allocation(sizes, table(spark, sf_dir, "mix_targets")).where("short").select("source")
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = mixing.sized(table(spark, sf_dir, "documents"))
+    return mixing.mixture(sizes, mixing.allocation(mixing.source_sizes(sizes), table(spark, sf_dir, "mix_targets")))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = mixing.sized(table(spark, sf_dir, "documents"))
+    budget = mixing.allocation(mixing.source_sizes(sizes), table(spark, sf_dir, "mix_targets"))
+    return mixing.reached(budget, mixing.mixture(sizes, budget))
+
+
+QUERIES = {"p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 ORACLE = {
     "p4_found": f"""WITH q AS (SELECT quote_id, root, {PAIR} AS pair, tf, epoch_us(quote_time) AS at FROM quotes WHERE quote_time IS NOT NULL),
