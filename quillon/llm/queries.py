@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import byte_bpe, mixing, nearest_time
+from quillon.llm import byte_bpe, mixing, nearest_time, residue
 from quillon.plans.data_problems import PAIR
 from quillon.sources.tables import table
 
@@ -33,7 +33,20 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.reached(budget, mixing.mixture(sizes, budget))
 
 
-QUERIES = {"p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents"), ["doc_id"]).where("residue").select("doc_id")
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the documents without residue."""
+    return residue.residue(table(spark, sf_dir, "documents"), ["doc_id", "source", "n_chars"]).where("NOT residue").select("doc_id", "source", "n_chars")
+
+
+def p8_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.validation(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_clean": p8_clean, "p8_validation": p8_validation}
 
 ORACLE = {
     "p4_found": f"""WITH q AS (SELECT quote_id, root, {PAIR} AS pair, tf, epoch_us(quote_time) AS at FROM quotes WHERE quote_time IS NOT NULL),
