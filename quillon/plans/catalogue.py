@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillon.plans import data_problems
+from quillon.plans import data_problems, indicators
 
 FLAGSHIP = "p1_found"
 
 
 def modules() -> list:
-    return [data_problems]
+    return [data_problems, indicators]
