@@ -80,24 +80,88 @@ def macd(df: DataFrame, short: int = 12, long: int = 26, signal: int = 9) -> Dat
     return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 
-def wilder(df: DataFrame, n: int = 14) -> DataFrame:
-    """rsi, atr, adx, plus_di and minus_di by Wilder's averages (alpha 1/n)."""
+def _gains(df: DataFrame) -> DataFrame:
+    move = F.col("close") - F.lag("close").over(series_window())
+    return df.withColumns({"_gain": F.when(move > 0, move).when(move.isNotNull(), 0.0), "_loss": F.when(move < 0, -move).when(move.isNotNull(), 0.0)})
+
+
+def rsi(df: DataFrame, n: int = 14) -> DataFrame:
+    df = exponential(_gains(df), {"_ag": ("_gain", 1 / n, n), "_al": ("_loss", 1 / n, n)})
+    value = F.when(F.col("_ag").isNull(), None).when(F.col("_al") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_ag") / F.nullif("_al", F.lit(0.0))))
+    return df.withColumn("rsi", value).drop("_gain", "_loss", "_ag", "_al")
+
+
+def atr(df: DataFrame, n: int = 14) -> DataFrame:
+    return exponential(df.withColumn("_tr", true_range(True)), {"atr": ("_tr", 1 / n, n)}).drop("_tr")
+
+
+def adx(df: DataFrame, n: int = 14) -> DataFrame:
+    """adx, plus_di and minus_di by Wilder's averages (alpha 1/n)."""
     w = series_window()
-    move = F.col("close") - F.lag("close").over(w)
     up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
     df = df.withColumns({
-        "_gain": F.greatest(move, F.lit(0.0)) + move * 0, "_loss": F.greatest(-move, F.lit(0.0)) + move * 0, "_tr": true_range(True), "_tr1": true_range(False),
-        "_pdm": F.when(up.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(0.0)), "_mdm": F.when(up.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(0.0)),
+        "_tr": true_range(False), "_pdm": F.when(up.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(0.0)),
+        "_mdm": F.when(up.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(0.0)),
     })
-    a = 1 / n
-    df = exponential(df, {"_ag": ("_gain", a, n), "_al": ("_loss", a, n), "atr": ("_tr", a, n), "_at": ("_tr1", a, n), "_ap": ("_pdm", a, n), "_am": ("_mdm", a, n)})
-    rsi = F.when(F.col("_ag").isNull(), None).when(F.col("_al") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_ag") / F.nullif("_al", F.lit(0.0))))
-    plus, minus = 100 * F.col("_ap") / F.nullif("_at", F.lit(0.0)), 100 * F.col("_am") / F.nullif("_at", F.lit(0.0))
-    df = df.withColumns({"rsi": rsi, "plus_di": plus, "minus_di": minus})
+    df = exponential(df, {"_at": ("_tr", 1 / n, n), "_ap": ("_pdm", 1 / n, n), "_am": ("_mdm", 1 / n, n)})
+    df = df.withColumns({"plus_di": 100 * F.col("_ap") / F.nullif("_at", F.lit(0.0)), "minus_di": 100 * F.col("_am") / F.nullif("_at", F.lit(0.0))})
     total = F.col("plus_di") + F.col("minus_di")
     df = df.withColumn("_dx", F.when(total > 0, 100 * F.abs(F.col("plus_di") - F.col("minus_di")) / F.nullif(total, F.lit(0.0))))
-    df = exponential(df, {"adx": ("_dx", a, n)})
-    return df.drop("_gain", "_loss", "_tr", "_tr1", "_pdm", "_mdm", "_ag", "_al", "_at", "_ap", "_am", "_dx")
+    return exponential(df, {"adx": ("_dx", 1 / n, n)}).drop("_tr", "_pdm", "_mdm", "_at", "_ap", "_am", "_dx")
+
+
+def side_by_side(values: np.ndarray, group: np.ndarray, alpha: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Exponential averages of several columns (rows of ``values``) for all groups at once, NaN where not known."""
+    first, length = bounds(group)
+    order = np.argsort(-length, kind="stable")
+    first, length = first[order], length[order]
+    alive = np.searchsorted(-length, -np.arange(1, int(length.max()) + 1), side="right")
+    out = np.full(values.shape, np.nan)
+    state, seen, a = np.full((len(alpha), len(first)), np.nan), np.zeros((len(alpha), len(first)), dtype=np.int64), alpha[:, None]
+    for t, k in enumerate(alive):
+        state, seen = state[:, :k], seen[:, :k]
+        x = values[:, first[:k] + t]
+        known = ~np.isnan(x)
+        state = np.where(known, np.where(np.isnan(state), x, a * x + (1 - a) * state), state)
+        seen = seen + known
+        out[:, first[:k] + t] = np.where(known & (seen >= least[:, None]), state, np.nan)
+    return out
+
+
+def recursions(df: DataFrame, n: int = 14, step: float = 0.02, most: float = 0.2) -> DataFrame:
+    """All recursive indicators in one pass: macd, macd_signal, macd_hist, rsi, atr, adx, plus_di, minus_di, psar, psar_trend.
+
+    For frames that hold the parabolic stop, whose state machine walks a series in one task anyway; where only
+    averages are wanted, ``exponential`` spreads a series over blocks. Series run side by side in numpy.
+    """
+    names = ["macd", "macd_signal", "macd_hist", "rsi", "atr", "adx", "plus_di", "minus_di"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in whole_groups(batches, SERIES):
+            high, low, close = (table.column(c).to_numpy() for c in ("high", "low", "close"))
+            before = lambda x: np.where(np.r_[True, group[1:] != group[:-1]], np.nan, np.r_[np.nan, x[:-1]])
+            move, up, down, was = close - before(close), high - before(high), before(low) - low, before(close)
+            tr = np.maximum(high - low, np.maximum(np.abs(high - was), np.abs(low - was)))
+            gone = np.isnan(move)
+            mask = lambda x: np.where(gone, np.nan, x)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                pdm, mdm = mask(np.where((up > down) & (up > 0), up, 0.0)), mask(np.where((down > up) & (down > 0), down, 0.0))
+                sums = np.vstack([close, close, mask(np.maximum(move, 0)), mask(np.maximum(-move, 0)), np.where(gone, high - low, tr), mask(tr), pdm, mdm])
+                a = 1 / n
+                short, long, gain, loss, atr_, at, ap, am = side_by_side(sums, group, np.array([2 / 13, 2 / 27, a, a, a, a, a, a]), np.array([12, 26, n, n, n, n, n, n]))
+                line, plus, minus = short - long, 100 * ap / np.where(at > 0, at, np.nan), 100 * am / np.where(at > 0, at, np.nan)
+                dx = 100 * np.abs(plus - minus) / np.where(plus + minus > 0, plus + minus, np.nan)
+                signal, adx_ = side_by_side(np.vstack([line, dx]), group, np.array([0.2, a]), np.array([9, n]))
+                rsi_ = np.where(loss == 0, 100.0, 100 - 100 / (1 + gain / np.where(loss == 0, 1.0, loss)))
+            stop, trend = stop_and_reverse(high, low, close, group, step, most)
+            out = table
+            for name, x in zip(names, (line, signal, line - signal, rsi_, atr_, adx_, plus, minus)):
+                out = out.append_column(name, pa.array(x, from_pandas=True))
+            yield from out.append_column("psar", pa.array(stop, from_pandas=True)).append_column("psar_trend", pa.array(trend)).to_batches()
+
+    rows = in_order(df.select(*SERIES, "bar_time", "open", "high", "low", "close"), SERIES, "bar_time")
+    fields = ", ".join(f"{c} double" for c in ("open", "high", "low", "close", *names, "psar"))
+    return rows.mapInArrow(run, f"root string, pair string, tf string, bar_time timestamp_ntz, {fields}, psar_trend int")
 
 
 def stop_and_reverse(high: np.ndarray, low: np.ndarray, close: np.ndarray, group: np.ndarray, step: float, most: float) -> tuple[np.ndarray, np.ndarray]:

@@ -32,19 +32,29 @@ def previous_day_pivots(df: DataFrame) -> DataFrame:
     return df.join(before, [*SERIES, "day"])
 
 
+def pivots_within(df: DataFrame) -> DataFrame:
+    """The same over sorted series, without joining: a day's figures are complete at its last bar."""
+    w = series_window()
+    so_far = Window.partitionBy(*SERIES, "day").orderBy("bar_time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    day = F.struct(F.max("high").over(so_far).alias("h"), F.min("low").over(so_far).alias("l"), F.col("close").alias("c"))
+    df = df.withColumn("_day", day)
+    start = F.col("day") != F.lag("day").over(w)
+    df = df.withColumn("_before", F.when(start, F.lag("_day").over(w)))
+    df = df.withColumn("_before", F.last("_before", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return df.withColumns(V.pivots(F.col("_before.h"), F.col("_before.l"), F.col("_before.c"))).drop("_day", "_before")
+
+
 def indicator_frame(bars: DataFrame) -> DataFrame:
     """Every indicator that the signals read, at each bar from that bar and earlier ones.
 
-    Recursions come first (they repartition by series and block); all trailing windows then share one sort by
-    series. The pivots are those of the day before the bar's London trading day, or of the daily bar before.
+    All recursions run in one pass over the sorted series; all trailing windows then share one sort. The pivots are those of the day before the bar's London trading day, or of the daily bar before.
     """
-    df = R.wilder(R.macd(bars))
-    df = df.join(R.parabolic(bars), [*SERIES, "bar_time"])
+    df = R.recursions(bars)
     local = F.when(F.col("tf") == "1d", F.col("bar_time")).otherwise(in_zone(F.col("bar_time"), LONDON))
     df = df.withColumn("day", F.when(F.col("tf") == "1d", F.to_date("bar_time")).otherwise(trading_day(local)))
-    df = previous_day_pivots(df).drop("day").withColumn("typical", (F.col("high") + F.col("low") + F.col("close")) / 3)
+    df = df.withColumn("typical", (F.col("high") + F.col("low") + F.col("close")) / 3)
     df = df.withColumns({**{f"sma{n}": V.sma("close", n) for n in (20, 75, 200)}, **V.bollinger("close"), **V.ichimoku(), **V.donchian(), "williams_r": V.williams_r(), "cci": V.cci(), "roc12": V.roc(12)})
-    df = stochastic(df)
+    df = pivots_within(stochastic(df)).drop("day")
     w = series_window()
     a, b = F.lag("span_a", CLOUD_SHIFT).over(w), F.lag("span_b", CLOUD_SHIFT).over(w)
     known = a.isNotNull() & b.isNotNull()

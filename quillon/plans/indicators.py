@@ -199,18 +199,18 @@ UNION ALL SELECT root, pair, tf, bar_time, rn, g, s, atr, t, p, m, CASE WHEN dx
 
 @query("rsi", WILDER_SQL + f"SELECT {KEY}, round(CASE WHEN rn < 15 THEN NULL WHEN s = 0 THEN 100 ELSE 100 - 100 / (1 + g / s) END, 6) AS rsi FROM r")
 def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(R.wilder(bars_of(spark, sf_dir)), ["rsi"])
+    return shown(R.rsi(bars_of(spark, sf_dir)), ["rsi"])
 
 
 @query("atr", WILDER_SQL + f"SELECT {KEY}, round(CASE WHEN rn >= 14 THEN atr END, 6) AS atr FROM r")
 def atr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(R.wilder(bars_of(spark, sf_dir)), ["atr"])
+    return shown(R.atr(bars_of(spark, sf_dir)), ["atr"])
 
 
 @query("adx", WILDER_SQL + f"""SELECT {KEY}, round(CASE WHEN rn >= 15 AND t > 0 THEN 100 * p / t END, 5) AS plus_di, round(CASE WHEN rn >= 15 AND t > 0 THEN 100 * m / t END, 5) AS minus_di,
 round(CASE WHEN nd >= 14 AND rn >= 15 AND t > 0 AND p + m > 0 THEN adx END, 5) AS adx FROM r""")
 def adx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(R.wilder(bars_of(spark, sf_dir)), ["plus_di", "minus_di", "adx"], 5)
+    return shown(R.adx(bars_of(spark, sf_dir)), ["plus_di", "minus_di", "adx"], 5)
 
 
 @query("parabolic_sar")
