@@ -1,0 +1,60 @@
+"""Time-of-day statistics of moves: slots, shrinkage, relative variance, expected drift."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window, functions as F
+
+from quillon.operators.bars import NEW_YORK, in_zone, market_open, series_window
+from quillon.sources.tables import SERIES
+
+
+def slotted(moves: DataFrame, timeframes: DataFrame) -> DataFrame:
+    """Intraday moves with their New York slots: ``slot`` (weekday and time) and ``tod`` (time of day).
+
+    Bars after a pause carry its gap and bars of a closed market carry noise: both are left out.
+    """
+    minutes = F.broadcast(timeframes.where(F.col("minutes") > 0).select("tf", "minutes").limit(1000))
+    m = F.col("minutes").cast("long")
+    close_by = F.timestamp_diff("MICROSECOND", F.lag("bar_time").over(series_window()), F.col("bar_time")) <= m * 60_000_000
+    used = moves.join(minutes, "tf").withColumn("_near", close_by).where(F.col("x").isNotNull() & F.col("_near") & market_open(F.col("bar_time")))
+    local = in_zone(F.col("bar_time"), NEW_YORK)
+    tod = F.floor((F.hour(local) * 60 + F.minute(local)) / m).cast("long")
+    per_day = F.floor(1440 / m).cast("long")
+    return used.withColumns({"tod": tod, "slot": F.weekday(F.to_date(local)).cast("long") * per_day + tod, "per_day": per_day}).drop("_near")
+
+
+def slot_stats(used: DataFrame, slot: str, least: int) -> DataFrame:
+    """n, mean and t = mean / sd * sqrt(n) of each slot; 0 under ``least`` bars or without spread. One partial aggregate."""
+    a = used.groupBy(*SERIES, slot).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
+    enough = F.col("n") >= least
+    t = F.when(enough & (F.col("sd") > 0), F.col("mean") / F.nullif("sd", F.lit(0.0)) * F.sqrt("n")).otherwise(0.0)
+    return a.select(*SERIES, slot, "n", F.when(enough, F.col("mean")).otherwise(0.0).alias("mean"), t.alias("t"))
+
+
+def shrink(stats: DataFrame, slot: str) -> DataFrame:
+    """Factor tau2 / (tau2 + se2) of each usable slot, tau2 the spread of the true means in its series."""
+    w = Window.partitionBy(*SERIES)
+    usable = stats.where(F.col("t") != 0).withColumn("se", F.abs(F.col("mean") / F.col("t")))
+    tau2 = F.greatest(F.lit(0.0), F.avg(F.col("mean") * F.col("mean")).over(w) - F.avg(F.col("se") * F.col("se")).over(w))
+    factor = F.when(F.count(F.lit(1)).over(w) >= 2, tau2 / (tau2 + F.col("se") * F.col("se"))).otherwise(0.0)
+    return usable.select(*SERIES, slot, factor.alias("factor"))
+
+
+def profile(used: DataFrame) -> DataFrame:
+    """Mean squared move by time of day, smoothed with the slots beside it around the clock, divided by its mean."""
+    base = used.groupBy(*SERIES, "tod", "per_day").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("x") * F.col("x")).alias("v"))
+    shifted = base.select(*SERIES, F.explode(F.array(*(F.struct(F.pmod(F.col("tod") + s, F.col("per_day")).alias("tod"), F.lit(-s).alias("side"), F.col("v").alias("near")) for s in (-1, 1)))).alias("e")).select(*SERIES, "e.*")
+    beside = shifted.groupBy(*SERIES, "tod").agg(F.max(F.when(F.col("side") == 1, F.col("near"))).alias("later"), F.max(F.when(F.col("side") == -1, F.col("near"))).alias("earlier"))
+    smooth = base.join(beside, [*SERIES, "tod"], "left").withColumn("s", 0.5 * F.col("v") + 0.25 * F.coalesce("later", "v") + 0.25 * F.coalesce("earlier", "v"))
+    return smooth.withColumn("profile", F.col("s") / F.avg("s").over(Window.partitionBy(*SERIES)))
+
+
+def drift(used: DataFrame, least: int, t_min: float = 2.0) -> DataFrame:
+    """Expected move of each bar: its slot's mean where |t| is at least ``t_min``, else its time of day's, else 0.
+
+    The slot tables are small beside the bars and are joined on the series and slot.
+    """
+    week = slot_stats(used, "slot", least).select(*SERIES, "slot", F.col("mean").alias("mw"), F.col("t").alias("tw"))
+    day = slot_stats(used, "tod", least).select(*SERIES, "tod", F.col("mean").alias("md"), F.col("t").alias("td"))
+    met = used.join(week, [*SERIES, "slot"]).join(day, [*SERIES, "tod"])
+    return met.withColumn("drift", F.when(F.abs("tw") >= t_min, F.col("mw")).when(F.abs("td") >= t_min, F.col("md")).otherwise(0.0))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillon.plans import data_problems, indicators
+from quillon.plans import data_problems, indicators, joining, scoring
 
 FLAGSHIP = "p1_found"
 
 
 def modules() -> list:
-    return [data_problems, indicators]
+    return [data_problems, indicators, joining, scoring]
