@@ -19,7 +19,7 @@ DIMS = 1 << 18  # hashed features; the weights are a vector of this length, what
 SAMPLE = 16_000  # labelled documents that the classifier is fitted on at most
 SAMPLE_CHARS = 20_000  # longer documents are not drawn for the sample (they are scored whole)
 HELD_OUT = 5  # one publisher in so many is kept for validation
-CUT_OFF = 0.015  # probability from which a segment is looked at by the exact check
+CUT_OFF = 0.03  # probability from which a segment is looked at by the exact check
 
 # --- cleaning and cutting -------------------------------------------------------------------------------------
 
@@ -243,28 +243,41 @@ def drawn(documents: DataFrame) -> pd.DataFrame:
     return chosen.select("text", "publisher").limit(SAMPLE).toPandas()
 
 
-def trained(sample: pd.DataFrame) -> tuple[Classifier, pd.DataFrame]:
-    """Classifier fitted on the sample without the held-out publishers, and its figures on those.
+def in_pieces(parts: list[str], first: np.ndarray, last: np.ndarray, piece: int = 5_000) -> tuple[np.ndarray, np.ndarray]:
+    """Features of many segments, hashed a piece at a time: the driver holds little more than the result."""
+    hasher, indexes, starts, total = Hasher(), [], [], 0
+    for a in range(0, len(parts), piece):
+        index, start = hasher(parts[a : a + piece], first[a : a + piece], last[a : a + piece])
+        indexes.append(index.astype(np.int32))
+        starts.append(start + total)
+        total += len(index)
+    return np.concatenate(indexes), np.concatenate(starts)
 
-    Weak labels: a segment that shows a response status, a phrase of such pages, filler or an open place.
+
+def labelled(sample: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features, their begins, weak labels and held-out marks of the sample's segments.
+
+    Weak labels: a segment that shows a response status, a phrase of such pages, filler or an open place. Of the
+    many negative segments three tenths do.
     """
-    columns = {"segments": "int64", "positive": "int64", "caught": "int64", "passed_on": "int64"}
     parts, owner, first, last, loose = laid_out(sample["text"].tolist())
     if not parts:
-        return Classifier(np.zeros(DIMS, dtype=np.float32), 60.0), pd.DataFrame({c: [0] for c in columns}).astype(columns)
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
     label = np.array([confirmed(p, loose[o]) for p, o in zip(parts, owner)])
+    kept = np.flatnonzero(label | np.array([zlib.crc32(p.encode("utf-8", "surrogatepass")) % 10 < 3 for p in parts], dtype=bool))
+    if not len(kept):
+        kept = np.arange(len(parts))
     host = sample["publisher"].fillna("").map(lambda h: zlib.crc32(h.encode()) % HELD_OUT == 0).to_numpy()[owner]
-    index, start = Hasher()(parts, first, last)
+    index, start = in_pieces([parts[k] for k in kept], first[kept], last[kept])
+    return index, start, label[kept], host[kept]
+
+
+def trained(index: np.ndarray, start: np.ndarray, label: np.ndarray, seen: np.ndarray) -> Classifier:
+    """Classifier fitted on the segments ``seen``; with one class only, one that looks at everything."""
+    if not label[seen].any() or label[seen].all():
+        return Classifier(np.zeros(DIMS, dtype=np.float32), 60.0)
     length = np.diff(np.r_[start, len(index)])
-    drawn_off = np.array([zlib.crc32(p.encode("utf-8", "surrogatepass")) % 10 < 3 for p in parts], dtype=bool)
-    seen = ~host & (label | drawn_off)  # of the many negative segments three tenths do
-    if not label[seen].any() or label[seen].all():  # one class only: look at everything
-        model = Classifier(np.zeros(DIMS, dtype=np.float32), 60.0)
-    else:
-        model = fit(index[np.repeat(seen, length)], np.r_[0, np.cumsum(length[seen])[:-1]], label[seen])
-    p = model.probability(index, start)
-    on = host & (p >= CUT_OFF)
-    return model, pd.DataFrame({"segments": [host.sum()], "positive": [(host & label).sum()], "caught": [(on & label).sum()], "passed_on": [on.sum()]}).astype(columns)
+    return fit(index[np.repeat(seen, length)], np.r_[0, np.cumsum(length[seen])[:-1]], label[seen])
 
 
 def scored(batches: Iterator[pa.RecordBatch], model: Classifier, chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
@@ -292,11 +305,12 @@ def residue(documents: DataFrame, keep: list[str]) -> DataFrame:
     ``residue`` is true where such a segment of at least CUT_OFF also passes the exact check (an open place that
     isn't only named, quoted or explained; filler; a sentence of an error page or of a notice).
 
-    The classifier is fitted on the driver on a bounded sample (SAMPLE documents) with weak labels, without one
-    publisher in HELD_OUT; its weights have a fixed size. Every document is then scored whole, where it lies:
+    The classifier is fitted on the driver on a bounded sample (SAMPLE documents) with weak labels; its weights have
+    a fixed size. ``validation`` gives its figures when one publisher in HELD_OUT is kept out. Every document is then scored whole, where it lies:
     nothing is shuffled. Null, empty and blank texts have score 0 and no residue; repeated rows each come out.
     """
-    model, _ = trained(drawn(documents))
+    index, start, label, _ = labelled(drawn(documents))
+    model = trained(index, start, label, np.ones(len(label), dtype=bool))
     kept = documents.select(*keep, F.col("text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("text").schema.fields)
     return kept.mapInArrow(lambda batches: scored(batches, model), f"{fields}, score double, residue boolean")
@@ -304,4 +318,9 @@ def residue(documents: DataFrame, keep: list[str]) -> DataFrame:
 
 def validation(documents: DataFrame) -> DataFrame:
     """Figures on the publishers that the classifier hasn't seen: segments, positive, caught, passed_on."""
-    return documents.sparkSession.createDataFrame(trained(drawn(documents))[1])
+    index, start, label, host = labelled(drawn(documents))
+    on = host.copy()
+    if len(label):
+        on &= trained(index, start, label, ~host).probability(index, start) >= CUT_OFF
+    row = (int(host.sum()), int((host & label).sum()), int((on & label).sum()), int(on.sum()))
+    return documents.sparkSession.createDataFrame([row], "segments bigint, positive bigint, caught bigint, passed_on bigint")
