@@ -169,7 +169,7 @@ class Encoder:
         end = np.cumsum(length)
         total = int(end[-1]) if len(end) else 0
         where = np.arange(total) + np.repeat(start[word] - (end - length), length) if total else np.zeros(0, dtype=np.int64)
-        words_end = np.cumsum([len(ws) for ws in split])
+        words_end = np.cumsum([len(ws) for ws in split], dtype=np.int64)
         return flat[where], np.r_[0, np.r_[0, end][words_end]]
 
 
