@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillon.plans import data_problems, indicators, joining, records, scoring
+from quillon.plans import data_problems, indicators, joining, records, scoring, studying
 
 FLAGSHIP = "p1_found"
 
 
 def modules() -> list:
-    return [data_problems, indicators, joining, scoring, records]
+    return [data_problems, indicators, joining, scoring, records, studying]
