@@ -109,20 +109,22 @@ def source_sizes(sizes: DataFrame) -> DataFrame:
     return sizes.groupBy("source").agg(F.sum("tokens").alias("tokens"))
 
 
-def mixture(sizes: DataFrame, budget: DataFrame, seed: int = 7) -> DataFrame:
+def mixture(sizes: DataFrame, budget: DataFrame, seed: int = 7, few_sources: bool = False) -> DataFrame:
     """How often each document is used: doc_id, source, tokens, copies (at least 1).
 
     A leaf's budget is that many whole epochs over its documents and a prefix of one more, in an order drawn
     anew from the seed for that epoch: the documents before the point where the budget is met. Documents without
     tokens are not used.
 
+    ``few_sources`` says that the caller has counted the targets and that their budgets may be broadcast.
+
     The prefix is found in two steps, so that no source gathers in one task: totals of a source's bins of the
     order are summed up (at most 4096 rows a source), which leaves one bin open; only its documents are ordered.
     """
     plan = budget.where((F.col("budget") > 0) & (F.col("tokens") > 0))
     epochs = F.least(F.floor(F.col("budget") / F.col("tokens")), F.col("repeats")).cast("long")
     plan = plan.select("source", epochs.alias("epochs"), F.when(epochs < F.col("repeats"), F.col("budget") - epochs * F.col("tokens")).otherwise(0.0).alias("rest"))
-    drawn = sizes.where(F.col("tokens") > 0).join(F.broadcast(plan.limit(100_000)), "source")
+    drawn = sizes.where(F.col("tokens") > 0).join((F.broadcast(plan) if few_sources else plan), "source")
     draw = F.xxhash64(F.lit(seed), "epochs", "doc_id")
     drawn = drawn.withColumn("draw", draw).withColumn("bin", F.pmod("draw", F.lit(BINS)).cast("int"))
     bins = drawn.groupBy("source", "bin").agg(F.sum("tokens").alias("in_bin"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillon.functions.times import floor_div, micros
 from quillon.operators.batches import bounds, in_order, whole_groups
-from quillon.sources.tables import SERIES, plain_pair
+from quillon.sources.tables import SERIES, few, plain_pair
 
 BITS = 41
 BLOCK_US = 1 << (BITS - 1)  # about 13 days; with the tolerance on either side a block's times have BITS bits
@@ -162,7 +162,7 @@ def nearest_time(keys: DataFrame, asks: DataFrame, tolerance: Column) -> DataFra
 
 def quotes_at_bars(quotes: DataFrame, prices: DataFrame, timeframes: DataFrame) -> DataFrame:
     """quote_id, line_id and distance (us) for each quote with a bar near enough; repeats get the same bar."""
-    minutes = {r["tf"]: r["minutes"] for r in timeframes.select("tf", "minutes").limit(100).collect() if r["minutes"]}
+    minutes = {r["tf"]: r["minutes"] for r in few(timeframes.select("tf", "minutes")) if r["minutes"]}
     tolerance = F.lit(None).cast("long")
     for tf, m in minutes.items():
         tolerance = F.when(F.col("tf") == tf, F.lit(m * 60_000_000)).otherwise(tolerance)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import byte_bpe, mixing, nearest_time, residue
 from quillon.plans.data_problems import PAIR
-from quillon.sources.tables import table
+from quillon.session import durable
+from quillon.sources.tables import SMALL, table
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,15 +23,20 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allocation(sizes, table(spark, sf_dir, "mix_targets")).where("short").select("source")
 
 
+def mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Budgets and mixture; the sizes are written down once, for they are read three times."""
+    targets = table(spark, sf_dir, "mix_targets")
+    sizes = durable(mixing.sized(table(spark, sf_dir, "documents")))
+    budget = mixing.allocation(mixing.source_sizes(sizes), targets)
+    return budget, mixing.mixture(sizes, budget, few_sources=targets.limit(SMALL + 1).count() <= SMALL)
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = mixing.sized(table(spark, sf_dir, "documents"))
-    return mixing.mixture(sizes, mixing.allocation(mixing.source_sizes(sizes), table(spark, sf_dir, "mix_targets")))
+    return mixed(spark, sf_dir)[1]
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = mixing.sized(table(spark, sf_dir, "documents"))
-    budget = mixing.allocation(mixing.source_sizes(sizes), table(spark, sf_dir, "mix_targets"))
-    return mixing.reached(budget, mixing.mixture(sizes, budget))
+    return mixing.reached(*mixed(spark, sf_dir))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
