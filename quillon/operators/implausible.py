@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillon.functions.times import micros
 from quillon.operators.batches import bounds, changes, in_order, whole_groups, with_halo
-from quillon.sources.tables import SERIES, plain_pair
+from quillon.sources.tables import SERIES, few, plain_pair
 
 NORMAL, SPIKE, STUCK, IMPOSSIBLE = range(4)
 PRICES = ["open", "high", "low", "close"]
@@ -198,7 +198,7 @@ def bar_states(prices: DataFrame, timeframes: DataFrame, e: Emissions = Emission
     Null prices are no evidence; rows with a null ``bar_time`` are judged by the hard bound alone (see
     ``judged``); unknown timeframes count bars of a day; empty tables give an empty result.
     """
-    minutes = {r["tf"]: r["minutes"] or 1440 for r in timeframes.select("tf", "minutes").limit(100).collect()}
+    minutes = {r["tf"]: r["minutes"] or 1440 for r in few(timeframes.select("tf", "minutes"))}
     bar_us = F.lit(1440)
     for tf, m in minutes.items():
         bar_us = F.when(F.col("tf") == tf, F.lit(m)).otherwise(bar_us)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillon.functions.times import floor_div, micros
 from quillon.operators.batches import bounds, in_order, whole_groups, with_halo
-from quillon.sources.tables import SERIES, plain_pair
+from quillon.sources.tables import SERIES, plain_pair, small
 
 
 @dataclass(frozen=True)
@@ -191,6 +191,6 @@ def regular_grid(readings: DataFrame, slot_us: Column, block_slots: int = 1024,
 
 def quote_grid(quotes: DataFrame, timeframes: DataFrame) -> DataFrame:
     """The live quotes of each root, pair and tf on the slots of the timeframe."""
-    minutes = F.broadcast(timeframes.where(F.col("minutes") > 0).select("tf", (F.col("minutes").cast("long") * 60_000_000).alias("slot_us")).limit(100))
+    minutes = small(timeframes.where(F.col("minutes") > 0).select("tf", (F.col("minutes").cast("long") * 60_000_000).alias("slot_us")))
     read = quotes.select("root", plain_pair(F.col("pair")).alias("pair"), "tf", micros(F.col("quote_time")).alias("at"), F.col("price").alias("value"))
     return regular_grid(read.join(minutes, "tf"), F.col("slot_us"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillon.functions.times import day_number, day_text, micros
-from quillon.sources.tables import SERIES, of_series
+from quillon.sources.tables import SERIES, few, of_series
 
 
 def first_and_last(daily: DataFrame, entity: list[str]) -> DataFrame:
@@ -87,7 +87,7 @@ def thin_days(prices: DataFrame) -> DataFrame:
 
 def trailing_bars(prices: DataFrame, timeframes: DataFrame) -> DataFrame:
     """Totals and averages of bars and ranges over 7, 30 and the timeframe's horizons, one row per period."""
-    horizons = {r["tf"]: sorted(set(r["horizons"] or [])) for r in timeframes.select("tf", "horizons").limit(100).collect()}
+    horizons = {r["tf"]: sorted(set(r["horizons"] or [])) for r in few(timeframes.select("tf", "horizons"))}
     periods = sorted({7, 30} | {h for hs in horizons.values() for h in hs})
     totals = rolling_totals(daily_bar_totals(prices), SERIES, ["bars", "span"], periods)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quillon.operators.bars import NEW_YORK, in_zone, market_open, series_window
-from quillon.sources.tables import SERIES
+from quillon.sources.tables import SERIES, small
 
 
 def slotted(moves: DataFrame, timeframes: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def slotted(moves: DataFrame, timeframes: DataFrame) -> DataFrame:
 
     Bars after a pause carry its gap and bars of a closed market carry noise: both are left out.
     """
-    minutes = F.broadcast(timeframes.where(F.col("minutes") > 0).select("tf", "minutes").limit(1000))
+    minutes = small(timeframes.where(F.col("minutes") > 0).select("tf", "minutes"))
     m = F.col("minutes").cast("long")
     close_by = F.timestamp_diff("MICROSECOND", F.lag("bar_time").over(series_window()), F.col("bar_time")) <= m * 60_000_000
     used = moves.join(minutes, "tf").withColumn("_near", close_by).where(F.col("x").isNotNull() & F.col("_near") & market_open(F.col("bar_time")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon.operators import bars as B, recursive as R, signals as S, windows as V
 from quillon.plans.shared import BARS, KEY, Registry, W, bars_of, off_tie, rounded, shown, stamp
-from quillon.sources.tables import SERIES, plain_pair, table
+from quillon.sources.tables import SERIES, plain_pair, small, table
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.sql
@@ -35,7 +35,7 @@ def market_open_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE done + INTERVAL 3 MINUTE <= fetched_at""")
 def completed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars that were complete, with three minutes to settle, when they were stored."""
-    minutes = F.broadcast(table(spark, sf_dir, "timeframes").select("tf", "minutes").limit(1000))
+    minutes = small(table(spark, sf_dir, "timeframes").select("tf", "minutes"))
     ended = table(spark, sf_dir, "prices").join(minutes, "tf").withColumn("bar_end", B.bar_end(F.col("minutes")))
     return ended.where(F.col("bar_end") + F.expr("INTERVAL 3 MINUTES") <= F.col("fetched_at")).select("line_id", stamp("bar_end"))
 

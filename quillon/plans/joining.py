@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from quillon.functions.times import DAY_US, micros
 from quillon.operators import bars as B, joins as J
 from quillon.plans.shared import BARS, KEY, PAIR, Registry, W, bars_of, off_tie, shown, stamp
-from quillon.sources.tables import SERIES, plain_pair, table
+from quillon.sources.tables import SERIES, plain_pair, small, table
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.sql
@@ -19,7 +19,7 @@ def quotes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    minutes = F.broadcast(table(spark, sf_dir, "timeframes").select("tf", "minutes").limit(1000))
+    minutes = small(table(spark, sf_dir, "timeframes").select("tf", "minutes"))
     return bars_of(spark, sf_dir).join(minutes, "tf").where(F.col("minutes") > 0).withColumn("bar_end", micros(F.col("bar_time")) + F.col("minutes").cast("long") * 60_000_000)
 
 
@@ -49,7 +49,7 @@ SELECT t.quote_id, CASE WHEN b.bar_end > t.at THEN b.close END AS actual FROM t
 JOIN m ON t.root = m.root AND t.pair = m.pair AND t.tf = m.tf WHERE reach >= target""")
 def outcome_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome four bars later: the last bar ended by the target and after the origin, else void; only where data reach the target."""
-    minutes = F.broadcast(table(spark, sf_dir, "timeframes").select("tf", "minutes").limit(1000))
+    minutes = small(table(spark, sf_dir, "timeframes").select("tf", "minutes"))
     asked = quotes_of(spark, sf_dir).join(minutes, "tf").withColumn("target", F.col("at") + 4 * F.col("minutes").cast("long") * 60_000_000)
     bars = ended(spark, sf_dir)
     reach = bars.groupBy(*SERIES).agg(F.max("bar_end").alias("reach"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from quillon.functions.times import DAY_US, micros
 from quillon.operators import bars as B, forecasting as M, ledger as L, text as X, vectors
 from quillon.plans.shared import BARS, KEY, PAIR, Registry, W, bars_of, off_tie, shown, stamp
-from quillon.sources.tables import SERIES, plain_pair, table
+from quillon.sources.tables import SERIES, plain_pair, small, table
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.sql
@@ -180,7 +180,7 @@ def verify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations by rule: one small query per rule, put together."""
     p, r = table(spark, sf_dir, "prices"), table(spark, sf_dir, "rates")
     pair = plain_pair(F.col("pair"))
-    minutes = F.broadcast(table(spark, sf_dir, "timeframes").select("tf", "minutes").limit(1000))
+    minutes = small(table(spark, sf_dir, "timeframes").select("tf", "minutes"))
     codes = table(spark, sf_dir, "fx_pairs").select(F.col("code").alias("p"))
     rules = {
         "stored before it ended": p.join(minutes, "tf").where(micros(F.col("fetched_at")) < micros(F.col("bar_time")) + F.col("minutes").cast("long") * 60_000_000),
@@ -220,7 +220,7 @@ a AS (SELECT tf, count(*) AS n, (40 + sum(w)) / (40 + sum(w * rw)) AS a, (40 + s
 def learned_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of three simple forecasts from their past errors."""
     w = B.series_window()
-    lives = F.broadcast(table(spark, sf_dir, "timeframes").select("tf", "half_life").limit(1000))
+    lives = small(table(spark, sf_dir, "timeframes").select("tf", "half_life"))
     df = bars_of(spark, sf_dir).withColumns({"mom": B.log_return_bp(), "y": (F.log(F.lead("close").over(w)) - F.log("close")) * 10_000, "slow": B.log_return_bp(5) / 5, "rw": F.lit(0.0)})
     age = F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.col("bar_time").desc())) - 1
     df = df.withColumns({"s": F.stddev_pop("mom").over(B.trailing(20)), "age": age}).join(lives, "tf").where((F.col("s") > 0.01) & F.col("y").isNotNull() & F.col("slow").isNotNull())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillon.operators import bars as B, season as N, stats as P, trades as T, variance as M, windows as V
 from quillon.plans.shared import BARS, KEY, Registry, W, bars_of, off_tie, shown, stamp
-from quillon.sources.tables import SERIES, table
+from quillon.sources.tables import SERIES, small, table
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.sql
@@ -38,7 +38,7 @@ def forward_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 i AS (SELECT *, sum(s) OVER ({W}) AS island FROM h) SELECT root, pair, tf, CAST(island AS BIGINT) AS island, count(*) AS bars, strftime(min(bar_time), '%Y-%m-%d %H:%M:%S') AS begins FROM i GROUP BY root, pair, tf, island""")
 def gap_island(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of bars without a pause."""
-    minutes = F.broadcast(table(spark, sf_dir, "timeframes").select("tf", F.when(F.col("minutes") > 0, F.col("minutes")).otherwise(1440).alias("m")).limit(1000))
+    minutes = small(table(spark, sf_dir, "timeframes").select("tf", F.when(F.col("minutes") > 0, F.col("minutes")).otherwise(1440).alias("m")))
     w = B.series_window()
     pause = F.timestamp_diff("MICROSECOND", F.lag("bar_time").over(w), F.col("bar_time")) > F.col("m").cast("long") * 60_000_000
     df = bars_of(spark, sf_dir).join(minutes, "tf").withColumn("s", F.when(F.lag("bar_time").over(w).isNull() | pause, 1).otherwise(0))
@@ -116,7 +116,7 @@ def time_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("recency_weights", f"WITH {BARS}, n AS (SELECT b.*, half_life, row_number() OVER (PARTITION BY root, pair, b.tf ORDER BY bar_time DESC) - 1 AS age FROM bars b JOIN timeframes USING (tf)) SELECT {KEY}, round(pow(0.5, age / half_life), 6) AS weight FROM n")
 def recency_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lives = F.broadcast(table(spark, sf_dir, "timeframes").select("tf", "half_life").limit(1000))
+    lives = small(table(spark, sf_dir, "timeframes").select("tf", "half_life"))
     age = F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.col("bar_time").desc())) - 1
     return shown(bars_of(spark, sf_dir).join(lives, "tf").withColumn("weight", F.pow(F.lit(0.5), age / F.col("half_life"))), ["weight"])
 

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillon.functions.times import micros
-from quillon.operators import bars as B, studies as S, text as X, trades as T, variance as M
+from quillon.operators import bars as B, calendars as C, studies as S, text as X, trades as T, variance as M
 from quillon.plans.indicators import DAY_SQL, hourly
 from quillon.plans.records import titles
 from quillon.plans.scoring import RETURNS, returns
 from quillon.plans.shared import BARS, KEY, Registry, W, bars_of, off_tie, shown, stamp
-from quillon.sources.tables import SERIES, table
+from quillon.sources.tables import SERIES, few, small, table
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.sql
@@ -129,3 +129,64 @@ def rule_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = out.groupBy("width", "hold", "tune").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("r"), 4).alias("mean_r"), F.round(F.avg("r") / F.nullif(F.stddev_samp("r"), F.lit(0.0)) * F.sqrt(F.count(F.lit(1))), 3).alias("t"))
     best = F.first(F.struct("width", "hold")).over(Window.partitionBy("tune").orderBy(F.col("t").desc_nulls_last(), "width", "hold"))
     return s.withColumn("chosen", F.col("tune") & (best == F.struct("width", "hold")))
+
+
+@query("trading_grid", """WITH s AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-12-31 23:59:59', INTERVAL 1 HOUR)) AS slot), n AS (SELECT slot, slot AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS ny FROM s)
+SELECT strftime(slot, '%Y-%m-%d %H:%M:%S') AS slot, row_number() OVER (ORDER BY slot) AS seq FROM n WHERE (isodow(ny) <= 4) OR (isodow(ny) = 5 AND hour(ny) < 17) OR (isodow(ny) = 7 AND hour(ny) >= 17)""")
+def trading_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open-market hours of a year, numbered."""
+    return C.trading_grid(spark, "2024-01-01", "2024-12-31", 60).select(stamp("slot"), "seq")
+
+
+@query("bar_targets")
+def bar_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """End of the fourth open-market hour after each hourly bar's end: two equal joins on the numbered grid."""
+    bars = bars_of(spark, sf_dir).where("tf = '1h'").withColumn("slot", F.timestamp_add("HOUR", F.lit(1), F.col("bar_time")))
+    span = bars.agg(F.min("slot").cast("date").cast("string").alias("a"), F.date_add(F.max("slot").cast("date"), 7).cast("string").alias("z")).first()
+    grid = C.trading_grid(spark, span.a or "2024-01-01", span.z or "2024-01-02", 60)
+    ends = grid.select((F.col("seq") - 3).alias("seq"), F.timestamp_add("HOUR", F.lit(1), F.col("slot")).alias("target"))
+    return bars.join(grid, "slot").join(ends, "seq").select(*SERIES, stamp(), stamp("target"))
+
+
+@query("holidays")
+def holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.holiday_table(spark, range(2020, 2027))
+
+
+@query("spot_dates")
+def spot_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Value dates of each daily bar whose currencies' calendars are known."""
+    pairs = [(r.base, r.quote) for r in few(table(spark, sf_dir, "fx_pairs").select("base", "quote").distinct())]
+    dates = small(C.spot_table(spark, pairs, range(2020, 2027)), 100_000)
+    daily = bars_of(spark, sf_dir).where("tf = '1d'").withColumn("day", F.to_date("bar_time"))
+    return daily.join(dates, ["pair", "day"]).select("root", "pair", F.date_format("day", "yyyy-MM-dd").alias("day"), F.date_format("spot", "yyyy-MM-dd").alias("spot"), "roll_days")
+
+
+@query("gbt_direction")
+def gbt_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direction of the next daily move by boosted trees fitted before 2024 and scored after."""
+    w = B.series_window()
+    df = returns(spark, sf_dir).where("tf = '1d'").withColumns({"x1": F.lag("x").over(w), "m5": F.avg("x").over(B.trailing(5)), "sd": F.stddev_pop("x").over(B.trailing(20))})
+    df = df.where("x IS NOT NULL AND x1 IS NOT NULL AND y IS NOT NULL AND sd IS NOT NULL").withColumn("label", (F.col("y") > 0).cast("double"))
+    parts = VectorAssembler(inputCols=["x", "x1", "m5", "sd"], outputCol="features").transform(df)
+    early = F.col("bar_time") < F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'")
+    said = GBTClassifier(maxIter=10, maxDepth=3, seed=1).fit(parts.where(early)).transform(parts.where(~early))
+    return said.groupBy("tf").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), 4).alias("accuracy"))
+
+
+@query("source_hours", f"""SELECT lower(trim(source)) AS source, strftime(date_trunc('hour', published_at), '%Y-%m-%d %H') AS hour, count(*) AS n, round(avg(n_chars), 6) AS chars, count(DISTINCT publisher) AS publishers FROM documents WHERE published_at IS NOT NULL GROUP BY lower(trim(source)), date_trunc('hour', published_at)""")
+def source_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly number, mean length and publishers by source."""
+    d = table(spark, sf_dir, "documents").where(F.col("published_at").isNotNull())
+    g = d.groupBy(F.lower(F.trim("source")).alias("source"), F.date_trunc("hour", "published_at").alias("t"))
+    return g.agg(F.count(F.lit(1)).alias("n"), off_tie(F.avg("n_chars"), 6).alias("chars"), F.count_distinct("publisher").alias("publishers")).select("source", F.date_format("t", "yyyy-MM-dd HH").alias("hour"), "n", "chars", "publishers")
+
+
+@query("candle_stats", f"""WITH {RETURNS}, c AS (SELECT tf, close > open AS up, lead(close > open) OVER ({W}) AS nxt, high - low AS size, avg(high - low) OVER ({W} ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS said FROM r) SELECT tf, count(*) AS n, round(avg(CASE WHEN up = nxt THEN 1.0 ELSE 0.0 END), 6) AS colour, round(avg(abs(size - said) / said), 6) AS size_error FROM c WHERE nxt IS NOT NULL AND said > 1e-9 GROUP BY tf""")
+def candle_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a candle has the colour of the one before, and how far its size is from the mean of fourteen."""
+    w = B.series_window()
+    df = bars_of(spark, sf_dir).withColumns({"up": F.col("close") > F.col("open"), "size": F.col("high") - F.col("low")})
+    df = df.withColumns({"nxt": F.lead("up").over(w), "said": F.avg("size").over(w.rowsBetween(-14, -1))}).where(F.col("nxt").isNotNull() & (F.col("said") > 1e-9))
+    same, err = (F.col("up") == F.col("nxt")).cast("double"), F.abs(F.col("size") - F.col("said")) / F.col("said")
+    return df.groupBy("tf").agg(F.count(F.lit(1)).alias("n"), off_tie(F.avg(same), 6).alias("colour"), off_tie(F.avg(err), 6).alias("size_error"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 SERIES = ["root", "pair", "tf"]
 
@@ -20,3 +20,19 @@ def plain_pair(pair: Column) -> Column:
 def of_series(df: DataFrame, *more: str) -> DataFrame:
     """The series key with the plain pair code, and the named columns; nothing else is read."""
     return df.select("root", plain_pair(F.col("pair")).alias("pair"), "tf", *more)
+
+
+SMALL = 10_000
+
+
+def few(df: DataFrame, most: int = SMALL) -> list[Row]:
+    """The rows of a configuration table on the driver; one that has grown beyond ``most`` rows is refused."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of settings has more than {most} rows")
+    return rows
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """Broadcast a table whose size was looked at: beyond ``most`` rows it stays an ordinary side of the join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
