@@ -112,7 +112,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", parsed.alias("r")).where(F.col("r._bad").isNull()).select("doc_id", "r.*").drop("_bad")
 
 
-@query("prediction_terms")
+@query("prediction_terms", f"""WITH {LINES}, p AS (SELECT doc_id, json_extract_string(line, '$.pair') AS pair, json_extract_string(line, '$.tf') AS tf, CAST(json_extract(line, '$.p0') AS DOUBLE) AS p0, CAST(json_extract(line, '$.h') AS INTEGER[]) AS hs, CAST(json_extract(line, '$.m') AS DOUBLE[]) AS ms FROM v WHERE json_extract_string(line, '$.type') = 'prediction')
+SELECT doc_id, pair, tf, p0, unnest(hs) AS h, unnest(ms) AS m FROM p""")
 def prediction_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per horizon of each prediction line: the horizon and its move, zipped from two arrays."""
     p = records(spark, sf_dir).where("type = 'prediction'")

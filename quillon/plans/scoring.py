@@ -314,9 +314,11 @@ def range_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(M.range_scale(returns(spark, sf_dir)).withColumn("log_ratio", F.log("ratio")), ["log_ratio"])
 
 
-@query("ewma_variance")
+@query("ewma_variance", f"""WITH RECURSIVE {RETURNS}, n AS (SELECT root, pair, tf, bar_time, x, row_number() OVER ({W}) AS rn, var_pop(x) OVER ({W} ROWS 499 PRECEDING) AS long FROM r), e AS (SELECT root, pair, tf, bar_time, rn, long, CAST(NULL AS DOUBLE) AS q FROM n WHERE rn = 1
+UNION ALL SELECT n.root, n.pair, n.tf, n.bar_time, n.rn, n.long, CASE WHEN e.q IS NULL THEN n.x * n.x ELSE 0.06 * n.x * n.x + 0.94 * e.q END FROM e JOIN n ON n.root = e.root AND n.pair = e.pair AND n.tf = e.tf AND n.rn = e.rn + 1)
+SELECT {KEY}, round(CASE WHEN rn >= 21 THEN sqrt(0.9 * q + 0.1 * long) END, 4) AS deviation FROM e""")
 def ewma_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(M.ewma_variance(returns(spark, sf_dir)), ["variance"], 4)
+    return shown(M.ewma_variance(returns(spark, sf_dir)).withColumn("deviation", F.sqrt("variance")), ["deviation"], 4)
 
 
 SLOT = f"""WITH {RETURNS}, o AS (SELECT r.*, minutes, bar_time AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS ny, lag(bar_time) OVER ({W}) AS p FROM r JOIN timeframes USING (tf) WHERE minutes > 0),

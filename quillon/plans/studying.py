@@ -138,7 +138,11 @@ def trading_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.trading_grid(spark, "2024-01-01", "2024-12-31", 60).select(stamp("slot"), "seq")
 
 
-@query("bar_targets")
+GRID = """s AS (SELECT unnest(generate_series(TIMESTAMP '2015-01-04', TIMESTAMP '2035-01-01', INTERVAL 1 HOUR)) AS slot), ny AS (SELECT slot, slot AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS ny FROM s),
+grid AS (SELECT slot, row_number() OVER (ORDER BY slot) AS seq FROM ny WHERE (isodow(ny) <= 4) OR (isodow(ny) = 5 AND hour(ny) < 17) OR (isodow(ny) = 7 AND hour(ny) >= 17))"""
+
+
+@query("bar_targets", f"""WITH {BARS}, {GRID} SELECT {KEY}, strftime(t.slot + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS target FROM bars JOIN grid g ON g.slot = bar_time + INTERVAL 1 HOUR JOIN grid t ON t.seq = g.seq + 3 WHERE tf = '1h'""")
 def bar_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """End of the fourth open-market hour after each hourly bar's end: two equal joins on the numbered grid."""
     bars = bars_of(spark, sf_dir).where("tf = '1h'").withColumn("slot", F.timestamp_add("HOUR", F.lit(1), F.col("bar_time")))
