@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,7 +47,7 @@ PLACES = [
     rf"\{{\{{\{{? ?{NAME} ?\}}?\}}\}}", rf"\{{% ?{NAME} ?%\}}", rf"<%=? ?{NAME} ?%>", rf"[#$]\{{{NAME}\}}", r"\{[\p{L}_][\p{L}\p{N}_]*\}", r"(?<!\w)\{\d\}",
     rf"<<{NAME}>>", r"<[\p{L}_]+>", r"%[\p{L}_][\p{L}\p{N}_]*%", rf"%\({NAME}\)s", r"__[\p{L}][\p{L}\p{N}_]*?__", r"(?<!_)_{4}(?!_)", rf"@@?{NAME}@@?",
     rf"\[\[{NAME}\]\]", r"\[[A-Z][A-Z_\d]{3,}\]", r"\[[\p{Han}\p{Hiragana}\p{Katakana}]{2,8}\]", rf"\[(?i:insert|tbc|tbd|todo|your|enter)\b:? ?{NAME}\]", r"\$[\p{L}_]{3,}\$?", rf"\({NAME}を入力\)", r"【(?:[A-Za-z_]{2,}\d?|\p{Han}{0,3}(?:名|ペア))】", rf"※{NAME}※",
-    r"●●", r"○○○|〇〇", r"××", r"\bX{4}\b", r"\bXX\.XX\b", r"\bundefined\b", r"\[object object\]",
+    r"●●", r"○○○|〇〇", r"××", r"\bX{4}\b", r"\bXX\.XX\b", r"\bundefined\b", r"\[object [Oo]bject\]",
 ]
 PLACE = regex.compile("|".join(f"(?:{p})" for p in PLACES))
 LOOSE = regex.compile(PLACE.pattern, regex.I)
@@ -124,6 +125,21 @@ def confirmed(segment: str, loose: bool) -> bool:
     return phrase(segment) or filler_words(segment) or has_place(segment, loose)
 
 
+def repeated(parts: list[str]) -> np.ndarray:
+    """Which segments of one document are filler by repetition: a short one said three times or more that makes half
+    of the document, or one that goes round in a few words."""
+    low = [s.casefold() for s in parts]
+    count = Counter(low)
+    said = {s for s, n in count.items() if n >= 3 and 2 * n >= len(low) and len(s) <= 40 and not LEDGER.match(s) and any(c.isalpha() for c in s)}
+    return np.array([s in said or few_words(s) for s in low], dtype=bool)
+
+
+def few_words(segment: str) -> bool:
+    words = [w for w in (w.strip(".,;:!?") for w in segment.split()) if w]
+    kinds = set(words)
+    return len(words) >= 6 and len(kinds) <= 4 and 3 * len(kinds) <= len(words) and all(w.isalpha() for w in kinds)
+
+
 def one_case(text: str) -> bool:
     """Texts put into one letter case as a whole have lost the case of their places too."""
     letters = regex.sub(r"[^A-Za-z]", "", text)
@@ -234,6 +250,12 @@ def laid_out(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.nd
     return parts, np.array(owner, dtype=np.int64), np.array(first, dtype=bool), np.array(last, dtype=bool), loose
 
 
+def by_repetition(parts: list[str], owner: np.ndarray) -> np.ndarray:
+    """``repeated`` of the segments of many texts, each text by itself."""
+    ends = np.flatnonzero(np.diff(owner)) + 1
+    return np.concatenate([repeated(parts[a:z]) for a, z in zip(np.r_[0, ends], np.r_[ends, len(parts)])])
+
+
 def drawn(documents: DataFrame) -> pd.DataFrame:
     """The bounded sample: at most SAMPLE documents, chosen by a hash of text and id, with their publishers."""
     usable = documents.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
@@ -257,13 +279,13 @@ def in_pieces(parts: list[str], first: np.ndarray, last: np.ndarray, piece: int
 def labelled(sample: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Features, their begins, weak labels and held-out marks of the sample's segments.
 
-    Weak labels: a segment that shows a response status, a phrase of such pages, filler or an open place. Of the
-    many negative segments three tenths do.
+    Weak labels: a segment that shows a response status, a phrase of such pages, filler (its words, or its repetition
+    in the document) or an open place. Of the many negative segments three tenths do.
     """
     parts, owner, first, last, loose = laid_out(sample["text"].tolist())
     if not parts:
         return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
-    label = np.array([confirmed(p, loose[o]) for p, o in zip(parts, owner)])
+    label = np.array([confirmed(p, loose[o]) for p, o in zip(parts, owner)]) | by_repetition(parts, owner)
     kept = np.flatnonzero(label | np.array([zlib.crc32(p.encode("utf-8", "surrogatepass")) % 10 < 3 for p in parts], dtype=bool))
     if not len(kept):
         kept = np.arange(len(parts))
@@ -291,6 +313,7 @@ def scored(batches: Iterator[pa.RecordBatch], model: Classifier, chars: int = 1_
                 index, start = hasher(parts, first, last)
                 p = model.probability(index, start)
                 np.maximum.at(best, owner, p)
+                kinds[owner[by_repetition(parts, owner)]] = True
                 for k in np.flatnonzero(p >= CUT_OFF):
                     if not kinds[owner[k]] and confirmed(parts[k], loose[owner[k]]):
                         kinds[owner[k]] = True
@@ -303,7 +326,8 @@ def residue(documents: DataFrame, keep: list[str]) -> DataFrame:
 
     ``score`` is the greatest probability that the classifier gives any line or sentence of the document;
     ``residue`` is true where such a segment of at least CUT_OFF also passes the exact check (an open place that
-    isn't only named, quoted or explained; filler; a sentence of an error page or of a notice).
+    isn't only named, quoted or explained; filler; a sentence of an error page or of a notice), and where the document
+    is filler by repetition (``repeated``), whatever the probability. A high probability alone doesn't count.
 
     The classifier is fitted on the driver on a bounded sample (SAMPLE documents) with weak labels; its weights have
     a fixed size. ``validation`` gives its figures when one publisher in HELD_OUT is kept out. Every document is then scored whole, where it lies:

@@ -173,6 +173,23 @@ def test_mentions_are_not(text):
     assert not any(R.confirmed(s, R.one_case(text)) for s in R.segments(R.cleaned(text)))
 
 
+ROUND = ["Sample text. " * 4, "Week 17: short covering in GBP\n\nSample text. Sample text. Sample text.", "Sample  text.  " * 10, "sample text sample text sample text sample text", "Early wrap\n\nこれは例文です。これは例文です。これは例文です。"]
+NOT_ROUND = ["Sample text from the last survey shows that dealers expect USD to weaken.", "下値の目処は1.6470とみられる。下値の目処は0.7934とみられる。", "USD rose. EUR fell. USD rose. JPY fell. CHF was flat. USD rose. AUD fell.", "| 1 | 2 |\n|---|---|\n| 3 | 4 |\n|---|---|\n|---|---|", ""]
+
+
+@pytest.mark.parametrize("text", ROUND + NOT_ROUND)
+def test_filler_by_repetition(text):
+    assert R.repeated(R.segments(R.cleaned(text))).any() == (text in ROUND)
+
+
+def test_repeated_filler_comes_out_and_failed_fill_in_its_usual_case(spark):
+    good = [f"The dollar rose against the yen after data number {i}. Traders saw support at 1.{i}." for i in range(50)]
+    bad = [*ROUND, "Retail sales: what it means for [object Object]", "Dear {{name}},"]
+    docs = spark.createDataFrame([(i, t, "p") for i, t in enumerate(good + NOT_ROUND + bad)], "doc_id long, text string, publisher string")
+    got = R.residue(docs, ["doc_id"]).where("residue").collect()
+    assert {r.doc_id for r in got} == set(range(len(good + NOT_ROUND), len(good + NOT_ROUND + bad)))
+
+
 def test_classifier_on_unseen_publishers(spark):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     r = R.validation(d).first()
