@@ -37,24 +37,27 @@ def shingles(key: Column, n: int = 3) -> Column:
 
 
 def story_pairs(items: DataFrame, hours: int = 12, least: float = 0.6) -> DataFrame:
-    """Pairs (a < b) of different headlines within ``hours`` whose shingles have a Jaccard of ``least`` or more.
+    """Pairs (a < b) of items within ``hours`` whose shingles have a Jaccard of ``least`` or more.
 
-    ``items``: id, key and ``at`` (seconds), one row per class of equal keys. Prefix filter: two sets this alike
-    share one of their rarest few shingles, so only items that meet on such a shingle and in neighbouring time
-    buckets are compared, and exactly. Nothing is lost and no group emits all its pairs beyond those.
+    ``items``: id, key and ``at`` (seconds). With one row per key and time no pair is lost; with one row per class of
+    equal keys at its first time (``similarity_pairs``, as its SQL has it) pairs with later copies aren't seen.
+    Prefix filter: two sets this alike share one of their rarest few shingles, so only items that meet on such a
+    shingle and in neighbouring time buckets are compared, and exactly. No group emits all its pairs beyond those.
     """
     sets = items.withColumn("s", shingles(F.col("key"))).withColumn("size", F.size("s"))
     tokens = sets.select("id", F.explode("s").alias("t"))
     counts = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     ranked = tokens.join(counts, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("r"))
     keep = F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1
-    head = sets.join(ranked, "id").select("id", "at", "s", "size", F.explode(F.slice("r", F.lit(1), keep.cast("int"))).alias("h")).withColumn("t", F.col("h.t"))
+    head = sets.select("id", "at", "size").join(ranked, "id").select("id", "at", "size", F.explode(F.slice("r", F.lit(1), keep.cast("int"))["t"]).alias("t"))
     span = hours * 3600
     bucket = F.floor(F.col("at") / span).cast("long")
-    left = head.select(F.col("id").alias("a"), "t", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"), F.col("at").alias("at_a"), F.col("s").alias("s_a"), F.col("size").alias("n_a"))
-    right = head.select(F.col("id").alias("c"), "t", bucket.alias("b"), F.col("at").alias("at_c"), F.col("s").alias("s_c"), F.col("size").alias("n_c"))
+    left = head.select(F.col("id").alias("a"), "t", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"), F.col("at").alias("at_a"), F.col("size").alias("n_a"))
+    right = head.select(F.col("id").alias("c"), "t", bucket.alias("b"), F.col("at").alias("at_c"), F.col("size").alias("n_c"))
     close = (F.col("a") < F.col("c")) & (F.abs(F.col("at_a") - F.col("at_c")) <= span) & (F.least("n_a", "n_c") >= least * F.greatest("n_a", "n_c") - 1e-9)
-    pairs = left.join(right, ["t", "b"]).where(close).dropDuplicates(["a", "c"])
+    pairs = left.join(right, ["t", "b"]).where(close).select("a", "c").distinct()  # the sets stay behind: only pairs that are compared need them
+    pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a"), F.col("size").alias("n_a")), "a")
+    pairs = pairs.join(sets.select(F.col("id").alias("c"), F.col("s").alias("s_c"), F.col("size").alias("n_c")), "c")
     common = F.size(F.array_intersect("s_a", "s_c"))
     jaccard = common / (F.col("n_a") + F.col("n_c") - common)
     return pairs.withColumn("jaccard", jaccard).where(F.col("jaccard") >= least - 1e-9).select("a", F.col("c").alias("b"), "jaccard")

@@ -51,11 +51,15 @@ def panel_t(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stories")
 def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The story of each title: the earliest leading title alike within 12 hours; equal titles share theirs."""
-    t = titles(spark, sf_dir).where(F.col("published_at").isNotNull())
-    classes = t.groupBy("key").agg(F.min("doc_id").alias("id"), F.floor(F.min(micros(F.col("published_at"))) / 1_000_000).cast("long").alias("at"))
-    led = S.leaders(X.story_pairs(classes), classes, "id", "at")
-    return t.join(classes.select("key", "id"), "key").join(led, "id").select("doc_id", "story")
+    """The story of each title: the earliest leading title alike within 12 hours, equal ones included.
+
+    One item per title and second: a title that comes again later is judged, and leads, at its own time.
+    """
+    at = F.floor(micros(F.col("published_at")) / 1_000_000).cast("long")
+    t = titles(spark, sf_dir).where(F.col("published_at").isNotNull()).select("doc_id", "key", at.alias("at"))
+    items = t.groupBy("key", "at").agg(F.min("doc_id").alias("id"))
+    led = S.leaders(X.story_pairs(items), items, "id", "at")
+    return t.join(items, ["key", "at"]).join(led, "id").select("doc_id", "story")
 
 
 @query("replay_scale")

@@ -1,11 +1,13 @@
 """Composite operators against plain versions."""
 
+import datetime as dt
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from quillon.operators import studies as S
+from quillon.plans import studying as P
 
 
 def test_leaders_equal_the_greedy_walk(spark):
@@ -44,3 +46,21 @@ def test_replayed_scale_uses_the_past_only(spark):
     run = lambda rs: [r.scale for r in S.replay_scale(spark.createDataFrame(rs, "k string, i int, s double"), ["k"], "i", "s").orderBy("i").collect()]
     whole = run(rows)
     assert whole[:60] == run(rows[:60]) and whole[0] == 1.0 and whole[99] > whole[50]
+
+
+def test_stories_judge_each_copy_at_its_time(spark, tmp_path):
+    rng, said = random.Random(4), ["Dollar rose against the yen today", "Dollar rose against the yen again", "Dollar rose against the yen, today", "Pound eased after the minutes", "Pound eased after the minute"]
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, rng.choice(said), start + dt.timedelta(days=rng.randrange(8), minutes=rng.randrange(1440))) for i in range(60)]
+    rows += [(100, said[0], dt.datetime(2024, 6, 1)), (101, said[1], dt.datetime(2024, 6, 1, 1)), (102, said[0], dt.datetime(2024, 6, 1)), (103, said[0], dt.datetime(2024, 9, 1)), (104, said[0], None)]
+    spark.createDataFrame(rows, "doc_id long, text string, published_at timestamp_ntz").write.parquet(str(tmp_path / "documents.parquet"))
+    parts = lambda text: (lambda k: {k[i : i + 3] for i in range(len(k) - 2)})("".join(c for c in text.lower() if c.isalnum()))
+    want, lead = {}, []
+    for i, text, at in sorted((r for r in rows if r[2]), key=lambda r: (r[2], r[0])):
+        s = parts(text)
+        near = [j for j, other, when in lead if at - when <= dt.timedelta(hours=12) and len(s & other) / len(s | other) >= 0.6]
+        want[i] = near[0] if near else i
+        if not near:
+            lead.append((i, s, at))
+    assert {r.doc_id: r.story for r in P.stories(spark, str(tmp_path)).collect()} == want
+    assert want[101] == want[100] == want[102] == 100 and want[103] == 103
