@@ -97,6 +97,16 @@ def test_market_hours_on_both_clocks(spark):
 # --- forecasts
 
 
+def test_forecasts_are_made_from_whole_series(spark):
+    rows = walk(1600, "long", 5)
+    y = np.log([r[-1] for r in rows])
+    got = {(r.model, r.h): r.bp for r in M.forecasts(spark.createDataFrame(rows, BARS), [1, 20]).collect()}
+    want = {(n, h): float(f(y, 20)[h - 1] - y[-1]) * 1e4 for n, f in M.MODELS.items() for h in (1, 20)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    assert abs(want["knn", 20] - (M.pattern_match(y[-1100:], 20)[19] - y[-1]) * 1e4) > 1  # the older shapes matter
+
+
+
 @pytest.mark.parametrize("name", list(M.MODELS))
 def test_models_give_finite_paths_that_no_later_bar_changes(name):
     y = np.log(np.array([b[7] for b in walk(600)]))
