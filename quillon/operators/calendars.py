@@ -34,7 +34,8 @@ def weekday_of(year: int, month: int, weekday: int, n: int) -> dt.date:
 
 @dataclass(frozen=True)
 class Rule:
-    """A holiday in the years it holds: a fixed day, an n-th weekday, a distance to Easter, or a day by year."""
+    """A holiday in the years it holds: a fixed day, an n-th weekday, a weekday on or before a day, a distance to
+    Easter, or a day by year. ``monday``: on a weekend it is the Monday after."""
 
     month: int = 0
     day: int = 0
@@ -44,13 +45,19 @@ class Rule:
     since: int = 0
     until: int = 9999
     but: tuple[int, ...] = ()
+    monday: bool = False
 
     def on(self, year: int) -> dt.date | None:
         if not self.since <= year <= self.until or year in self.but:
             return None
         if self.after_easter is not None:
             return easter(year) + DAY * self.after_easter
-        return weekday_of(year, self.month, self.weekday, self.n) if self.n else dt.date(year, self.month, self.day)
+        if self.n:
+            return weekday_of(year, self.month, self.weekday, self.n)
+        day = dt.date(year, self.month, self.day)
+        if self.weekday >= 0:
+            return day - DAY * ((day.weekday() - self.weekday) % 7)
+        return day + DAY * (7 - day.weekday()) if self.monday and day.weekday() > 4 else day
 
 
 def fixed(month: int, day: int, **kw) -> Rule:
@@ -61,6 +68,10 @@ def nth(month: int, weekday: int, n: int, **kw) -> Rule:
     return Rule(month, weekday=weekday, n=n, **kw)
 
 
+def until_day(month: int, day: int, weekday: int, **kw) -> Rule:
+    return Rule(month, day, weekday=weekday, **kw)
+
+
 def once(year: int, month: int, day: int) -> Rule:
     return Rule(month, day, since=year, until=year)
 
@@ -82,8 +93,19 @@ RULES: dict[str, list[Rule]] = {
         nth(9, MON, 3), nth(10, MON, 2, but=GAMES), fixed(11, 3), fixed(11, 23), fixed(12, 23, until=2018), once(2019, 5, 1), once(2019, 10, 22), once(2020, 7, 23), once(2020, 7, 24), once(2020, 8, 10),
         once(2021, 7, 22), once(2021, 7, 23), once(2021, 8, 8),
     ],
+    "CHF": [NEW_YEAR, fixed(1, 2), GOOD_FRIDAY, EASTER_MONDAY, Rule(after_easter=39), Rule(after_easter=50), fixed(5, 1), fixed(8, 1), CHRISTMAS, BOXING],
+    "CAD": [
+        fixed(1, 1, monday=True), GOOD_FRIDAY, until_day(5, 24, MON), fixed(7, 1, monday=True), nth(8, MON, 1), nth(9, MON, 1), nth(10, MON, 2), fixed(11, 11, monday=True), CHRISTMAS, BOXING,
+        nth(2, MON, 3, since=2008), fixed(9, 30, since=2021, monday=True),
+    ],
+    # the Mondays nearest 22 and 29 January; the new year's star feast is known to 2026
+    "NZD": [
+        NEW_YEAR, fixed(1, 2), until_day(1, 25, MON), until_day(2, 1, MON), GOOD_FRIDAY, EASTER_MONDAY, nth(6, MON, 1), nth(10, MON, 4), CHRISTMAS, BOXING,
+        fixed(2, 6, until=2013), fixed(2, 6, since=2014, monday=True), fixed(4, 25, until=2013), fixed(4, 25, since=2014, monday=True),
+        once(2022, 6, 24), once(2022, 9, 26), once(2023, 7, 14), once(2024, 6, 28), once(2025, 6, 20), once(2026, 7, 10),
+    ],
 }
-MOVABLE = {"GBP": {(1, 1), (12, 25), (12, 26)}, "AUD": {(1, 1), (1, 26), (12, 25), (12, 26)}}  # moved off weekends to the next free weekday
+MOVABLE = {"GBP": {(1, 1), (12, 25), (12, 26)}, "AUD": {(1, 1), (1, 26), (12, 25), (12, 26)}, "CAD": {(12, 25), (12, 26)}, "NZD": {(1, 1), (1, 2), (12, 25), (12, 26)}}  # moved off weekends to the next free weekday
 
 
 def equinoxes(year: int) -> list[dt.date]:
@@ -127,19 +149,36 @@ def spot_date(trade: dt.date, base: str, quote: str, closed: dict[str, set[dt.da
     return day
 
 
+def spot_next_day(trade: dt.date, base: str, quote: str, closed: dict[str, set[dt.date]]) -> dt.date:
+    """The next business day of both currencies and the dollar, the market's way for USDCAD."""
+    day = trade + DAY
+    while day.weekday() > 4 or any(day in closed[c] for c in (base, quote, "USD")):
+        day += DAY
+    return day
+
+
+NEXT_DAY = {"USDCAD"}
+
+
 def spot_table(spark: SparkSession, pairs: list[tuple[str, str]], years: range) -> DataFrame:
-    """pair, day, spot, roll_days for each weekday and pair whose calendars are known: a bounded dimension."""
+    """pair, day, spot, roll_days for each day and pair whose calendars are known: a bounded dimension.
+
+    ``spot_t1`` and ``roll_days_t1`` are by the next-day rule, for the pairs that the market settles so.
+    """
     closed = {c: set().union(*(holidays(c, y) for y in (*years, years[-1] + 1))) for c in RULES}
     rows = []
     for base, quote in pairs:
         if base in RULES and quote in RULES:
             day = dt.date(years[0], 1, 1)
             while day.year <= years[-1]:
-                if day.weekday() < 5:
-                    spot, nxt = spot_date(day, base, quote, closed), day + DAY * (3 if day.weekday() == 4 else 1)
-                    rows.append((base + quote, day, spot, (spot_date(nxt, base, quote, closed) - spot).days))
+                nxt, found = day + DAY * (3 if day.weekday() == 4 else 1), []
+                for rule in (spot_date, spot_next_day):
+                    known = rule is spot_date or base + quote in NEXT_DAY
+                    spot = rule(day, base, quote, closed) if known else None
+                    found += [spot, (rule(nxt, base, quote, closed) - spot).days if known else None]
+                rows.append((base + quote, day, *found))
                 day += DAY
-    return spark.createDataFrame(rows, "pair string, day date, spot date, roll_days int")
+    return spark.createDataFrame(rows, "pair string, day date, spot date, roll_days int, spot_t1 date, roll_days_t1 int")
 
 
 def trading_grid(spark: SparkSession, first: str, last: str, minutes: int) -> DataFrame:

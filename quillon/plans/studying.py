@@ -156,18 +156,27 @@ def bar_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.join(grid, "slot").join(ends, "seq").select(*SERIES, stamp(), stamp("target"))
 
 
+def daily_years(daily: DataFrame) -> range:
+    """The years that the daily bars lie in."""
+    span = daily.agg(F.min(F.year("bar_time")).alias("a"), F.max(F.year("bar_time")).alias("z")).first()
+    return range(span.a, span.z + 1) if span.a is not None else range(2024, 2025)
+
+
 @query("holidays")
 def holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.holiday_table(spark, range(2020, 2027))
+    """Bank holidays of each currency in the years of the daily bars and the one after, into which value dates reach."""
+    years = daily_years(bars_of(spark, sf_dir).where("tf = '1d'"))
+    return C.holiday_table(spark, range(years[0], years[-1] + 2))
 
 
 @query("spot_dates")
 def spot_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Value dates of each daily bar whose currencies' calendars are known."""
-    pairs = [(r.base, r.quote) for r in few(table(spark, sf_dir, "fx_pairs").select("base", "quote").distinct())]
-    dates = small(C.spot_table(spark, pairs, range(2020, 2027)), 100_000)
+    """Value dates of each daily bar; null where a currency has no calendar. USDCAD also by the next-day rule."""
     daily = bars_of(spark, sf_dir).where("tf = '1d'").withColumn("day", F.to_date("bar_time"))
-    return daily.join(dates, ["pair", "day"]).select("root", "pair", F.date_format("day", "yyyy-MM-dd").alias("day"), F.date_format("spot", "yyyy-MM-dd").alias("spot"), "roll_days")
+    pairs = [(r.base, r.quote) for r in few(table(spark, sf_dir, "fx_pairs").select("base", "quote").distinct())]
+    dates = small(C.spot_table(spark, pairs, daily_years(daily)), 100_000)
+    written = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return daily.join(dates, ["pair", "day"], "left").select("root", "pair", written("day"), written("spot"), "roll_days", written("spot_t1"), "roll_days_t1")
 
 
 @query("gbt_direction")
