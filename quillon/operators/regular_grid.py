@@ -23,9 +23,11 @@ class Trend:
     start: float = 1e4
 
 
-def smooth(at: np.ndarray, value: np.ndarray, group: np.ndarray, p: Trend) -> dict[str, np.ndarray]:
+def smooth(at: np.ndarray, value: np.ndarray, group: np.ndarray, p: Trend, unit: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Smoothed level and slope at each reading, and the filter's states, all groups side by side.
 
+    ``unit`` is the variance of a move over one slot at each reading, one for a group; else the group's own is used.
+
     State (level, slope) with level' = slope + white noise and slope' = white noise, in continuous time: over a
     step d the covariance grows by q*d + s*d**3/3, s*d**2/2 and s*d.
     """
@@ -33,14 +35,7 @@ def smooth(at: np.ndarray, value: np.ndarray, group: np.ndarray, p: Trend) -> di
     n = len(at)
     gap = np.diff(at, prepend=at[:1])
     gap[first] = 0
-    move = np.diff(value, prepend=value[:1])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rate = np.where(gap > 0, move**2 / np.maximum(gap, 0.25), np.nan)
-    unit = np.empty(len(first))
-    for i, (a, m) in enumerate(zip(first, length)):
-        seen = rate[a : a + m]
-        seen = seen[np.isfinite(seen) & (seen > 0)]
-        unit[i] = np.median(seen) / 0.4549 if len(seen) else max(abs(value[a]) * 1e-4, 1e-9) ** 2  # median of chi-square(1)
+    unit = own_units(gap, value, first, length) if unit is None else unit[first]
     order = np.argsort(-length, kind="stable")
     first_o, length_o, q = first[order], length[order], unit[order]
     alive = np.searchsorted(-length_o, -np.arange(1, int(length_o.max()) + 1), side="right")
@@ -76,6 +71,32 @@ def smooth(at: np.ndarray, value: np.ndarray, group: np.ndarray, p: Trend) -> di
     return out | {f"f_{k}": keep[k] for k in ("level", "slope", "p11", "p12", "p22")} | {k: keep[k] for k in ("bl", "bs", "b11", "b12", "b22")} | {"unit": np.repeat(unit, length), "gap": gap}
 
 
+def own_units(gap: np.ndarray, value: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    move = np.diff(value, prepend=value[:1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rate = np.where(gap > 0, move**2 / np.maximum(gap, 0.25), np.nan)
+    unit = np.empty(len(first))
+    for i, (a, m) in enumerate(zip(first, length)):
+        seen = rate[a : a + m]
+        seen = seen[np.isfinite(seen) & (seen > 0)]
+        unit[i] = np.median(seen) / 0.4549 if len(seen) else max(abs(value[a]) * 1e-4, 1e-9) ** 2  # median of chi-square(1)
+    return unit
+
+
+def with_units(one: DataFrame) -> DataFrame:
+    """``unit`` of each reading: what ``own_units`` gives for its whole series, in windows that spill."""
+    series = Window.partitionBy(*SERIES)
+    by_time = series.orderBy("at")
+    gap = (F.col("at") - F.lag("at").over(by_time)) / F.col("slot_us")
+    rate = F.pow(F.col("value") - F.lag("value").over(by_time), F.lit(2.0)) / F.greatest(gap, F.lit(0.25))
+    df = one.withColumns({"_r": rate, "_v": F.first("value").over(by_time)})
+    df = df.withColumn("_r", F.when((F.col("_r") > 0) & (F.col("_r") < float("inf")), F.col("_r")))
+    df = df.withColumns({"_k": F.row_number().over(series.orderBy(F.col("_r").asc_nulls_last())), "_n": F.count("_r").over(series)})
+    middle = F.avg(F.when(F.abs(2 * F.col("_k") - F.col("_n") - 1) <= 1, F.col("_r"))).over(series)
+    none = F.pow(F.greatest(F.abs("_v") * 1e-4, F.lit(1e-9)), F.lit(2.0))
+    return df.withColumn("unit", F.coalesce(middle / 0.4549, none)).drop("_r", "_v", "_k", "_n")
+
+
 def back_step(state: list, ahead: list, later: list, d: np.ndarray) -> list:
     """Rauch-Tung-Striebel step: filtered ``state``, its prediction ``ahead`` by ``d`` and the smoothed ``later``."""
     l, s, p11, p12, p22 = state
@@ -109,13 +130,13 @@ def at_slots(found: dict, before: np.ndarray, d: np.ndarray, p: Trend) -> tuple[
 
 def grid(batches: Iterator[pa.RecordBatch], p: Trend, rows: int = 200_000) -> Iterator[pa.RecordBatch]:
     for table, group in whole_groups(batches, [*SERIES, "block"]):
-        time, value, role, size = (table.column(c).to_numpy() for c in ("at", "value", "role", "slot_us"))
+        time, value, role, size, unit = (table.column(c).to_numpy() for c in ("at", "value", "role", "slot_us", "unit"))
         fresh = np.r_[True, (time[1:] != time[:-1]) | (group[1:] != group[:-1])]
         # a reading may be here by the halo and as the neighbour of the block; own rows sort first
-        time, value, role, size, group = time[fresh], value[fresh], role[fresh], size[fresh], group[fresh]
+        time, value, role, size, unit, group = time[fresh], value[fresh], role[fresh], size[fresh], unit[fresh], group[fresh]
         index = np.flatnonzero(fresh)
         slot = time // size
-        found = smooth((time - time[0]) / size, value, group, p)
+        found = smooth((time - time[0]) / size, value, group, p, unit)
         same = np.r_[group[1:] == group[:-1], False]
         own = role == 0
         # own readings: one row for the first of a slot; a slot's start lies in the gap before its first reading
@@ -168,17 +189,18 @@ def regular_grid(readings: DataFrame, slot_us: Column, block_slots: int = 1024,
     slots with a halo of readings on either side; each block also gets the nearest reading before and after it,
     wherever that is, and owns the gap before each of its readings, so gaps of any length are filled once and
     from both ends. Slots inside a gap come in closed form from the smoothed ends: the recursion runs over
-    readings only. Blocks without readings don't exist, hot series are many blocks.
+    readings only, with the noise level of the whole series. Blocks without readings don't exist, hot series are many blocks.
 
     Rows with a null series, instant or value are no readings; ties at an instant are averaged; empty tables
     give an empty result; other columns are dropped.
     """
     good = F.col("at").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value") & slot_us.isNotNull() & (slot_us > 0)
     one = readings.where(good).groupBy(*SERIES, "at", slot_us.cast("long").alias("slot_us")).agg(F.avg("value").alias("value"))
+    one = with_units(one)
     width = F.col("slot_us") * block_slots
     near = with_halo(one, F.col("at"), width, F.col("slot_us") * halo_slots)
-    near = near.select(*SERIES, "block", "slot_us", "at", "value", F.when(F.col("own"), 0).otherwise(1).alias("role"))
-    ends = one.groupBy(*SERIES, "slot_us", floor_div(F.col("at"), width).alias("block")).agg(F.min(F.struct("at", "value")).alias("a"), F.max(F.struct("at", "value")).alias("z"))
+    near = near.select(*SERIES, "block", "slot_us", "at", "value", "unit", F.when(F.col("own"), 0).otherwise(1).alias("role"))
+    ends = one.groupBy(*SERIES, "slot_us", floor_div(F.col("at"), width).alias("block")).agg(F.min(F.struct("at", "value", "unit")).alias("a"), F.max(F.struct("at", "value", "unit")).alias("z"))
     order = Window.partitionBy(*SERIES).orderBy("block")
     bridges = ends.select(*SERIES, "slot_us", "block", F.array_compact(F.array(F.lag("z").over(order), F.lead("a").over(order))).alias("both"))
     bridges = bridges.select(*SERIES, "block", "slot_us", F.inline("both")).withColumn("role", F.lit(1))

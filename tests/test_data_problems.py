@@ -198,6 +198,18 @@ def test_grid_has_every_slot_once_and_marks_the_empty_ones(spark):
     assert all(math.isfinite(r.value) and r.sd >= 0 and 0.9 < r.value < 1.4 for r in got)
 
 
+def test_noise_of_the_grid_is_that_of_the_whole_series(spark):
+    rng, slot = np.random.default_rng(8), 60_000_000
+    at = np.sort(rng.choice(4096 * 4, 900, replace=False)) * (slot // 4) + 1
+    value = np.cumsum(rng.standard_normal(900) * np.where(np.arange(900) < 450, 0.01, 1.0))
+    df = spark.createDataFrame([("r", "EURUSD", "1m", int(t), float(v), slot) for t, v in zip(at, value)], "root string, pair string, tf string, at long, value double, slot_us long")
+    cut, whole = ({r.slot: r for r in G.regular_grid(df, F.col("slot_us"), block_slots=b, halo_slots=h).collect()} for b, h in ((256, 96), (10_000, 96)))
+    assert cut.keys() == whole.keys() and all(abs(cut[k].sd / whole[k].sd - 1) < 0.02 for k in cut)
+    unit = G.own_units(np.diff(at, prepend=at[0]) / slot, value, np.array([0]), np.array([900]))[0]
+    assert all(abs(r.unit / unit - 1) < 1e-9 for r in G.with_units(df).collect())
+    assert G.with_units(df.limit(1)).first().unit > 0
+
+
 def test_smoother_equals_dense_algebra():
     rng = np.random.default_rng(2)
     at, value = np.sort(rng.random(12) * 20), rng.standard_normal(12)
