@@ -183,7 +183,7 @@ def bar_states(prices: DataFrame, timeframes: DataFrame, e: Emissions = Emission
 
     ``state`` is 0 normal, 1 spike, 2 stuck, 3 impossible; ``p_spike`` and ``p_stuck`` are the probabilities
     of the forward-backward pass, ``distance`` how far the farthest price lies outside the levels before and
-    after the bar, in median moves of the series.
+    after the bar, in median moves of the series' block (with its halo; not of the whole series).
 
     Model: each bar of a series is normal, a spike, stuck or out of range. A lasting move agrees with the level
     after it, a lively series has a large median move, so neither is a spike; a stuck bar repeats all four
