@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from compare import DATA, connection, same  # noqa: E402
 
-from quillon.llm import byte_bpe as B, mixing as M, nearest_time as N, queries as Q, residue as R  # noqa: E402
+from quillon.llm import byte_bpe as B, mixing as M, nearest_time as N, queries as Q, residue as R, residue_text as T  # noqa: E402
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -158,60 +158,85 @@ def test_sources_in_any_spelling_count(spark):
 
 # --- problem 8
 
-OPEN = ["Dear {{name}},", "USD/JPY traded at ${price} today.", "Rates rose by %COUNT% points.", "The euro {verb} 0.3% today.", "円は{{ 通貨ペア }}近辺で推移した。", "○○○売りの動きは一巡した。", "Stops below __PRICE__ held.", "Volume was undefined than usual.", "[insert currency pair] fell.", "Week 4: [TBC: flow] in NZD", "【通貨ペア】は%(price)sまで上昇した。"]
-PAGES = ["404 Not Found", "Please enable JavaScript to view this page.", "Status: 522\nRay f5ae74f3", "ページが見つかりません", "Lorem ipsum dolor sit amet, consectetur elit.", "asdf qwerty foo test bar", '{"error": {"code": 503, "message": "quota exceeded"}}', "Traceback (most recent call last):", "This paragraph is a placeholder."]
-FINE = ["The template for letters has fields such as [NAME] and ${rate}, which the desk fills in.", 'Clients saw "Service unavailable" and "error 503" for an hour.', "調査の質問票には{回答者}欄があり、3社が挙げた。", "Files are named prices, files named prices/{pair}_{tf}.csv, one line per bar.", "取引所では約5分間「アクセスが集中しております」との表示が出た。", '{"type":"batch","errors":["CHFJPY 1h: timed out"]}', "【為替】ドル円は150", "Costs are <2% of notional, $5 per lot, and [a] marks revised figures.", "未確定の値を●で示す。"]
+OPEN = ["Dear {{name}},", "USD/JPY traded at ${price} today.", "Rates rose by %COUNT% points.", "The euro {verb} 0.3% today.", "円は{{ 通貨ペア }}近辺で推移した。", "Stops below __PRICE__ held.", "[insert currency pair] fell.", "【為替】円は%(price)sまで上昇した。", "Hello {{customer.first-name}}", "Dear <customer_name>, thank you for your order.", "Hi [FIRST_NAME], your statement is ready."]
+# wordings that neither the weak labels' groups nor the made pages hold as they stand
+PAGES = [
+    "500 Internal Server Error", "HTTP 410 Gone", "Sample text only. Replace before release.", "JavaScriptをオンにしてください。", "Oops, that page is missing.", "This site needs cookies; switch them on and reload.", "Your login did time out, sign in once more.",
+    "The service is temporarily swamped.", "502 Proxy Error", "お使いの環境ではクッキーが無効です。", "ただいま大変混み合っています。時間をおいてお試しください。", "Error 1020: blocked by firewall", "Please complete the captcha to proceed.", "Dummy dummy dummy dummy dummy dummy",
+    "ここにタイトルを入れてください", "Sorry, this video cannot be played.", "file not found on server", "ページの読み込みに失敗しました。", "Sample text. Sample text. Sample text. Sample text.", "これは例文です。これは例文です。これは例文です。これは例文です。",
+]
+FINE = [
+    "The template for letters has fields such as [NAME] and ${rate}, which the desk fills in.", 'Clients saw "Service unavailable" and "error 503" for an hour, and EUR/USD gapped.', "調査の質問票には{回答者}欄があり、3社が挙げた。", "Files are named prices, files named prices/{pair}_{tf}.csv, one line per bar.", "取引所では約5分間「アクセスが集中しております」との表示が出た。",
+    '{"type":"batch","files":{"prices/CHFJPY_1h.csv":[1,"a"]},"errors":["CHFJPY 1h: timed out"]}', "【為替】ドル円は150", "The bank said its website was down for two hours on Friday.", "Kind regards,\nThe dealing desk", "Stops below 1.05 were left untouched when EUR/USD turned.", "下値の目処は1.6470とみられる。", "| 1 | 2 |\n|---|---|\n| 3 | 4 |",
+]
 
 
-@pytest.mark.parametrize("text", OPEN + PAGES)
-def test_residue_is_confirmed(text):
-    assert any(R.confirmed(s, False) for s in R.segments(R.cleaned(text)))
-
-
-@pytest.mark.parametrize("text", FINE)
-def test_mentions_are_not(text):
-    assert not any(R.confirmed(s, R.one_case(text)) for s in R.segments(R.cleaned(text)))
-
-
-ROUND = ["Sample text. " * 4, "Week 17: short covering in GBP\n\nSample text. Sample text. Sample text.", "Sample  text.  " * 10, "sample text sample text sample text sample text", "Early wrap\n\nこれは例文です。これは例文です。これは例文です。"]
-NOT_ROUND = ["Sample text from the last survey shows that dealers expect USD to weaken.", "下値の目処は1.6470とみられる。下値の目処は0.7934とみられる。", "USD rose. EUR fell. USD rose. JPY fell. CHF was flat. USD rose. AUD fell.", "| 1 | 2 |\n|---|---|\n| 3 | 4 |\n|---|---|\n|---|---|", ""]
+@pytest.fixture(scope="module")
+def learned(spark):
+    return R.trained(R.lot_of(R.drawn(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))))
 
 
-@pytest.mark.parametrize("text", ROUND + NOT_ROUND)
-def test_filler_by_repetition(text):
-    assert R.repeated(R.segments(R.cleaned(text))).any() == (text in ROUND)
+def test_unseen_wordings_are_found_and_mentions_are_not(learned):
+    model, _ = learned
+    cases = OPEN + PAGES + [f"Market wrap\n\n{p}\nShare this page" for p in PAGES]
+    hit = model.probability(T.paged(cases)) >= model.threshold
+    false = model.probability(T.paged(FINE)) >= model.threshold
+    assert hit.mean() >= 0.9, [c for c, h in zip(cases, hit) if not h]
+    assert hit.sum() / (hit.sum() + false.sum()) >= 0.9 and false.sum() <= 1, [c for c, f in zip(FINE, false) if f]
 
 
-def test_repeated_filler_comes_out_and_failed_fill_in_its_usual_case(spark):
-    good = [f"The dollar rose against the yen after data number {i}. Traders saw support at 1.{i}." for i in range(50)]
-    bad = [*ROUND, "Retail sales: what it means for [object Object]", "Dear {{name}},"]
-    docs = spark.createDataFrame([(i, t, "p") for i, t in enumerate(good + NOT_ROUND + bad)], "doc_id long, text string, publisher string")
-    got = R.residue(docs, ["doc_id"]).where("residue").collect()
-    assert {r.doc_id for r in got} == set(range(len(good + NOT_ROUND), len(good + NOT_ROUND + bad)))
+def test_unseen_publishers(learned):
+    model, (documents, positive, found, both) = learned
+    assert documents > 1000 and positive > 50 and both >= 0.95 * positive and both >= 0.95 * found
+    assert R.LEVELS[0] <= model.threshold <= R.LEVELS[-1]
 
 
-def test_classifier_on_unseen_publishers(spark):
-    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    r = R.validation(d).first()
-    assert r.positive > 100 and r.caught >= 0.97 * r.positive and r.passed_on < 0.2 * r.segments
+def test_the_words_around_a_place_do_not_count(spark, learned):
+    """Sentences of long documents, with a place for a word of every third: only those come out."""
+    model, _ = learned
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) > 1500").orderBy("doc_id").limit(60).toPandas()
+    pages = T.paged(list(d.text))
+    plain = [pages.segment(k) for k in np.flatnonzero(~pages.groups.any(axis=1) & ~pages.signs & (pages.words > 5))][:900]
+    rng = np.random.default_rng(1)
+    places = ["{{amount}}", "${rate}", "[[name]]", "%(x)s", "<%= y %>", "{{{z}}}", "__TOTAL__", "#{who}"]
+    texts = [R.planted(s, places[i % 8], rng) if i % 3 == 0 else s for i, s in enumerate(plain)]
+    hit = model.probability(T.paged(texts)) >= model.threshold
+    want = np.arange(len(texts)) % 3 == 0
+    assert hit[want].mean() >= 0.9 and hit[~want].mean() <= 0.02
 
 
 def test_documents_with_residue(spark):
     good = [f"The dollar rose against the yen after data number {i}. Traders saw support at 1.{i}." for i in range(300)]
     rows = [(i, t, f"p{i % 7}") for i, t in enumerate(good)] + [(1000 + i, t, f"p{i % 7}") for i, t in enumerate((OPEN + PAGES) * 4)]
-    rows += [(5000, None, None), (5001, "", "p"), (5002, " \n\t", "p"), (5003, "word " * 200_000 + "\nDear {{name}},", "p"), (1000, OPEN[0], "p0")]
+    rows += [(5000, None, None), (5001, "", "p"), (5002, " \n\t", "p"), (5003, "word " * 200_000 + "\nDear {{name}},", "p"), (1000, OPEN[0], "p0"), (None, "404 Not Found", None)]
     docs = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, publisher string, residue string, score double")
     got = R.residue(docs.drop("residue", "score"), ["doc_id"]).collect()
     assert len(got) == len(rows)
-    assert {r.doc_id for r in got if r.residue} == {1000 + i for i in range(len((OPEN + PAGES) * 4))} | {5003}
+    want = {1000 + i for i in range(len((OPEN + PAGES) * 4))} | {5003, None}
+    found = {r.doc_id for r in got if r.residue}
+    assert len(found & want) >= 0.95 * len(want) and not found - want and 5003 in found
     assert all(r.score == 0 for r in got if r.doc_id in (5000, 5001, 5002))
     assert R.residue(docs.limit(0), ["doc_id"]).count() == 0
+    assert R.residue(docs.where("doc_id < 100"), ["doc_id"]).count() == 100
+
+
+def test_features_of_a_text_do_not_depend_on_its_neighbours():
+    texts = [*OPEN, *PAGES, *FINE, "", " \n", "a\x1eb", "\ud800 x", "İstanbul ﬁ １２３", "😀" * 5]
+    whole = T.paged(texts)
+    for i, text in enumerate(texts):
+        alone = T.paged([text])
+        own = np.flatnonzero(whole.owner == i)
+        assert len(own) == len(alone.owner)
+        ends = np.r_[whole.start, len(whole.index)]
+        got = [sorted(whole.index[ends[k] : ends[k + 1]].tolist()) for k in own]
+        ends = np.r_[alone.start, len(alone.index)]
+        assert got == [sorted(alone.index[ends[k] : ends[k + 1]].tolist()) for k in range(len(own))]
 
 
-def test_gradient_fit_separates():
+def test_fit_separates():
     rng = np.random.default_rng(0)
-    label = rng.random(400) < 0.3
+    label = (rng.random(400) < 0.3).astype(np.int8)
     index = np.concatenate([[1 if y else 2, 3 + k % 5] for k, y in enumerate(label)])
-    start = np.arange(400) * 2
-    p = R.fit(index, start, label).probability(index, start)
-    assert ((p > 0.5) == label).all()
+    cases = R.Cases(index, np.ones(800, dtype=np.float32), np.arange(400) * 2, label, np.zeros(400, dtype=bool))
+    model = R.fit(cases, epochs=40, batch=64)
+    assert ((model.logit(cases.index, cases.value, cases.start) > 0) == label).all()
