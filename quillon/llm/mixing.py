@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -15,19 +18,39 @@ BINS = 4096
 
 @dataclass
 class Node:
-    """A domain, language or source; leaves have a weight and a capacity."""
+    """A domain, language or source; leaves have a weight and a capacity.
+
+    ``due`` is what the node would get if no node were short, ``budget`` what it gets.
+    """
 
     weight: float = 0.0
     capacity: float = 0.0
     children: dict[str, "Node"] = field(default_factory=dict)
+    due: Fraction = Fraction(0)
     budget: float = 0.0
 
     def gather(self) -> None:
+        """Weights and capacities of inner nodes; a child without weight gets nothing, so its capacity doesn't count."""
         for child in self.children.values():
             child.gather()
         if self.children:
-            self.weight = sum(c.weight for c in self.children.values())
-            self.capacity = sum(c.capacity for c in self.children.values())
+            self.weight = math.fsum(c.weight for c in self.children.values())
+            self.capacity = sum(c.capacity for c in self.children.values() if c.weight > 0)
+
+    def divide(self, due: Fraction) -> None:
+        """Hand the whole out by weight alone, level by level; exact, so that no rounding decides who is short."""
+        self.due = due
+        total = sum(c.exact() for c in self.children.values())
+        for c in self.children.values():
+            c.divide(due * c.exact() / total if total else Fraction(0))
+
+    def exact(self) -> Fraction:
+        """The weight as a fraction: of an inner node the sum of its leaves' weights."""
+        return sum((c.exact() for c in self.children.values()), Fraction(0)) if self.children else Fraction(self.weight)
+
+    def short(self) -> bool:
+        """A node that can't use its share as the tree hands it out."""
+        return self.capacity < self.due
 
     def spend(self, budget: float) -> None:
         """Divide the budget among the children by weight; what one can't use goes to its siblings.
@@ -64,7 +87,7 @@ def budgets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     if not rows:
         return
     t = pd.concat(rows, ignore_index=True).sort_values("source", ignore_index=True)
-    t["weight"] = t["target_weight"].fillna(0.0).clip(lower=0.0)
+    t["weight"] = t["target_weight"].where(np.isfinite(t["target_weight"].astype(float)), 0.0).astype(float).clip(lower=0.0)
     t["repeats"] = t["max_repeats"].fillna(0).clip(lower=0)
     total, weights = float(t["tokens"].sum()), float(t["weight"].sum())
     root = Node()
@@ -73,13 +96,13 @@ def budgets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         leaf = root.children.setdefault(domain, Node()).children.setdefault(lang, Node()).children
         leaf[r.source] = Node(r.weight, float(r.repeats) * r.tokens)
     root.gather()
+    root.divide(Fraction(int(t["tokens"].sum())))
     root.spend(total)
-    found = {name: leaf.budget for d in root.children.values() for g in d.children.values() for name, leaf in g.children.items()}
+    leaves = {name: leaf for d in root.children.values() for g in d.children.values() for name, leaf in g.children.items()}
     t["target_share"] = t["weight"] / weights if weights else 0.0
     t["wanted"] = total * t["target_share"]
-    t["budget"] = t["source"].map(found).astype(float)
-    # exactly as the case is stated: repeats times size against T times the weight over the sum of weights
-    t["short"] = t["repeats"] * t["tokens"] < (total * t["weight"] / weights if weights else 0.0)
+    t["budget"] = [leaves[x].budget for x in t["source"]]
+    t["short"] = [leaves[x].short() for x in t["source"]]
     yield t[["source", "tokens", "repeats", "target_share", "wanted", "budget", "short"]]
 
 
@@ -90,8 +113,8 @@ def plain_source(name: str = "source"):
 def allocation(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """Budget of each source of ``targets``: source, tokens, repeats, target_share, wanted, budget, short.
 
-    ``sizes``: source and tokens, one row per source. ``short`` says that even with all its repeats the source
-    can't give its share. The rows of ``targets`` (a table of the sources, not of the documents) are put on one
+    ``sizes``: source and tokens, one row per source. ``short`` says that the leaf can't use, even with all its
+    repeats, the share that the tree hands down to it by weight before anything is redistributed. The rows of ``targets`` (a table of the sources, not of the documents) are put on one
     task; a source listed more than once counts once with its greatest weight and repeats.
     """
     once = targets.where(F.col("source").isNotNull()).groupBy(plain_source().alias("source")).agg(F.max("target_weight").alias("target_weight"), F.max("max_repeats").alias("max_repeats"))

@@ -128,6 +128,26 @@ def test_shortages_go_to_siblings_first():
     assert root.budget == 210
 
 
+def test_a_leaf_without_weight_gives_no_capacity():
+    leaf = lambda w, c: M.Node(w, c)
+    root = M.Node(children={"a": M.Node(children={"en": leaf(1, 10), "ja": leaf(0, 1000)}), "b": M.Node(children={"en": leaf(1, 500)})})
+    root.gather()
+    root.divide(M.Fraction(200))
+    root.spend(200)
+    got = {(d, g): n for d, x in root.children.items() for g, n in x.children.items()}
+    assert {k: n.budget for k, n in got.items()} == {("a", "en"): 10, ("a", "ja"): 0, ("b", "en"): 190}
+    assert {k: n.due for k, n in got.items()} == {("a", "en"): 100, ("a", "ja"): 0, ("b", "en"): 100}
+    assert [k for k, n in got.items() if n.short()] == [("a", "en")] and root.children["a"].short()
+
+
+def test_short_is_exact_at_the_border(spark):
+    """Three equal weights of a total that doesn't divide: a capacity of a third less one is short, of a third is not."""
+    rows = [(1, "a-en", 1), (2, "b-en", 1), (3, "c-en", 1)]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    t = spark.createDataFrame([("a-en", 0.1, 1), ("b-en", 0.1, 1), ("c-en", 0.1, 1)], "source string, target_weight double, max_repeats int")
+    assert not any(r.short for r in M.allocation(M.source_sizes(sizes), t).collect())
+
+
 def mixed(spark, rows, targets):
     sizes = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
     t = spark.createDataFrame(targets, "source string, target_weight double, max_repeats int")
