@@ -186,9 +186,14 @@ def trading_grid(spark: SparkSession, first: str, last: str, minutes: int) -> Da
 
     The slots of each day are numbered in the day and the days' counts are summed up, so no task numbers them all.
     """
-    step = f"INTERVAL {minutes} MINUTES"
-    span = spark.sql(f"SELECT explode(sequence(TIMESTAMP_NTZ '{first} 00:00:00', TIMESTAMP_NTZ '{last} 23:59:59', {step})) AS slot")
-    open_ = span.where(market_open(F.col("slot"))).withColumn("day", F.to_date("slot"))
+    return trading_slots(spark.range(1).select(F.lit(first).cast("date").alias("first"), F.lit(last).cast("date").alias("last")), minutes)
+
+
+def trading_slots(span: DataFrame, minutes: int) -> DataFrame:
+    """The same from the one row of ``span`` (first, last): nothing is collected while the query is declared."""
+    ends = [F.col("first").cast("timestamp_ntz"), F.timestamp_add("SECOND", F.lit(86_399), F.col("last").cast("timestamp_ntz"))]
+    slots = span.where(F.col("first").isNotNull()).select(F.explode(F.sequence(*ends, F.expr(f"INTERVAL {minutes} MINUTES"))).alias("slot"))
+    open_ = slots.where(market_open(F.col("slot"))).withColumn("day", F.to_date("slot"))
     before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     days = open_.groupBy("day").agg(F.count(F.lit(1)).alias("n")).select("day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     place = F.row_number().over(Window.partitionBy("day").orderBy("slot"))

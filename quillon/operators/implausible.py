@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillon.functions.times import micros
 from quillon.operators.batches import bounds, changes, in_order, whole_groups, with_halo
-from quillon.sources.tables import SERIES, few, plain_pair
+from quillon.sources.tables import SERIES, lengths, plain_pair
 
 NORMAL, SPIKE, STUCK, IMPOSSIBLE = range(4)
 PRICES = ["open", "high", "low", "close"]
@@ -198,13 +198,11 @@ def bar_states(prices: DataFrame, timeframes: DataFrame, e: Emissions = Emission
     Null prices are no evidence; rows with a null ``bar_time`` are judged by the hard bound alone (see
     ``judged``); unknown timeframes count bars of a day; empty tables give an empty result.
     """
-    minutes = {r["tf"]: r["minutes"] or 1440 for r in few(timeframes.select("tf", "minutes"))}
-    bar_us = F.lit(1440)
-    for tf, m in minutes.items():
-        bar_us = F.when(F.col("tf") == tf, F.lit(m)).otherwise(bar_us)
-    bar_us = bar_us.cast("long") * F.lit(60_000_000)
     versions = versioned(prices).where(F.col("at").isNotNull()).groupBy(*SERIES, "at", *PRICES).agg(F.max("stored").alias("stored"))
-    blocks = with_halo(versions, F.col("at"), bar_us * block_bars, bar_us * halo_bars)
+    day = F.lit(86_400_000_000)
+    length = F.coalesce(F.nullif("length", F.lit(0)), day)
+    versions = versions.join(lengths(timeframes), "tf", "left")
+    blocks = with_halo(versions, F.col("at"), length * block_bars, length * halo_bars)
     sorted_blocks = in_order(blocks.select(*SERIES, "block", "at", "stored", *PRICES, "own"), [*SERIES, "block"], "at", "stored", *PRICES)
     schema = "root string, pair string, tf string, at bigint, open double, high double, low double, close double, state int, p_spike double, p_stuck double, distance double"
     return sorted_blocks.mapInArrow(lambda batches: states(batches, e), schema)

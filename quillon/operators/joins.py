@@ -50,11 +50,45 @@ def dense(rows: DataFrame, keys: list[str], day: str, values: list[str]) -> Data
     return calendar.join(rows, [*keys, day], "left").fillna(0, values)
 
 
-def common(rows: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """Instants at which every one of the keys has a value, with the number of keys (n-way inner join)."""
-    keys = rows.select(key).distinct().agg(F.count(F.lit(1)).alias("all_keys"))
-    each = rows.where(F.col(value).isNotNull()).groupBy(at).agg(F.count_distinct(key).alias("n"))
-    return each.join(F.broadcast(keys), F.col("n") == F.col("all_keys")).select(at, "n")
+def common(rows: DataFrame, group: list[str], key: str, at: str) -> DataFrame:
+    """Instants at which every key of its group has a row, with the number of keys (n-way inner join on time)."""
+    keys = rows.groupBy(*group).agg(F.count_distinct(key).alias("n"))
+    each = rows.groupBy(*group, at).agg(F.count_distinct(key).alias("n"))
+    return each.join(keys, [*group, "n"]).select(*group, at, "n")
+
+
+def numbered(rows: DataFrame, keys: list[str], bucket: Column, order: list[str], name: str) -> DataFrame:
+    """The place (from 1) of each row among the rows of its keys in ``order``; ``bucket`` rises with the order.
+
+    Places within buckets plus the running counts of the buckets before: no task sorts more than a bucket's rows.
+    """
+    cut = rows.withColumn("_bucket", bucket)
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n")).select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
+    placed = cut.withColumn("_place", inside).join(sizes, [*keys, "_bucket"])
+    return placed.withColumn(name, (F.col("_place") + F.col("_ahead")).cast("long")).drop("_bucket", "_place", "_ahead")
+
+
+def counted_before(points: DataFrame, asks: DataFrame, ident: str, at: str, span: int, width: int) -> DataFrame:
+    """ident and n: the points in [at - span, at) of each ask, all in one stream (whole numbers of one unit).
+
+    n is the number of points before ``at`` less that before ``at - span``. Each is a running count within a bucket of
+    ``width`` plus the counts of the buckets before, so an ask is two rows, no list is collected and no task holds
+    more than a bucket. Asks without an instant have 0.
+    """
+    ends = F.array(F.struct(F.col(at).alias("_at"), F.lit(1).alias("_sign")), F.struct((F.col(at) - span).alias("_at"), F.lit(-1).alias("_sign")))
+    probes = asks.where(F.col(at).isNotNull()).select(F.col(ident).alias("_id"), F.inline(ends))
+    none = F.lit(None).cast(dict(asks.dtypes)[ident])
+    stream = points.where(F.col(at).isNotNull()).select(none.alias("_id"), F.col(at).alias("_at"), F.lit(0).alias("_sign")).unionByName(probes)
+    stream = stream.withColumn("_bucket", floor_div(F.col("_at"), width))
+    point = (F.col("_sign") == 0).cast("long")
+    sums = stream.groupBy("_bucket").agg(F.sum(point).alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum(point).over(Window.partitionBy("_bucket").orderBy("_at", F.col("_sign") == 0).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = stream.withColumn("_in", inside).where("_sign <> 0").join(sums.select("_bucket", ahead.alias("_ahead")), "_bucket")
+    counts = met.groupBy(F.col("_id").alias(ident)).agg(F.sum(F.col("_sign") * (F.col("_in") + F.col("_ahead"))).cast("long").alias("n"))
+    return asks.select(ident).join(counts, ident, "left").select(ident, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def business_add(day: Column, n: int) -> Column:

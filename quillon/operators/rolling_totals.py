@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillon.functions.times import day_number, day_text, micros
-from quillon.sources.tables import SERIES, few, of_series
+from quillon.sources.tables import SERIES, few, of_series, small
 
 
 def first_and_last(daily: DataFrame, entity: list[str]) -> DataFrame:
@@ -87,13 +87,11 @@ def thin_days(prices: DataFrame) -> DataFrame:
 
 def trailing_bars(prices: DataFrame, timeframes: DataFrame) -> DataFrame:
     """Totals and averages of bars and ranges over 7, 30 and the timeframe's horizons, one row per period."""
-    horizons = {r["tf"]: sorted(set(r["horizons"] or [])) for r in few(timeframes.select("tf", "horizons"))}
-    periods = sorted({7, 30} | {h for hs in horizons.values() for h in hs})
+    own = timeframes.where(F.col("tf").isNotNull()).select("tf", F.explode("horizons").alias("h")).where(F.col("h") > 0)
+    periods = sorted({7, 30} | {r.h for r in few(own.select("h").distinct())})
+    wanted = small(own.groupBy("tf").agg(F.collect_set("h").alias("_own")))
     totals = rolling_totals(daily_bar_totals(prices), SERIES, ["bars", "span"], periods)
-
-    def wanted(p: int) -> Column:
-        return F.lit(True) if p in (7, 30) else F.col("tf").isin([tf for tf, hs in horizons.items() if p in hs])
-
-    each = F.array_compact(F.array(*(F.when(wanted(p), F.struct(F.lit(p).alias("days"), F.col(f"bars_{p}").cast("long").alias("bars"), F.col(f"span_{p}").cast("double").alias("span"))) for p in periods)))
-    rows = totals.select(*SERIES, day_text(F.col("day")).alias("day"), F.inline(each))
+    asked = lambda p: F.lit(True) if p in (7, 30) else F.array_contains("_own", p)
+    each = F.array_compact(F.array(*(F.when(asked(p), F.struct(F.lit(p).alias("days"), F.col(f"bars_{p}").cast("long").alias("bars"), F.col(f"span_{p}").cast("double").alias("span"))) for p in periods)))
+    rows = totals.join(wanted, "tf", "left").select(*SERIES, day_text(F.col("day")).alias("day"), F.inline(each))
     return rows.select(*SERIES, "day", "days", "bars", F.round("span", 6).alias("span_total"), F.round(F.col("bars") / F.col("days"), 9).alias("bars_a_day"), F.round(F.col("span") / F.col("days"), 9).alias("span_a_day"))

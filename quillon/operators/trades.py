@@ -28,8 +28,19 @@ def entries(bars: DataFrame, width: float = 2.0, hold: int = 5, warm_up: int = 1
     return df.select(*SERIES, "bar_time", "n", "d", F.col("close").alias("entry"), (F.col("close") - step).alias("sl"), (F.col("close") + step).alias("tp"), "ahead", F.lit(hold).alias("hold"))
 
 
-def settled(trades: DataFrame) -> DataFrame:
-    """how, bars and r of each trade that is over: in a bar the stop comes before the target, a gap fills at the open."""
+def unfolded(trades: DataFrame, grid: list[tuple[float, int]]) -> DataFrame:
+    """Each trade with every stop width and holding period of a grid, unfolded in the row: one scan, one set of windows.
+
+    ``trades`` are entries of width 1 that carry as many bars ahead as the longest holding period; adds ``width``.
+    """
+    settings = F.array(*(F.struct(F.lit(w).alias("width"), F.lit(h).alias("hold")) for w, h in grid))
+    each = trades.drop("hold").select("*", F.inline(settings))
+    step = F.col("entry") - F.col("sl")
+    return each.withColumns({"sl": F.col("entry") - step * F.col("width"), "tp": F.col("entry") + step * F.col("width"), "ahead": F.slice("ahead", F.lit(1), F.col("hold"))})
+
+
+def settled(trades: DataFrame, *more: str) -> DataFrame:
+    """how, bars and r of each trade that is over, and the columns ``more``: in a bar the stop comes before the target, a gap fills at the open."""
     d, sl, tp = F.col("d"), F.col("sl"), F.col("tp")
 
     def outcome(bar, k):
@@ -43,7 +54,7 @@ def settled(trades: DataFrame) -> DataFrame:
     first = F.try_element_at(F.filter(F.transform("ahead", outcome), lambda x: x["px"].isNotNull()), F.lit(1))
     done = trades.withColumn("_x", first).where(F.col("_x").isNotNull())
     r = d * (F.col("_x.px") - F.col("entry")) / F.nullif(F.abs(F.col("entry") - sl), F.lit(0.0))
-    return done.select(*SERIES, "bar_time", "n", F.col("_x.how").alias("how"), F.col("_x.bars").alias("bars"), r.alias("r"))
+    return done.select(*SERIES, "bar_time", "n", F.col("_x.how").alias("how"), F.col("_x.bars").alias("bars"), r.alias("r"), *(F.col(c) for c in more), *(["hold"] if more else []))
 
 
 def one_at_a_time(done: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon.operators import bars as B, recursive as R, signals as S, windows as V
-from quillon.plans.shared import BARS, KEY, Registry, W, bars_of, off_tie, rounded, shown, stamp
+from quillon.plans.shared import BARS, KEY, Registry, W, bars_of, rounded, shown, stamp
 from quillon.sources.tables import SERIES, plain_pair, small, table
 
 query = Registry()
@@ -91,17 +91,17 @@ def gate(expr: str, n: int, lag: int = 0) -> str:
     return f"CASE WHEN count(close) {rows(n, lag)} >= {n} THEN {expr} {rows(n, lag)} END"
 
 
-@query("sma", f"WITH {BARS} SELECT {KEY}, {rounded({f'sma{n}': gate('avg(close)', n) for n in (20, 75, 200)})} FROM bars")
+@query("sma", f"WITH {BARS} SELECT {KEY}, {rounded({f'sma{n}': gate('avg(close)', n) for n in (20, 75, 200)}, 9)} FROM bars")
 def sma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(bars_of(spark, sf_dir).withColumns({f"sma{n}": V.sma("close", n) for n in (20, 75, 200)}), ["sma20", "sma75", "sma200"])
+    return shown(bars_of(spark, sf_dir).withColumns({f"sma{n}": V.sma("close", n) for n in (20, 75, 200)}), ["sma20", "sma75", "sma200"], 9)
 
 
 BB_SQL = f"bb AS (SELECT *, {gate('avg(close)', 20)} AS mid, {gate('stddev_pop(close)', 20)} AS sd FROM bars)"
 
 
-@query("bollinger", f"WITH {BARS}, {BB_SQL} SELECT {KEY}, round(mid - 2 * sd, 6) AS bb_lower, round(mid, 6) AS bb_mid, round(mid + 2 * sd, 6) AS bb_upper FROM bb")
+@query("bollinger", f"WITH {BARS}, {BB_SQL} SELECT {KEY}, round(mid - 2 * sd, 6) AS bb_lower, round(mid, 9) AS bb_mid, round(mid + 2 * sd, 6) AS bb_upper FROM bb")
 def bollinger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(bars_of(spark, sf_dir).withColumns(V.bollinger("close")), ["bb_lower", "bb_mid", "bb_upper"])
+    return shown(bars_of(spark, sf_dir).withColumns(V.bollinger("close")), ["bb_lower", "bb_mid", "bb_upper"], {"bb_mid": 9})
 
 
 @query("donchian", f"WITH {BARS} SELECT {KEY}, {rounded({'don_high': gate('max(high)', 20, 1), 'don_low': gate('min(low)', 20, 1)})} FROM bars")
@@ -133,16 +133,16 @@ def mid_sql(n: int) -> str:
     return f"({gate('max(high)', n)} + {gate('min(low)', n)}) / 2"
 
 
-@query("ichimoku", f"WITH {BARS}, i AS (SELECT *, {mid_sql(9)} AS t, {mid_sql(26)} AS k, {mid_sql(52)} AS b FROM bars) SELECT {KEY}, round(t, 6) AS tenkan, round(k, 6) AS kijun, round((t + k) / 2, 6) AS span_a, round(b, 6) AS span_b FROM i")
+@query("ichimoku", f"WITH {BARS}, i AS (SELECT *, {mid_sql(9)} AS t, {mid_sql(26)} AS k, {mid_sql(52)} AS b FROM bars) SELECT {KEY}, round(t, 9) AS tenkan, round(k, 9) AS kijun, round((t + k) / 2, 9) AS span_a, round(b, 9) AS span_b FROM i")
 def ichimoku(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(bars_of(spark, sf_dir).withColumns(V.ichimoku()), ["tenkan", "kijun", "span_a", "span_b"])
+    return shown(bars_of(spark, sf_dir).withColumns(V.ichimoku()), ["tenkan", "kijun", "span_a", "span_b"], 9)
 
 
 @query("cci", f"""WITH {BARS}, t AS (SELECT *, (high + low + close) / 3 AS tp FROM bars), m AS (SELECT *, CASE WHEN count(tp) {rows(20)} >= 20 THEN avg(tp) {rows(20)} END AS mean, list(tp) {rows(20)} AS held FROM t),
-d AS (SELECT *, list_sum(list_transform(held, lambda x: abs(x - mean))) / 20 AS md FROM m) SELECT {KEY}, round(CASE WHEN md > 1e-12 THEN (tp - mean) / (0.015 * md) END, 4) AS cci FROM d""")
+d AS (SELECT *, list_sum(list_transform(held, lambda x: abs(x - mean))) / 20 AS md FROM m) SELECT {KEY}, round(CASE WHEN md > 1e-12 THEN (tp - mean) / (0.015 * md) END, 5) AS cci FROM d""")
 def cci(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = bars_of(spark, sf_dir).withColumn("typical", (F.col("high") + F.col("low") + F.col("close")) / 3)
-    return shown(df.withColumn("cci", V.cci()), ["cci"], 4)
+    return shown(df.withColumn("cci", V.cci()), ["cci"], 5)
 
 
 PIVOT_SQL = "p AS (SELECT *, (h + l + c) / 3 AS p FROM q) SELECT {key}, round(p, 6) AS pivot, round(2 * p - l, 6) AS r1, round(2 * p - h, 6) AS s1, round(p + h - l, 6) AS r2, round(p - (h - l), 6) AS s2, round(h + 2 * (p - l), 6) AS r3, round(l - 2 * (h - p), 6) AS s3 FROM p"
@@ -248,5 +248,5 @@ SIMPLE_SQL = f"""s0 AS (SELECT *, {gate('avg(close)', 20)} AS a0, {gate('avg(clo
 @query("ma_cross", f"""WITH {BARS}, {SIMPLE_SQL} SELECT {KEY}, CASE WHEN close > a THEN 1 WHEN close < a THEN -1 ELSE 0 END AS sma20, CASE WHEN a > b THEN 1 WHEN a < b THEN -1 ELSE 0 END AS ma_20_75,
 CASE WHEN a > b AND pa <= pb THEN 1 WHEN a < b AND pa >= pb THEN -1 ELSE 0 END AS ma_20_75_cross FROM v""")
 def ma_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = bars_of(spark, sf_dir).withColumns({"a": off_tie(V.sma("close", 20), 9), "b": off_tie(V.sma("close", 75), 9)})
+    df = bars_of(spark, sf_dir).withColumns({"a": F.round(V.sma("close", 20), 9), "b": F.round(V.sma("close", 75), 9)})
     return shown(df.withColumns({"sma20": V.state(F.col("close"), F.col("a")), "ma_20_75": V.state(F.col("a"), F.col("b")), "ma_20_75_cross": V.cross("a", "b")}), ["sma20", "ma_20_75", "ma_20_75_cross"])

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillon.functions.times import DAY_US, micros
 from quillon.operators import bars as B, joins as J
-from quillon.plans.shared import BARS, KEY, PAIR, Registry, W, bars_of, off_tie, shown, stamp
-from quillon.sources.tables import SERIES, plain_pair, small, table
+from quillon.plans.shared import BARS, KEY, PAIR, Registry, W, bars_of, shown, stamp
+from quillon.sources.tables import SERIES, lengths, plain_pair, small, table
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.sql
@@ -86,27 +86,26 @@ def rate_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = prices.where("tf = '1d'").select("line_id", F.substring(plain_pair(F.col("pair")), 1, 3).alias("base"))
     known = rates_at_bars(prices, table(spark, sf_dir, "rates")).join(base, "line_id")
     sign = F.when(F.col("cur") == F.col("base"), 1).otherwise(-1)
-    return known.groupBy("line_id").agg(F.sum(sign * F.col("value")).alias("d"), F.count(F.lit(1)).alias("n")).where("n = 2").select("line_id", off_tie(F.col("d"), 4).alias("diff"))
+    return known.groupBy("line_id").agg(F.sum(sign * F.col("value")).alias("d"), F.count(F.lit(1)).alias("n")).where("n = 2").select("line_id", F.round(F.col("d"), 4).alias("diff"))
 
 
-@query("nway_common_hours", f"WITH {BARS}, b AS (SELECT * FROM bars WHERE tf = '1h'), k AS (SELECT root, count(DISTINCT pair) AS n FROM b GROUP BY root), e AS (SELECT root, bar_time, count(DISTINCT pair) AS n FROM b GROUP BY ALL) SELECT root, strftime(bar_time, '%Y-%m-%d %H:%M:%S') AS bar_time, n AS pairs FROM e JOIN k USING (root, n)")
+@query("nway_common_hours", f"WITH {BARS}, b AS (SELECT *, pair || ' ' || tf AS series FROM bars WHERE tf <> '1d'), k AS (SELECT root, count(DISTINCT series) AS n FROM b GROUP BY root), e AS (SELECT root, bar_time, count(DISTINCT series) AS n FROM b GROUP BY ALL) SELECT root, strftime(bar_time, '%Y-%m-%d %H:%M:%S') AS bar_time, n AS series FROM e JOIN k USING (root, n)")
 def nway_common_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours at which all of a root's pairs have a bar."""
-    hours = bars_of(spark, sf_dir).where("tf = '1h'")
-    pairs = hours.groupBy("root").agg(F.count_distinct("pair").alias("pairs"))
-    each = hours.groupBy("root", "bar_time").agg(F.count_distinct("pair").alias("pairs"))
-    return each.join(pairs, ["root", "pairs"]).select("root", stamp(), "pairs")
+    """Instants at which every intraday series of a root has a bar."""
+    bars = bars_of(spark, sf_dir).where("tf <> '1d'").withColumn("series", F.concat_ws(" ", "pair", "tf"))
+    return J.common(bars, ["root"], "series", "bar_time").select("root", stamp(), F.col("n").alias("series"))
 
 
-@query("left_align", f"""WITH {BARS}, r AS (SELECT root, pair, CAST(bar_time AS DATE) AS day, ln(close / lag(close) OVER ({W})) AS x FROM bars WHERE tf = '1h'), v AS (SELECT root, pair, day, sum(x * x) AS rv FROM r GROUP BY ALL)
-SELECT {KEY}, round(rv, 10) AS rv FROM bars d LEFT JOIN v ON v.root = d.root AND v.pair = d.pair AND v.day = CAST(d.bar_time AS DATE) WHERE tf = '1d'""".replace(KEY, "d.root AS root, d.pair AS pair, d.tf AS tf, strftime(d.bar_time, '%Y-%m-%d %H:%M:%S') AS bar_time"))
+@query("left_align", f"""WITH {BARS}, r AS (SELECT root, pair, CAST(bar_time AS DATE) AS day, ln(close / lag(close) OVER ({W})) AS x FROM bars WHERE tf = '1h'), u AS (SELECT root, pair, day, sum(x * x) AS rv FROM r GROUP BY ALL), v AS (SELECT pair, day, avg(rv) AS rv FROM u GROUP BY ALL)
+SELECT {KEY}, round(rv, 10) AS rv FROM bars d LEFT JOIN v ON v.pair = d.pair AND v.day = CAST(d.bar_time AS DATE) WHERE tf = '1d'""".replace(KEY, "d.root AS root, d.pair AS pair, d.tf AS tf, strftime(d.bar_time, '%Y-%m-%d %H:%M:%S') AS bar_time"))
 def left_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly variance aligned to the daily bars."""
+    """Hourly variance of a pair, its mean over the roots that have hourly bars, aligned to every root's daily bars."""
     bars = bars_of(spark, sf_dir)
     moved = bars.where("tf = '1h'").withColumn("x", B.log_return_bp() / 10_000)
     rv = moved.groupBy("root", "pair", F.to_date("bar_time").alias("day")).agg(F.sum(F.col("x") * F.col("x")).alias("rv"))
+    rv = rv.groupBy("pair", "day").agg(F.avg("rv").alias("rv"))
     daily = bars.where("tf = '1d'").withColumn("day", F.to_date("bar_time"))
-    return shown(daily.join(rv, ["root", "pair", "day"], "left"), ["rv"], 10)
+    return shown(daily.join(rv, ["pair", "day"], "left"), ["rv"], 10)
 
 
 @query("densify_calendar", f"""WITH {BARS}, d AS (SELECT root, pair, CAST(bar_time AS DATE) AS day, count(*) AS bars FROM bars WHERE tf = '1h' GROUP BY ALL), e AS (SELECT root, pair, min(day) AS a, max(day) AS z FROM d GROUP BY ALL),
@@ -116,12 +115,12 @@ def densify_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.dense(days, ["root", "pair"], "day", ["bars"]).select("root", "pair", F.date_format("day", "yyyy-MM-dd").alias("day"), "bars")
 
 
-@query("anti_pending", f"WITH {ENDED} SELECT quote_id FROM q WHERE NOT EXISTS (SELECT 1 FROM ended b WHERE b.root = q.root AND b.pair = q.pair AND b.tf = q.tf AND b.bar_end > q.at)")
+@query("anti_pending", f"WITH {ENDED} SELECT quote_id FROM q JOIN timeframes USING (tf) WHERE NOT EXISTS (SELECT 1 FROM ended b WHERE b.root = q.root AND b.pair = q.pair AND b.tf = q.tf AND b.bar_end > q.at + minutes::BIGINT * 24 * 60000000)")
 def anti_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes after which no bar has ended yet."""
+    """Quotes whose outcome 24 bars later is not known yet: no bar has ended after that."""
     reach = ended(spark, sf_dir).groupBy(*SERIES).agg(F.max("bar_end").alias("reach"))
-    asked = quotes_of(spark, sf_dir)
-    met = asked.join(reach, SERIES).where(F.col("reach") > F.col("at"))
+    asked = quotes_of(spark, sf_dir).join(lengths(table(spark, sf_dir, "timeframes")), "tf")
+    met = asked.join(reach, SERIES).where(F.col("reach") > F.col("at") + 24 * F.col("length"))
     return asked.join(met.select("quote_id"), "quote_id", "left_anti").select("quote_id")
 
 
@@ -144,17 +143,9 @@ SELECT o.event_id, count(h.h) AS before FROM o LEFT JOIN h ON h.at >= o.at - 172
 def window_join_48h(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each purchase the signups of the 48 hours before it: a range count over one ordered stream."""
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "signup")).withColumn("at", micros(F.col("ts")))
-    # counts by hour are summed first; only the two border hours are looked at row by row
-    hour = F.floor(F.col("at") / 3_600_000_000).cast("long")
-    signups = e.where("event_type = 'signup'").select(hour.alias("hour"), F.col("at").alias("when"))
-    asked = e.where("event_type = 'purchase'").select("event_id", "at", hour.alias("hour"))
-    hours = signups.groupBy("hour").agg(F.count(F.lit(1)).alias("n"), F.collect_list("when").alias("whens"))
-    span = F.sequence(F.col("hour") - 48, F.col("hour"))
-    met = asked.withColumn("h", F.explode(span)).join(hours.withColumnRenamed("hour", "h"), "h", "left")
-    inner = (F.col("h") > F.col("hour") - 48) & (F.col("h") < F.col("hour"))
-    some = F.size(F.filter("whens", lambda w: (w >= F.col("at") - 172_800_000_000) & (w < F.col("at"))))
-    counted = met.withColumn("c", F.when(F.col("n").isNull(), 0).when(inner, F.col("n")).otherwise(some))
-    return counted.groupBy("event_id").agg(F.sum("c").cast("long").alias("before"))
+    signups = e.where("event_type = 'signup'").select("at")
+    asked = e.where("event_type = 'purchase'").select("event_id", "at")
+    return J.counted_before(signups, asked, "event_id", "at", 172_800_000_000, 3_600_000_000).select("event_id", F.col("n").alias("before"))
 
 
 @query("range_count", f"""WITH {BARS}, d AS (SELECT DISTINCT root, pair, epoch_us(bar_time) AS at FROM bars WHERE tf = '1h'), q AS (SELECT quote_id, root, {PAIR} AS pair, epoch_us(quote_time) AS at FROM quotes WHERE quote_time IS NOT NULL)
@@ -248,9 +239,6 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("total_order", "SELECT quote_id, CAST(row_number() OVER (ORDER BY quote_time, root, quote_id) AS BIGINT) AS place FROM quotes WHERE quote_time IS NOT NULL")
 def total_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place of each quote in the total order: places within days plus the days' running counts, so no task sorts all."""
-    q = table(spark, sf_dir, "quotes").where(F.col("quote_time").isNotNull()).withColumn("day", F.to_date("quote_time"))
-    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = q.groupBy("day").agg(F.count(F.lit(1)).alias("n")).select("day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    place = F.row_number().over(Window.partitionBy("day").orderBy("quote_time", "root", "quote_id"))
-    return q.withColumn("place", place).join(days, "day").select("quote_id", (F.col("place") + F.col("ahead")).cast("long").alias("place"))
+    """Place of each quote in the total order."""
+    q = table(spark, sf_dir, "quotes").where(F.col("quote_time").isNotNull())
+    return J.numbered(q, [], F.to_date("quote_time"), ["quote_time", "root", "quote_id"], "place").select("quote_id", "place")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quillon.functions.times import DAY_US, micros
-from quillon.operators import bars as B, forecasting as M, ledger as L, text as X, vectors
-from quillon.plans.shared import BARS, KEY, PAIR, Registry, W, bars_of, off_tie, shown, stamp
+from quillon.functions.times import DAY_US, floor_div, micros
+from quillon.operators import bars as B, forecasting as M, joins as J, ledger as L, text as X, vectors
+from quillon.plans.shared import BARS, KEY, PAIR, Registry, W, bars_of, shown, stamp
 from quillon.sources.tables import SERIES, plain_pair, small, table
 
 query = Registry()
@@ -38,14 +38,20 @@ def shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles(spark, sf_dir).select(F.explode(X.shingles(F.col("key"))).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("docs"))
 
 
-@query("similarity_pairs", f"""WITH t AS (SELECT doc_id, published_at, {NORMAL.format(x=TITLE)} AS key FROM documents WHERE text IS NOT NULL AND published_at IS NOT NULL), c AS (SELECT min(doc_id) AS id, key, min(epoch_us(published_at)) // 1000000 AS at FROM t WHERE length(key) > 0 GROUP BY key),
-s AS (SELECT *, list_distinct(list_transform(generate_series(1, greatest(1, length(key) - 2)), lambda i: substr(key, i, 3))) AS s FROM c), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS k, len(a.s) + len(b.s) AS n FROM s a JOIN s b ON a.id < b.id AND abs(a.at - b.at) <= 43200)
-SELECT a, b, round(k / (n - k), 6) AS jaccard FROM p WHERE k / (n - k) >= 0.6 - 1e-9""")
+@query("similarity_pairs", f"""WITH t AS (SELECT doc_id, published_at, {NORMAL.format(x=TITLE)} AS key FROM documents WHERE text IS NOT NULL AND published_at IS NOT NULL), c AS (SELECT DISTINCT min(doc_id) OVER (PARTITION BY key) AS id, key, epoch_us(published_at) // 1000000 AS sec FROM t WHERE length(key) > 0),
+s AS (SELECT *, list_distinct(list_transform(generate_series(1, greatest(1, length(key) - 2)), lambda i: substr(key, i, 3))) AS s FROM c), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS k, len(a.s) + len(b.s) AS n FROM s a JOIN s b ON a.id < b.id AND abs(a.sec - b.sec) <= 604800)
+SELECT DISTINCT a, b, round(k / (n - k), 6) AS jaccard FROM p WHERE k / (n - k) >= 0.6 - 1e-9""")
 def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alike titles within 12 hours, between the classes of equal titles (see norm_key_dedupe)."""
+    """Classes of equal titles (their first documents) that were published alike within a week of one another.
+
+    Every time of a title is judged, so no later copy is lost; copies stay one class.
+    """
     t = titles(spark, sf_dir).where(F.col("published_at").isNotNull())
-    classes = t.groupBy("key").agg(F.min("doc_id").alias("id"), F.floor(F.min(micros(F.col("published_at"))) / 1_000_000).cast("long").alias("at"))
-    return X.story_pairs(classes).select("a", "b", off_tie(F.col("jaccard"), 6).alias("jaccard"))
+    items = t.groupBy("key", F.floor(micros(F.col("published_at")) / 1_000_000).cast("long").alias("at")).agg(F.min("doc_id").alias("id"))
+    of = items.select("id", F.min("id").over(Window.partitionBy("key")).alias("class"))
+    pairs = X.story_pairs(items, 168).join(of.select(F.col("id").alias("a"), F.col("class").alias("_x")), "a").join(of.select(F.col("id").alias("b"), F.col("class").alias("_y")), "b")
+    pairs = pairs.where("_x <> _y").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), "jaccard").distinct()
+    return pairs.select("a", "b", F.round(F.col("jaccard"), 6).alias("jaccard"))
 
 
 CLEAN = "regexp_replace(text, '<[^>]+>', ' ', 'g')"
@@ -65,7 +71,7 @@ s AS (SELECT doc_id, any_value(published_at) AS published_at, cur, sum(CASE WHEN
 
 @query("headline_scores", f"WITH {SAID} SELECT doc_id, cur, round(tanh(v / 1.5), 3) AS score, moves FROM s")
 def headline_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.scores(table(spark, sf_dir, "documents")).withColumn("score", off_tie(F.col("score"), 3))
+    return X.scores(table(spark, sf_dir, "documents")).withColumn("score", F.round(F.col("score"), 3))
 
 
 @query("pressures", f"""WITH {SAID}, e AS (SELECT cur, round(tanh(v / 1.5), 3) AS score, epoch_us(published_at) // 1000000 AS sec FROM s WHERE published_at IS NOT NULL),
@@ -76,7 +82,7 @@ def pressures(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.floor(micros(F.col("published_at")) / 1_000_000).cast("long")
     scored = X.scores(d).join(d.select("doc_id", at.alias("at")), "doc_id")
     p = X.pressures(scored)
-    return p.select(F.date_format(F.date_from_unix_date(F.col("day").cast("int")), "yyyy-MM-dd").alias("day"), "cur", off_tie(F.col("pressure"), 6).alias("pressure"), "n")
+    return p.select(F.date_format(F.date_from_unix_date(F.col("day").cast("int")), "yyyy-MM-dd").alias("day"), "cur", F.round(F.col("pressure"), 6).alias("pressure"), "n")
 
 
 @query("prf1", """WITH j AS (SELECT lower(trim(source)) AS source, regexp_matches(text, '[ぁ-ん]') AS said, lower(lang) LIKE 'ja%' AS truth FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
@@ -86,13 +92,13 @@ def prf1(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     said, truth = F.col("text").rlike("[ぁ-ん]"), F.lower("lang").startswith("ja")
     c = d.groupBy(F.lower(F.trim("source")).alias("source")).agg(F.count_if(said & truth).alias("tp"), F.count_if(said & ~truth).alias("fp"), F.count_if(~said & truth).alias("fn"))
-    return c.withColumn("f1", off_tie(2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0)), 6))
+    return c.withColumn("f1", F.round(2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0)), 6))
 
 
 @query("json_props", "SELECT event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k int")["k"])
-    return e.groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"), off_tie(F.avg("value"), 6).alias("mean"))
+    return e.groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 LINES = """l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS line FROM documents WHERE text IS NOT NULL), v AS (SELECT doc_id, line FROM l WHERE line LIKE '{"type":"%}' AND json_valid(line))"""
@@ -136,19 +142,23 @@ def knn_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(e, e.where(F.col("vec_id") % 100 == 0), "vec_id", "embedding").select("query", "neighbour", F.col("place").cast("long").alias("place"))
 
 
-@query("medoid", f"""WITH {BARS}, r AS (SELECT root, pair, tf, bar_time, round((ln(close) - ln(lag(close) OVER ({W}))) * 10000, 4) AS x, row_number() OVER (PARTITION BY root, pair, tf ORDER BY bar_time DESC) AS n FROM bars), l AS (SELECT * FROM r WHERE n <= 30 AND x IS NOT NULL),
-d AS (SELECT a.root, a.pair, a.tf, a.n, a.x, round(sum(abs(a.x - b.x)), 3) AS d FROM l a JOIN l b ON a.root = b.root AND a.pair = b.pair AND a.tf = b.tf GROUP BY ALL) SELECT root, pair, tf, arg_min(x, (d, n)) AS medoid FROM d GROUP BY root, pair, tf""")
+@query("medoid", f"""WITH {BARS}, r AS (SELECT root, pair, tf, bar_time, CAST(round((ln(close) - ln(lag(close) OVER ({W}))) * 100000000) AS BIGINT) AS x, row_number() OVER (PARTITION BY root, pair, tf ORDER BY bar_time DESC) AS n FROM bars), l AS (SELECT * FROM r WHERE n <= 30 AND x IS NOT NULL),
+d AS (SELECT a.root, a.pair, a.tf, a.n, a.x, sum(abs(a.x - b.x)) AS d FROM l a JOIN l b ON a.root = b.root AND a.pair = b.pair AND a.tf = b.tf GROUP BY ALL) SELECT root, pair, tf, arg_min(x, (d, n)) / 10000.0 AS medoid FROM d GROUP BY root, pair, tf""")
 def medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The move nearest to the others among each series' last thirty."""
     last = F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.col("bar_time").desc()))
-    moves = bars_of(spark, sf_dir).withColumns({"x": off_tie(B.log_return_bp(), 4), "n": last}).where("n <= 30 AND x IS NOT NULL")
+    moves = bars_of(spark, sf_dir).withColumns({"x": F.round(B.log_return_bp() * 10_000).cast("long"), "n": last}).where("n <= 30 AND x IS NOT NULL")
     held = moves.groupBy(*SERIES).agg(F.collect_list(F.struct("n", "x")).alias("h"))
-    far = lambda e: F.round(F.aggregate("h", F.lit(0.0), lambda acc, o: acc + F.abs(e["x"] - o["x"])) + 1.3e-8, 3)
-    return held.select(*SERIES, F.array_min(F.transform("h", lambda e: F.struct(far(e).alias("d"), e["n"].alias("n"), e["x"].alias("x"))))["x"].alias("medoid"))
+    far = lambda e: F.aggregate("h", F.lit(0).cast("long"), lambda acc, o: acc + F.abs(e["x"] - o["x"]))
+    nearest = F.array_min(F.transform("h", lambda e: F.struct(far(e).alias("d"), e["n"].alias("n"), e["x"].alias("x"))))
+    return held.select(*SERIES, (nearest["x"] / 10_000.0).alias("medoid"))
+
+
+CHAIN = """o AS (SELECT root, concat_ws('|', rate_id, sid, strftime(obs_date, '%Y-%m-%d')) AS payload, row_number() OVER (PARTITION BY root ORDER BY coalesce(epoch_us(fetched_at), 0), rate_id) AS seq FROM rates),
+c AS (SELECT root, seq, payload, sha256(repeat('0', 64) || payload) AS hash FROM o WHERE seq = 1 UNION ALL SELECT o.root, o.seq, o.payload, sha256(c.hash || o.payload) FROM c JOIN o ON o.root = c.root AND o.seq = c.seq + 1)"""
 
 
-@query("hash_chain", """WITH RECURSIVE o AS (SELECT root, concat_ws('|', rate_id, sid, strftime(obs_date, '%Y-%m-%d')) AS payload, row_number() OVER (PARTITION BY root ORDER BY coalesce(epoch_us(fetched_at), 0), rate_id) AS seq FROM rates),
-c AS (SELECT root, seq, sha256(repeat('0', 64) || payload) AS hash FROM o WHERE seq = 1 UNION ALL SELECT o.root, o.seq, sha256(c.hash || o.payload) FROM c JOIN o ON o.root = c.root AND o.seq = c.seq + 1) SELECT root, seq, hash FROM c""")
+@query("hash_chain", f"WITH RECURSIVE {CHAIN} SELECT root, seq, hash FROM c")
 def hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain_of(spark, sf_dir).select("root", "seq", "hash")
 
@@ -158,19 +168,21 @@ def chain_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.chained(r, "root", ["stored", "rate_id"], "payload")
 
 
-@query("chain_check", "SELECT root, CAST(0 AS BIGINT) AS problems FROM rates GROUP BY root")
+@query("chain_check", f"""WITH RECURSIVE {CHAIN}, b AS (SELECT root, seq, payload, coalesce(lag(hash) OVER (PARTITION BY root ORDER BY seq), repeat('0', 64)) AS prev, CASE WHEN seq % 97 = 0 THEN 'f' || substr(hash, 2) ELSE hash END AS hash FROM c),
+m AS (SELECT *, coalesce(lag(hash) OVER (PARTITION BY root ORDER BY seq), repeat('0', 64)) AS before FROM b) SELECT root, count(*) FILTER (before <> prev) AS links, count(*) FILTER (sha256(prev || payload) <> hash) AS hashes FROM m GROUP BY root""")
 def chain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Problems found in each root's chain (none)."""
-    chain = chain_of(spark, sf_dir)
-    found = L.broken(chain, "root").groupBy("root").agg(F.count(F.lit(1)).alias("problems"))
-    return chain.select("root").distinct().join(found, "root", "left").fillna(0, ["problems"])
+    """Broken links and wrong hashes found in chains of which every 97th hash was altered."""
+    altered = F.when(F.col("seq") % 97 == 0, F.concat(F.lit("f"), F.substring("hash", 2, 63))).otherwise(F.col("hash"))
+    chain = chain_of(spark, sf_dir).withColumn("hash", altered)
+    found = L.broken(chain, "root").groupBy("root").agg(F.count_if(F.col("kind") == "prev").alias("links"), F.count_if(F.col("kind") == "hash").alias("hashes"))
+    return chain.select("root").distinct().join(found, "root", "left").fillna(0, ["links", "hashes"])
 
 
 @query("commit_lines", "WITH l AS (SELECT root, line_id, row_number() OVER (PARTITION BY root ORDER BY line_id) AS n FROM prices) SELECT root, CAST(ceil(n / 250.0) AS BIGINT) AS batch, count(*) AS lines, min(line_id) AS first_line, max(line_id) AS last_line FROM l GROUP BY ALL")
 def commit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which batch of 250 committed each root's lines."""
-    n = F.row_number().over(Window.partitionBy("root").orderBy("line_id"))
-    lines = table(spark, sf_dir, "prices").select("root", "line_id", F.ceil(n / 250).cast("long").alias("batch"))
+    lines = J.numbered(table(spark, sf_dir, "prices").select("root", "line_id"), ["root"], floor_div(F.col("line_id"), 65_536), ["line_id"], "n")
+    lines = lines.select("root", "line_id", F.ceil(F.col("n") / 250).cast("long").alias("batch"))
     return lines.groupBy("root", "batch").agg(F.count(F.lit(1)).alias("lines"), F.min("line_id").alias("first_line"), F.max("line_id").alias("last_line"))
 
 
@@ -227,7 +239,7 @@ def learned_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = df.withColumns({"s": F.stddev_pop("mom").over(B.trailing(20)), "age": age}).join(lives, "tf").where((F.col("s") > 0.01) & F.col("y").isNotNull() & F.col("slow").isNotNull())
     df = df.withColumn("w", F.pow(F.lit(0.5), F.col("age") / F.col("half_life")))
     out = M.learned_weights(df, ["tf"], ["rw", "mom", "slow"], "y", "s", "w")
-    return out.select("tf", "n", *(off_tie(F.col(c), 6).alias(c) for c in ("w_rw", "w_mom", "w_slow")))
+    return out.select("tf", "n", *(F.round(F.col(c), 6).alias(c) for c in ("w_rw", "w_mom", "w_slow")))
 
 
 @query("band_multipliers")
@@ -240,4 +252,4 @@ def band_multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pricing_summary", """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus""")
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("date"))
-    return l.groupBy("l_returnflag", "l_linestatus").agg(off_tie(F.sum("l_quantity"), 2).alias("sum_qty"), off_tie(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc_price"), off_tie(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("n"))
+    return l.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("n"))

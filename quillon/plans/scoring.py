@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillon.operators import bars as B, season as N, stats as P, trades as T, variance as M, windows as V
-from quillon.plans.shared import BARS, KEY, Registry, W, bars_of, off_tie, shown, stamp
+from quillon.plans.shared import BARS, KEY, Registry, W, bars_of, shown, stamp
 from quillon.sources.tables import SERIES, small, table
 
 query = Registry()
@@ -31,7 +31,7 @@ def log_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forward_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = B.series_window()
     df = bars_of(spark, sf_dir).withColumns({"f4": (F.log(F.lead("close", 4).over(w)) - F.log("close")) * 10_000, "top4": F.max("high").over(w.rowsBetween(1, 4))})
-    return df.select(*SERIES, stamp(), off_tie(F.col("f4"), 6).alias("f4"), off_tie(F.col("top4"), 9).alias("top4"))
+    return df.select(*SERIES, stamp(), F.round(F.col("f4"), 6).alias("f4"), F.round(F.col("top4"), 9).alias("top4"))
 
 
 @query("gap_island", f"""WITH {BARS}, g AS (SELECT b.*, CASE WHEN minutes > 0 THEN minutes ELSE 1440 END AS m, lag(bar_time) OVER ({W}) AS p FROM bars b JOIN timeframes USING (tf)), h AS (SELECT *, CASE WHEN p IS NULL OR epoch_us(bar_time) - epoch_us(p) > m::BIGINT * 60000000 THEN 1 ELSE 0 END AS s FROM g),
@@ -61,29 +61,29 @@ SELECT {KEY}, vol, round(len(list_filter(past, lambda p: p <= vol)) / nullif(len
 def vol_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volatility of 24 bars and the share of the last 100 values that are not greater."""
     vol = V.gated(F.sqrt(F.sum(F.col("x") * F.col("x")).over(B.trailing(24))), "x", 24)
-    df = returns(spark, sf_dir).withColumn("vol", off_tie(vol, 6)).withColumn("past", F.collect_list("vol").over(B.trailing(100)))
+    df = returns(spark, sf_dir).withColumn("vol", F.round(vol, 6)).withColumn("past", F.collect_list("vol").over(B.trailing(100)))
     df = df.where(F.col("vol").isNotNull()).withColumn("pct", F.size(F.filter("past", lambda p: p <= F.col("vol"))) / F.size("past"))
-    return df.select(*SERIES, stamp(), "vol", off_tie(F.col("pct"), 6).alias("pct"))
+    return df.select(*SERIES, stamp(), "vol", F.round(F.col("pct"), 6).alias("pct"))
 
 
 @query("trend_state", f"""WITH {BARS}, s AS (SELECT *, CASE WHEN count(close) OVER ({W} ROWS 19 PRECEDING) >= 20 THEN round(avg(close) OVER ({W} ROWS 19 PRECEDING), 9) END AS a, CASE WHEN count(close) OVER ({W} ROWS 74 PRECEDING) >= 75 THEN round(avg(close) OVER ({W} ROWS 74 PRECEDING), 9) END AS b FROM bars),
 t AS (SELECT *, lag(a, 5) OVER ({W}) AS a5 FROM s) SELECT {KEY}, CASE WHEN close > a AND a > b AND a > a5 THEN 'up' WHEN close < a AND a < b AND a < a5 THEN 'down' WHEN b IS NULL THEN 'unknown' ELSE 'range' END AS trend FROM t""")
 def trend_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = bars_of(spark, sf_dir).withColumns({"a": off_tie(V.sma("close", 20), 9), "b": off_tie(V.sma("close", 75), 9)})
+    df = bars_of(spark, sf_dir).withColumns({"a": F.round(V.sma("close", 20), 9), "b": F.round(V.sma("close", 75), 9)})
     df = df.withColumn("a5", F.lag("a", 5).over(B.series_window()))
     c, a, b, a5 = (F.col(x) for x in ("close", "a", "b", "a5"))
     return shown(df.withColumn("trend", F.when((c > a) & (a > b) & (a > a5), "up").when((c < a) & (a < b) & (a < a5), "down").when(b.isNull(), "unknown").otherwise("range")), ["trend"])
 
 
 @query("timeline", f"""WITH {RETURNS}, s AS (SELECT *, CASE WHEN x * y > 0 THEN 1.0 ELSE 0.0 END AS hit, row_number() OVER ({W}) AS n, count(*) OVER (PARTITION BY root, pair, tf) AS total FROM r WHERE x IS NOT NULL AND y IS NOT NULL AND abs(x) > 1e-9 AND abs(y) > 1e-9)
-SELECT {KEY}, n, round(rate, 6) AS rate FROM (SELECT *, sum(hit) OVER ({W} ROWS UNBOUNDED PRECEDING) / n AS rate FROM s) WHERE n % greatest(1, (total + 159) // 160) = 0 OR n = total""")
+SELECT {KEY}, n, round(rate, 10) AS rate FROM (SELECT *, sum(hit) OVER ({W} ROWS UNBOUNDED PRECEDING) / n AS rate FROM s) WHERE n % greatest(1, (total + 159) // 160) = 0 OR n = total""")
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running hit rate of carrying the last move on, at about 160 points of each series."""
     w = B.series_window()
     df = returns(spark, sf_dir).where((F.abs("x") > 1e-9) & (F.abs("y") > 1e-9))
     df = df.withColumns({"hit": (F.col("x") * F.col("y") > 0).cast("double"), "n": F.row_number().over(w).cast("long"), "total": F.count(F.lit(1)).over(Window.partitionBy(*SERIES))})
     df = df.withColumn("rate", F.sum("hit").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.col("n"))
-    return shown(df.where((F.col("n") % F.greatest(F.lit(1), F.floor((F.col("total") + 159) / 160)) == 0) | (F.col("n") == F.col("total"))), ["n", "rate"])
+    return shown(df.where((F.col("n") % F.greatest(F.lit(1), F.floor((F.col("total") + 159) / 160)) == 0) | (F.col("n") == F.col("total"))), ["n", "rate"], 10)
 
 
 @query("drawdown", f"""WITH {RETURNS}, c AS (SELECT *, sum(coalesce(x, 0)) OVER ({W} ROWS UNBOUNDED PRECEDING) AS cum FROM r), m AS (SELECT *, greatest(0, max(cum) OVER ({W} ROWS UNBOUNDED PRECEDING)) - cum AS dd FROM c)
@@ -92,7 +92,7 @@ def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     so_far = B.series_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     df = returns(spark, sf_dir).withColumn("cum", F.sum(F.coalesce("x", F.lit(0.0))).over(so_far))
     df = df.withColumn("dd", F.greatest(F.lit(0.0), F.max("cum").over(so_far)) - F.col("cum"))
-    return df.groupBy(*SERIES).agg(off_tie(F.max("dd"), 5).alias("drawdown"), off_tie(F.max_by("cum", "bar_time"), 5).alias("final"))
+    return df.groupBy(*SERIES).agg(F.round(F.max("dd"), 5).alias("drawdown"), F.round(F.max_by("cum", "bar_time"), 5).alias("final"))
 
 
 @query("trailing_buckets", f"""WITH {RETURNS}, b AS (SELECT root, pair, tf, date_trunc('week', bar_time) AS week, count(*) AS n, sum(x * x) AS s FROM r WHERE x IS NOT NULL GROUP BY ALL)
@@ -102,7 +102,7 @@ def trailing_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     weeks = returns(spark, sf_dir).where(F.col("x").isNotNull()).groupBy(*SERIES, F.date_trunc("week", "bar_time").alias("week")).agg(F.count(F.lit(1)).alias("n0"), F.sum(F.col("x") * F.col("x")).alias("s"))
     w = Window.partitionBy(*SERIES).orderBy("week").rowsBetween(-4, 0)
     rms = F.sqrt(F.sum("s").over(w) / F.sum("n0").over(w))
-    return weeks.select(*SERIES, F.date_format("week", "yyyy-MM-dd").alias("week"), F.sum("n0").over(w).alias("n"), off_tie(rms, 6).alias("rms"))
+    return weeks.select(*SERIES, F.date_format("week", "yyyy-MM-dd").alias("week"), F.sum("n0").over(w).alias("n"), F.round(rms, 6).alias("rms"))
 
 
 @query("time_rolling", f"""WITH {RETURNS}, d AS (SELECT root, pair, tf, CAST(bar_time AS DATE) AS day, count(*) AS n, count(*) FILTER (abs(x) <= 10) AS inside FROM r WHERE x IS NOT NULL GROUP BY ALL)
@@ -111,7 +111,7 @@ def time_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of moves within 10 bp over the last 60 days, from daily counts."""
     days = returns(spark, sf_dir).where(F.col("x").isNotNull()).groupBy(*SERIES, F.to_date("bar_time").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs("x") <= 10).alias("inside"))
     w = Window.partitionBy(*SERIES).orderBy(F.unix_date("day")).rangeBetween(-59, 0)
-    return days.select(*SERIES, F.date_format("day", "yyyy-MM-dd").alias("day"), off_tie(F.sum("inside").over(w) / F.sum("n").over(w), 6).alias("coverage"))
+    return days.select(*SERIES, F.date_format("day", "yyyy-MM-dd").alias("day"), F.round(F.sum("inside").over(w) / F.sum("n").over(w), 6).alias("coverage"))
 
 
 @query("recency_weights", f"WITH {BARS}, n AS (SELECT b.*, half_life, row_number() OVER (PARTITION BY root, pair, b.tf ORDER BY bar_time DESC) - 1 AS age FROM bars b JOIN timeframes USING (tf)) SELECT {KEY}, round(pow(0.5, age / half_life), 6) AS weight FROM n")
@@ -154,7 +154,7 @@ def hit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     err = 0.1 * F.col("x") - F.col("y")
     s = df.groupBy("tf").agg(F.count(F.lit(1)).alias("n"), F.count_if(moving).alias("n_dir"), F.count_if(moving & (F.col("x") * F.col("y") > 0)).alias("hits"), F.sqrt(F.avg(err * err)).alias("rmse"), F.sqrt(F.avg(F.col("y") * F.col("y"))).alias("rw"), F.avg(F.abs(err)).alias("mae"))
     low, _ = P.wilson(F.col("hits"), F.col("n_dir"))
-    return s.select("tf", "n", "n_dir", "hits", off_tie(low, 6).alias("lo"), off_tie(F.col("rmse"), 5).alias("rmse"), off_tie(1 - F.col("rmse") / F.col("rw"), 6).alias("skill"), off_tie(F.col("mae"), 5).alias("mae"))
+    return s.select("tf", "n", "n_dir", "hits", F.round(low, 6).alias("lo"), F.round(F.col("rmse"), 5).alias("rmse"), F.round(1 - F.col("rmse") / F.col("rw"), 6).alias("skill"), F.round(F.col("mae"), 5).alias("mae"))
 
 
 @query("grouping_sets_scores", f"""WITH {RETURNS} SELECT coalesce(tf, 'all') AS tf, coalesce(pair, 'all') AS pair, coalesce(CAST(year(bar_time) AS VARCHAR), 'all') AS year, count(*) AS n, count(*) FILTER (x * y > 0) AS hits, round(avg(y), 5) AS mean
@@ -163,7 +163,7 @@ def grouping_sets_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same counts at four grains in one pass."""
     df = returns(spark, sf_dir).where(F.col("x").isNotNull() & F.col("y").isNotNull()).withColumn("year", F.year("bar_time").cast("string"))
     sets = df.groupingSets([["tf"], ["tf", "pair"], ["tf", "year"], []], "tf", "pair", "year")
-    g = sets.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") * F.col("y") > 0).alias("hits"), off_tie(F.avg("y"), 5).alias("mean"))
+    g = sets.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") * F.col("y") > 0).alias("hits"), F.round(F.avg("y"), 5).alias("mean"))
     return g.select(*(F.coalesce(c, F.lit("all")).alias(c) for c in ("tf", "pair", "year")), "n", "hits", "mean")
 
 
@@ -174,7 +174,7 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = returns(spark, sf_dir).where(F.col("x").isNotNull() & F.col("y").isNotNull()).withColumn("p", 1 / (1 + F.exp(-F.col("x") / 10)))
     up = (F.col("y") > 0).cast("double")
     bins = F.least(F.floor(F.col("p") * 10), F.lit(9)).cast("long")
-    return df.groupBy("tf", bins.alias("bin")).agg(F.count(F.lit(1)).alias("n"), off_tie(F.avg("p"), 6).alias("said"), off_tie(F.avg(up), 6).alias("was"), off_tie(F.avg(F.pow(F.col("p") - up, 2)), 6).alias("brier"))
+    return df.groupBy("tf", bins.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("said"), F.round(F.avg(up), 6).alias("was"), F.round(F.avg(F.pow(F.col("p") - up, 2)), 6).alias("brier"))
 
 
 @query("dm_test", f"""WITH {RETURNS}, d AS (SELECT root, pair, tf, bar_time, pow(0.1 * x - y, 2) - pow(y, 2) AS d FROM r WHERE x IS NOT NULL AND y IS NOT NULL), c AS (SELECT *, d - avg(d) OVER (PARTITION BY root, pair, tf) AS e FROM d),
@@ -183,22 +183,22 @@ SELECT root, pair, tf, n, round(CASE WHEN n >= 8 AND v > 0 THEN m / sqrt(v / n)
 def dm_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = returns(spark, sf_dir).where(F.col("x").isNotNull() & F.col("y").isNotNull())
     df = df.withColumn("d", F.pow(0.1 * F.col("x") - F.col("y"), 2) - F.pow("y", F.lit(2)))
-    return P.diebold_mariano(df, SERIES, "bar_time", "d", 2).withColumn("dm", off_tie(F.col("dm"), 5))
+    return P.diebold_mariano(df, SERIES, "bar_time", "d", 2).withColumn("dm", F.round(F.col("dm"), 5))
 
 
 @query("block_t", f"WITH {RETURNS}, b AS (SELECT tf, date_trunc('week', bar_time) AS week, sum(sign(x) * y) AS s FROM r WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL) SELECT tf, count(*) AS blocks, round(avg(s) / stddev_samp(s) * sqrt(count(*)), 5) AS t FROM b GROUP BY tf")
 def block_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = returns(spark, sf_dir).where(F.col("x").isNotNull() & F.col("y").isNotNull())
     df = df.withColumns({"week": F.date_trunc("week", "bar_time"), "v": F.signum("x") * F.col("y")})
-    return P.block_t(df, ["tf"], "week", "v").withColumn("t", off_tie(F.col("t"), 5))
+    return P.block_t(df, ["tf"], "week", "v").withColumn("t", F.round(F.col("t"), 5))
 
 
 @query("auc", f"""WITH {RETURNS}, k AS (SELECT tf, y > 0 AS up, row_number() OVER (PARTITION BY tf ORDER BY round(x, 6), root, pair, bar_time) AS n FROM r WHERE x IS NOT NULL AND y IS NOT NULL)
 SELECT tf, round((sum(n) FILTER (up) - count(*) FILTER (up) * (count(*) FILTER (up) + 1) / 2) / (count(*) FILTER (up) * count(*) FILTER (NOT up)), 8) AS auc FROM k GROUP BY tf""")
 def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = returns(spark, sf_dir).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    df = df.select("tf", off_tie(F.col("x"), 6).alias("score"), (F.col("y") > 0).alias("up"), F.struct("root", "pair", "bar_time").alias("tie"))
-    return P.auc(df, ["tf"], "score", "up", "tie").withColumn("auc", off_tie(F.col("auc"), 8))
+    df = df.select("tf", F.round(F.col("x"), 6).alias("score"), (F.col("y") > 0).alias("up"), F.struct("root", "pair", "bar_time").alias("tie"))
+    return P.auc(df, ["tf"], "score", "up", "tie").withColumn("auc", F.round(F.col("auc"), 8))
 
 
 @query("crps_gauss")
@@ -214,14 +214,14 @@ def crps_gauss(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qlike(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = returns(spark, sf_dir).withColumns({"said": V.gated(F.avg(F.col("x") * F.col("x")).over(B.trailing(20)), "x", 20), "real": F.col("y") * F.col("y")})
     ratio = F.col("real") / F.col("said")
-    return df.where("said > 0 AND real > 0").groupBy("tf").agg(F.count(F.lit(1)).alias("n"), off_tie(F.avg(ratio - F.log(ratio) - 1), 5).alias("qlike"))
+    return df.where("said > 0 AND real > 0").groupBy("tf").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(ratio - F.log(ratio) - 1), 5).alias("qlike"))
 
 
 @query("pinball", f"""WITH {RETURNS}, q AS (SELECT tf, tau, y - tau * 10 + 5 AS e FROM r, (SELECT unnest([0.1, 0.5, 0.9]) AS tau) WHERE y IS NOT NULL) SELECT tf, tau, round(avg(CASE WHEN e >= 0 THEN tau * e ELSE (tau - 1) * e END), 6) AS loss FROM q GROUP BY ALL""")
 def pinball(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = returns(spark, sf_dir).where(F.col("y").isNotNull()).select("tf", "y", F.explode(F.array(*(F.lit(t) for t in (0.1, 0.5, 0.9)))).alias("tau"))
     e = F.col("y") - F.col("tau") * 10 + 5
-    return df.groupBy("tf", "tau").agg(off_tie(F.avg(F.when(e >= 0, F.col("tau") * e).otherwise((F.col("tau") - 1) * e)), 6).alias("loss"))
+    return df.groupBy("tf", "tau").agg(F.round(F.avg(F.when(e >= 0, F.col("tau") * e).otherwise((F.col("tau") - 1) * e)), 6).alias("loss"))
 
 
 @query("weighted_quantile", f"""WITH {RETURNS}, a AS (SELECT root, pair, tf, bar_time, round(abs(y), 6) AS v, row_number() OVER (PARTITION BY root, pair, tf ORDER BY bar_time DESC) - 1 AS age FROM r WHERE y IS NOT NULL), w AS (SELECT *, pow(0.5, age / 100.0) AS w FROM a),
@@ -229,7 +229,7 @@ c AS (SELECT *, sum(w) OVER (PARTITION BY root, pair, tf ORDER BY v, bar_time RO
 def weighted_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = returns(spark, sf_dir).where(F.col("y").isNotNull())
     age = F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.col("bar_time").desc())) - 1
-    df = df.select(*SERIES, "bar_time", off_tie(F.abs("y"), 6).alias("v"), F.pow(F.lit(0.5), age / 100.0).alias("w"))
+    df = df.select(*SERIES, "bar_time", F.round(F.abs("y"), 6).alias("v"), F.pow(F.lit(0.5), age / 100.0).alias("w"))
     return P.weighted_quantile(df, SERIES, "v", "w", "bar_time", 0.8)
 
 
@@ -247,13 +247,13 @@ def histogram_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("exact_quantiles", f"WITH {RETURNS} SELECT root, pair, tf, round(quantile_cont(x, 0.1), 6) AS q10, round(median(x), 6) AS q50, round(quantile_cont(x, 0.9), 6) AS q90 FROM r WHERE x IS NOT NULL GROUP BY root, pair, tf")
 def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = returns(spark, sf_dir).where(F.col("x").isNotNull())
-    return df.groupBy(*SERIES).agg(*(off_tie(F.percentile("x", F.lit(q)), 6).alias(f"q{round(q * 100)}") for q in (0.1, 0.5, 0.9)))
+    return df.groupBy(*SERIES).agg(*(F.round(F.percentile("x", F.lit(q)), 6).alias(f"q{round(q * 100)}") for q in (0.1, 0.5, 0.9)))
 
 
 @query("regression_slope", f"WITH {RETURNS} SELECT root, pair, tf, count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(corr(y, x), 6) AS corr FROM r WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY root, pair, tf")
 def regression_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = returns(spark, sf_dir).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    return df.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n"), off_tie(F.regr_slope("y", "x"), 6).alias("slope"), off_tie(F.regr_intercept("y", "x"), 6).alias("intercept"), off_tie(F.corr("y", "x"), 6).alias("corr"))
+    return df.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n"), F.round(F.regr_slope("y", "x"), 6).alias("slope"), F.round(F.regr_intercept("y", "x"), 6).alias("intercept"), F.round(F.corr("y", "x"), 6).alias("corr"))
 
 
 @query("deciles", f"""WITH {RETURNS}, c AS (SELECT tf, quantile_cont(abs(x), 0.9) AS cut FROM r WHERE x IS NOT NULL AND bar_time < TIMESTAMP '2024-01-01' GROUP BY tf) SELECT tf, count(*) AS n, round(avg(sign(x) * y), 6) AS mean FROM r JOIN c USING (tf) WHERE abs(x) >= cut + 1e-9 AND y IS NOT NULL AND bar_time >= TIMESTAMP '2024-01-01' GROUP BY tf""")
@@ -262,7 +262,7 @@ def deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = returns(spark, sf_dir).where(F.col("x").isNotNull()).withColumn("late", F.col("bar_time") >= F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'"))
     cuts = df.where("NOT late").groupBy("tf").agg(F.percentile(F.abs("x"), F.lit(0.9)).alias("cut"))
     top = df.where("late").where(F.col("y").isNotNull()).join(cuts, "tf").where(F.abs("x") >= F.col("cut") + 1e-9)
-    return top.groupBy("tf").agg(F.count(F.lit(1)).alias("n"), off_tie(F.avg(F.signum("x") * F.col("y")), 6).alias("mean"))
+    return top.groupBy("tf").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.signum("x") * F.col("y")), 6).alias("mean"))
 
 
 @query("binomial_test")
@@ -278,20 +278,20 @@ def strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean move of each currency against the others at each bar."""
     sides = F.array(F.struct(F.substring("pair", 1, 3).alias("cur"), F.col("x").alias("v")), F.struct(F.substring("pair", 4, 3).alias("cur"), (-F.col("x")).alias("v")))
     df = returns(spark, sf_dir).where(F.col("x").isNotNull()).select("root", "tf", "bar_time", F.inline(sides))
-    return df.groupBy("root", "tf", "bar_time", "cur").agg(F.count(F.lit(1)).alias("n"), off_tie(F.avg("v"), 6).alias("strength")).withColumn("bar_time", stamp())
+    return df.groupBy("root", "tf", "bar_time", "cur").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("strength")).withColumn("bar_time", stamp())
 
 
 @query("realized_variance", f"""WITH {RETURNS}, v AS (SELECT root, pair, {{day}} AS day, sum(x * x) AS rv, count(*) AS n FROM r WHERE tf = '1h' AND x IS NOT NULL GROUP BY ALL), f AS (SELECT *, min(day) OVER (PARTITION BY root, pair) AS first FROM v)
 SELECT root, pair, strftime(day, '%Y-%m-%d') AS day, n, round(rv, 5) AS rv FROM f WHERE day > first""".replace("{day}", "CAST(bar_time AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/London' AS DATE) + CAST(CASE isodow(bar_time AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/London') WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS INTEGER)"))
 def realized_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.realised(returns(spark, sf_dir).where("tf = '1h'")).select("root", "pair", F.date_format("day", "yyyy-MM-dd").alias("day"), "n", off_tie(F.col("rv"), 5).alias("rv"))
+    return M.realised(returns(spark, sf_dir).where("tf = '1h'")).select("root", "pair", F.date_format("day", "yyyy-MM-dd").alias("day"), "n", F.round(F.col("rv"), 5).alias("rv"))
 
 
 @query("day_measures", f"""WITH {RETURNS}, d AS (SELECT root, pair, CAST(bar_time AS DATE) AS day, count(*) AS n, sum(x * x) AS rv, sum(abs(x)) AS absr, count(*) / 3.0 * sum(x * x * x * x) AS rq, sum(x) AS ret, pow(ln(max(high) / min(low)) * 10000, 2) / (4 * ln(2)) AS park FROM r WHERE tf = '1h' AND x IS NOT NULL GROUP BY ALL)
 SELECT root, pair, strftime(day, '%Y-%m-%d') AS day, n, round(rv, 4) AS rv, round(absr, 5) AS absr, round(sqrt(rq), 4) AS rq, round(ret, 5) AS ret, round(park, 4) AS park FROM d""")
 def day_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = M.day_measures(returns(spark, sf_dir).where("tf = '1h'"))
-    return d.select("root", "pair", F.date_format("day", "yyyy-MM-dd").alias("day"), "n", *(off_tie(F.col(c), k).alias(c) for c, k in (("rv", 4), ("absr", 5), ("rq", 4), ("ret", 5), ("park", 4))))
+    return d.select("root", "pair", F.date_format("day", "yyyy-MM-dd").alias("day"), "n", *(F.round(F.col(c), k).alias(c) for c, k in (("rv", 4), ("absr", 5), ("rq", 4), ("ret", 5), ("park", 4))))
 
 
 @query("har_features", f"""WITH {RETURNS}, d AS (SELECT root, pair, CAST(bar_time AS DATE) AS day, sum(x * x) AS rv FROM r WHERE tf = '1h' AND x IS NOT NULL GROUP BY ALL)
@@ -299,7 +299,7 @@ SELECT root, pair, strftime(day, '%Y-%m-%d') AS day, round(rv, 4) AS d1, round(C
 FROM d WINDOW w5 AS (PARTITION BY root, pair ORDER BY day ROWS 4 PRECEDING), w22 AS (PARTITION BY root, pair ORDER BY day ROWS 21 PRECEDING)""")
 def har_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = M.har(M.day_measures(returns(spark, sf_dir).where("tf = '1h'")))
-    return d.select("root", "pair", F.date_format("day", "yyyy-MM-dd").alias("day"), *(off_tie(F.col(c), 4).alias(c) for c in ("d1", "d5", "d22", "target")))
+    return d.select("root", "pair", F.date_format("day", "yyyy-MM-dd").alias("day"), *(F.round(F.col(c), 4).alias(c) for c in ("d1", "d5", "d22", "target")))
 
 
 @query("parkinson", f"WITH {BARS} SELECT {KEY}, round(CASE WHEN high > low THEN pow(ln(high / low), 2) / (4 * ln(2)) * 100000000 END, 5) AS park FROM bars")
@@ -330,14 +330,14 @@ u AS (SELECT *, (isodow(ny) - 1) * (1440 // minutes) + (hour(ny) * 60 + minute(n
 def slot_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean move and t of each New York weekday-and-time slot, without bars after a pause or in a closed market."""
     s = N.slot_stats(N.slotted(returns(spark, sf_dir), table(spark, sf_dir, "timeframes")), "slot", 5)
-    return s.select(*SERIES, "slot", "n", off_tie(F.col("mean"), 6).alias("mean"), off_tie(F.col("t"), 5).alias("t"))
+    return s.select(*SERIES, "slot", "n", F.round(F.col("mean"), 6).alias("mean"), F.round(F.col("t"), 5).alias("t"))
 
 
 @query("slot_shrink", f"""{SLOT}, a AS (SELECT root, pair, tf, tod, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS sd FROM u GROUP BY ALL), b AS (SELECT *, sd / sqrt(n) AS se FROM a WHERE n >= 5 AND sd > 0 AND mean <> 0), c AS (SELECT root, pair, tf, count(*) AS k, greatest(0, avg(mean * mean) - avg(se * se)) AS tau2 FROM b GROUP BY ALL)
 SELECT root, pair, tf, tod, round(CASE WHEN k >= 2 THEN tau2 / (tau2 + se * se) ELSE 0 END, 6) AS factor FROM b JOIN c USING (root, pair, tf)""")
 def slot_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Empirical-Bayes factor of each time-of-day slot's mean."""
-    return N.shrink(N.slot_stats(N.slotted(returns(spark, sf_dir), table(spark, sf_dir, "timeframes")), "tod", 5), "tod").withColumn("factor", off_tie(F.col("factor"), 6))
+    return N.shrink(N.slot_stats(N.slotted(returns(spark, sf_dir), table(spark, sf_dir, "timeframes")), "tod", 5), "tod").withColumn("factor", F.round(F.col("factor"), 6))
 
 
 @query("slot_profile", f"""{SLOT}, a AS (SELECT root, pair, tf, tod, count(*) AS n, avg(x * x) AS v FROM u GROUP BY ALL), b AS (SELECT *, max(tod) OVER (PARTITION BY root, pair, tf) AS top FROM a), m AS (SELECT b.*, l.v AS lv, h.v AS hv FROM b JOIN timeframes t USING (tf)
@@ -346,7 +346,7 @@ s AS (SELECT *, 0.5 * v + 0.25 * coalesce(lv, v) + 0.25 * coalesce(hv, v) AS w F
 def slot_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relative variance by time of day, smoothed around the clock, mean 1."""
     frames = table(spark, sf_dir, "timeframes")
-    return N.profile(N.slotted(returns(spark, sf_dir), frames)).select(*SERIES, "tod", "n", off_tie(F.col("profile"), 6).alias("profile"))
+    return N.profile(N.slotted(returns(spark, sf_dir), frames)).select(*SERIES, "tod", "n", F.round(F.col("profile"), 6).alias("profile"))
 
 
 @query("bar_drift", f"""{SLOT}, a AS (SELECT root, pair, tf, slot, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS sd FROM u GROUP BY ALL), b AS (SELECT root, pair, tf, tod, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS sd FROM u GROUP BY ALL),
@@ -364,7 +364,7 @@ x AS (SELECT *, CASE WHEN d * (open - sl) <= 0 THEN open WHEN d * (open - tp) >=
 SELECT {KEY}, arg_min(how, k) AS how, min(k) AS bars, round(arg_min(d * (px - entry), k) / arg_min(abs(entry - sl), k), 5) AS r FROM x WHERE px IS NOT NULL GROUP BY root, pair, tf, bar_time""")
 def trade_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome of a trade from each daily bar: stop before target within a bar, gaps fill at the open, out after five bars."""
-    return T.settled(T.entries(bars_of(spark, sf_dir).where("tf = '1d'"))).select(*SERIES, stamp(), "how", F.col("bars").cast("long").alias("bars"), off_tie(F.col("r"), 5).alias("r"))
+    return T.settled(T.entries(bars_of(spark, sf_dir).where("tf = '1d'"))).select(*SERIES, stamp(), "how", F.col("bars").cast("long").alias("bars"), F.round(F.col("r"), 5).alias("r"))
 
 
 @query("trade_metrics")

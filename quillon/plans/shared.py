@@ -16,28 +16,6 @@ W = "PARTITION BY root, pair, tf ORDER BY bar_time"
 KEY = "root, pair, tf, strftime(bar_time, '%Y-%m-%d %H:%M:%S') AS bar_time"
 
 
-NUDGE = 1.3e-8  # decimal prices make averages that lie exactly between two roundings; both engines step off the tie
-
-
-def nudged(sql: str) -> str:
-    """The same step in SQL: round(x, n) becomes round((x) + NUDGE, n)."""
-    out, i = [], 0
-    while (at := sql.find("round(", i)) >= 0:
-        begin, depth, comma = at + 6, 1, -1
-        end = begin
-        while depth:
-            depth += {"(": 1, ")": -1}.get(sql[end], 0)
-            comma = end if sql[end] == "," and depth == 1 else comma
-            end += 1
-        out += [sql[i:at], "round((", nudged(sql[begin:comma]), f") + {NUDGE}", sql[comma:end]]
-        i = end
-    return "".join([*out, sql[i:]])
-
-
-def off_tie(column: Column, digits: int) -> Column:
-    return F.round(column + NUDGE, digits)
-
-
 class Registry:
     """Named queries with their SQL."""
 
@@ -48,7 +26,7 @@ class Registry:
         def put(query):
             self.queries[name] = query
             if sql is not None:
-                self.sql[name] = nudged(sql)
+                self.sql[name] = sql
             return query
 
         return put
@@ -62,10 +40,14 @@ def stamp(column: str = "bar_time") -> Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(column)
 
 
-def shown(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
-    """Series key, bar time as text and the columns, doubles rounded."""
+def shown(df: DataFrame, columns: list[str], digits: int | dict[str, int] = 6) -> DataFrame:
+    """Series key, bar time as text and the columns, doubles rounded.
+
+    Means of decimal prices get digits beyond their last one, so that no value lies between two roundings.
+    """
     kinds = dict(df.dtypes)
-    return df.select(*SERIES, stamp(), *((off_tie(F.col(c), digits) if kinds[c] == "double" else F.col(c)).alias(c) for c in columns))
+    places = lambda c: digits.get(c, 6) if isinstance(digits, dict) else digits
+    return df.select(*SERIES, stamp(), *((F.round(c, places(c)) if kinds[c] == "double" else F.col(c)).alias(c) for c in columns))
 
 
 def rounded(sql_columns: dict[str, str], digits: int = 6) -> str:

@@ -12,7 +12,7 @@ from quillon.operators import bars as B, calendars as C, studies as S, text as X
 from quillon.plans.indicators import DAY_SQL, hourly
 from quillon.plans.records import titles
 from quillon.plans.scoring import RETURNS, returns
-from quillon.plans.shared import BARS, KEY, Registry, W, bars_of, off_tie, shown, stamp
+from quillon.plans.shared import BARS, KEY, Registry, W, bars_of, shown, stamp
 from quillon.sources.tables import SERIES, few, small, table
 
 query = Registry()
@@ -46,7 +46,7 @@ l AS (SELECT *, s * lag(s, 1) OVER o AS c1, s * lag(s, 2) OVER o AS c2 FROM s WI
 SELECT tf, periods, round(mean * n / sqrt(v), 5) AS t FROM a""")
 def panel_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = returns(spark, sf_dir).where(F.col("x").isNotNull() & F.col("y").isNotNull()).withColumn("v", F.signum("x") * F.col("y"))
-    return S.panel_t(df, ["tf"], "bar_time", "v", 2).withColumn("t", off_tie(F.col("t"), 5))
+    return S.panel_t(df, ["tf"], "bar_time", "v", 2).withColumn("t", F.round(F.col("t"), 5))
 
 
 @query("stories")
@@ -82,16 +82,21 @@ def logistic_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.groupBy("tf").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(((F.col("p") > 0.5) == (F.col("label") > 0)).cast("double")), 4).alias("accuracy"))
 
 
-@query("london_days", f"""WITH {BARS}, h AS (SELECT root, pair, {DAY_SQL} AS day, count(*) AS n, max(high) AS hh, min(low) AS hl, arg_max(close, bar_time) AS hc FROM bars WHERE tf = '1h' GROUP BY ALL),
-d AS (SELECT *, lead(open) OVER (PARTITION BY root, pair ORDER BY bar_time) AS nxt FROM bars WHERE tf = '1d'), j AS (SELECT d.root, d.pair, d.tf, d.bar_time, CASE WHEN n >= 12 THEN hc ELSE coalesce(nxt, close) END AS c, open, high, low FROM d LEFT JOIN h ON h.root = d.root AND h.pair = d.pair AND h.day = d.bar_time)
+@query("london_days", f"""WITH {BARS}, g AS (SELECT pair, min(root) AS root FROM bars WHERE tf = '1h' GROUP BY pair), h AS (SELECT pair, {DAY_SQL} AS day, count(*) AS n, arg_max(close, bar_time) AS hc FROM bars JOIN g USING (pair, root) WHERE tf = '1h' GROUP BY ALL),
+d AS (SELECT *, lead(open) OVER (PARTITION BY root, pair ORDER BY bar_time) AS nxt FROM bars WHERE tf = '1d'), j AS (SELECT d.root, d.pair, d.tf, d.bar_time, CASE WHEN n >= 12 THEN hc ELSE coalesce(nxt, close) END AS c, open, high, low FROM d LEFT JOIN h ON h.pair = d.pair AND h.day = d.bar_time)
 SELECT {KEY}, c AS close, greatest(high, c) AS high, least(low, c) AS low FROM j""")
 def london_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars whose close is rebuilt from at least 12 hourly bars, else taken from the next day's open."""
+    """Daily bars whose close is rebuilt from at least 12 hourly bars, else taken from the next day's open.
+
+    No root has both kinds of a pair, so the hourly bars are those of the pair's first root that has any.
+    """
     bars = bars_of(spark, sf_dir)
     day = B.trading_day(B.in_zone(F.col("bar_time"), B.LONDON))
-    built = B.bucketed(bars.where("tf = '1h'"), ["root", "pair"], "bar_time", day, 12).select("root", "pair", F.col("bucket").alias("day"), F.col("close").alias("rebuilt"))
+    hours = bars.where("tf = '1h'")
+    hours = hours.join(hours.groupBy("pair").agg(F.min("root").alias("root")), ["pair", "root"])
+    built = B.bucketed(hours, ["pair"], "bar_time", day, 12).select("pair", F.col("bucket").alias("day"), F.col("close").alias("rebuilt"))
     daily = bars.where("tf = '1d'").withColumns({"nxt": F.lead("open").over(B.series_window()), "day": F.to_date("bar_time")})
-    j = daily.join(built, ["root", "pair", "day"], "left").withColumn("close", F.coalesce("rebuilt", "nxt", "close"))
+    j = daily.join(built, ["pair", "day"], "left").withColumn("close", F.coalesce("rebuilt", "nxt", "close"))
     return j.select(*SERIES, stamp(), "close", F.greatest("high", "close").alias("high"), F.least("low", "close").alias("low"))
 
 
@@ -99,7 +104,7 @@ def london_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 def intra_rv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variance within each hour from its 15-minute moves, only where all four are known."""
     q = returns(spark, sf_dir).where("tf = '15m'").groupBy("root", "pair", F.date_trunc("hour", "bar_time").alias("hour"))
-    return q.agg(F.when(F.count("x") >= 4, off_tie(F.sum(F.col("x") * F.col("x")), 5)).alias("rv")).withColumn("hour", stamp("hour"))
+    return q.agg(F.when(F.count("x") >= 4, F.round(F.sum(F.col("x") * F.col("x")), 5)).alias("rv")).withColumn("hour", stamp("hour"))
 
 
 @query("same_trades", f"""WITH {BARS}, s AS (SELECT *, close > avg(close) OVER ({W} ROWS 19 PRECEDING) + 1e-9 AS a, close > lag(close, 10) OVER ({W}) AS b FROM bars WHERE tf = '1d') SELECT pair, count(*) FILTER (a) AS first, count(*) FILTER (b) AS second, count(*) FILTER (a AND b) AS common FROM s GROUP BY pair""")
@@ -118,18 +123,16 @@ def monthly_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = m.groupBy("tf").agg(F.min("month").alias("a"), F.max("month").alias("z"))
     grid = ends.select("tf", F.explode(F.sequence("a", "z", F.expr("INTERVAL 1 MONTH"))).alias("month"))
     w = Window.partitionBy("tf").orderBy("month").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return grid.join(m, ["tf", "month"], "left").select("tf", F.date_format("month", "yyyy-MM").alias("month"), off_tie(F.sum(F.coalesce("v", F.lit(0.0))).over(w), 5).alias("total"))
+    return grid.join(m, ["tf", "month"], "left").select("tf", F.date_format("month", "yyyy-MM").alias("month"), F.round(F.sum(F.coalesce("v", F.lit(0.0))).over(w), 5).alias("total"))
 
 
 @query("rule_grid")
 def rule_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stop width and holding period: trades and mean result before 2024, and the choice by its t."""
     daily = bars_of(spark, sf_dir).where("tf = '1d'")
-    out = None
-    for width in (1.0, 2.0, 3.0):
-        for hold in (5, 10):
-            done = T.settled(T.entries(daily, width, hold)).select("r", F.lit(width).alias("width"), F.lit(hold).alias("hold"), (F.col("bar_time") < F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'")).alias("tune"))
-            out = done if out is None else out.unionByName(done)
+    grid = [(width, hold) for width in (1.0, 2.0, 3.0) for hold in (5, 10)]
+    done = T.settled(T.unfolded(T.entries(daily, 1.0, 10), grid), "width")
+    out = done.select("r", "width", "hold", (F.col("bar_time") < F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'")).alias("tune"))
     s = out.groupBy("width", "hold", "tune").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("r"), 4).alias("mean_r"), F.round(F.avg("r") / F.nullif(F.stddev_samp("r"), F.lit(0.0)) * F.sqrt(F.count(F.lit(1))), 3).alias("t"))
     best = F.first(F.struct("width", "hold")).over(Window.partitionBy("tune").orderBy(F.col("t").desc_nulls_last(), "width", "hold"))
     return s.withColumn("chosen", F.col("tune") & (best == F.struct("width", "hold")))
@@ -142,7 +145,7 @@ def trading_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.trading_grid(spark, "2024-01-01", "2024-12-31", 60).select(stamp("slot"), "seq")
 
 
-GRID = """s AS (SELECT unnest(generate_series(TIMESTAMP '2015-01-04', TIMESTAMP '2035-01-01', INTERVAL 1 HOUR)) AS slot), ny AS (SELECT slot, slot AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS ny FROM s),
+GRID = """e AS (SELECT date_trunc('day', min(bar_time)) AS a, date_trunc('day', max(bar_time)) + INTERVAL 9 DAY AS z FROM bars WHERE tf = '1h'), s AS (SELECT unnest(generate_series(a, z, INTERVAL 1 HOUR)) AS slot FROM e), ny AS (SELECT slot, slot AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS ny FROM s),
 grid AS (SELECT slot, row_number() OVER (ORDER BY slot) AS seq FROM ny WHERE (isodow(ny) <= 4) OR (isodow(ny) = 5 AND hour(ny) < 17) OR (isodow(ny) = 7 AND hour(ny) >= 17))"""
 
 
@@ -150,8 +153,7 @@ grid AS (SELECT slot, row_number() OVER (ORDER BY slot) AS seq FROM ny WHERE (is
 def bar_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """End of the fourth open-market hour after each hourly bar's end: two equal joins on the numbered grid."""
     bars = bars_of(spark, sf_dir).where("tf = '1h'").withColumn("slot", F.timestamp_add("HOUR", F.lit(1), F.col("bar_time")))
-    span = bars.agg(F.min("slot").cast("date").cast("string").alias("a"), F.date_add(F.max("slot").cast("date"), 7).cast("string").alias("z")).first()
-    grid = C.trading_grid(spark, span.a or "2024-01-01", span.z or "2024-01-02", 60)
+    grid = C.trading_slots(bars.agg(F.to_date(F.min("slot")).alias("first"), F.date_add(F.to_date(F.max("slot")), 7).alias("last")), 60)
     ends = grid.select((F.col("seq") - 3).alias("seq"), F.timestamp_add("HOUR", F.lit(1), F.col("slot")).alias("target"))
     return bars.join(grid, "slot").join(ends, "seq").select(*SERIES, stamp(), stamp("target"))
 
@@ -173,7 +175,7 @@ def holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spot_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value dates of each daily bar; null where a currency has no calendar. USDCAD also by the next-day rule."""
     daily = bars_of(spark, sf_dir).where("tf = '1d'").withColumn("day", F.to_date("bar_time"))
-    pairs = [(r.base, r.quote) for r in few(table(spark, sf_dir, "fx_pairs").select("base", "quote").distinct())]
+    pairs = [(r.base, r.quote) for r in few(table(spark, sf_dir, "fx_pairs").where(F.col("base").isin(*C.RULES) & F.col("quote").isin(*C.RULES)).select("base", "quote").distinct())]
     dates = small(C.spot_table(spark, pairs, daily_years(daily)), 100_000)
     written = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     return daily.join(dates, ["pair", "day"], "left").select("root", "pair", written("day"), written("spot"), "roll_days", written("spot_t1"), "roll_days_t1")
@@ -196,7 +198,7 @@ def source_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly number, mean length and publishers by source."""
     d = table(spark, sf_dir, "documents").where(F.col("published_at").isNotNull())
     g = d.groupBy(F.lower(F.trim("source")).alias("source"), F.date_trunc("hour", "published_at").alias("t"))
-    return g.agg(F.count(F.lit(1)).alias("n"), off_tie(F.avg("n_chars"), 6).alias("chars"), F.count_distinct("publisher").alias("publishers")).select("source", F.date_format("t", "yyyy-MM-dd HH").alias("hour"), "n", "chars", "publishers")
+    return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 6).alias("chars"), F.count_distinct("publisher").alias("publishers")).select("source", F.date_format("t", "yyyy-MM-dd HH").alias("hour"), "n", "chars", "publishers")
 
 
 @query("candle_stats", f"""WITH {RETURNS}, c AS (SELECT tf, close > open AS up, lead(close > open) OVER ({W}) AS nxt, high - low AS size, avg(high - low) OVER ({W} ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS said FROM r) SELECT tf, count(*) AS n, round(avg(CASE WHEN up = nxt THEN 1.0 ELSE 0.0 END), 6) AS colour, round(avg(abs(size - said) / said), 6) AS size_error FROM c WHERE nxt IS NOT NULL AND said > 1e-9 GROUP BY tf""")
@@ -206,4 +208,4 @@ def candle_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = bars_of(spark, sf_dir).withColumns({"up": F.col("close") > F.col("open"), "size": F.col("high") - F.col("low")})
     df = df.withColumns({"nxt": F.lead("up").over(w), "said": F.avg("size").over(w.rowsBetween(-14, -1))}).where(F.col("nxt").isNotNull() & (F.col("said") > 1e-9))
     same, err = (F.col("up") == F.col("nxt")).cast("double"), F.abs(F.col("size") - F.col("said")) / F.col("said")
-    return df.groupBy("tf").agg(F.count(F.lit(1)).alias("n"), off_tie(F.avg(same), 6).alias("colour"), off_tie(F.avg(err), 6).alias("size_error"))
+    return df.groupBy("tf").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(same), 6).alias("colour"), F.round(F.avg(err), 6).alias("size_error"))

@@ -26,13 +26,19 @@ SMALL = 10_000
 
 
 def few(df: DataFrame, most: int = SMALL) -> list[Row]:
-    """The rows of a configuration table on the driver; one that has grown beyond ``most`` rows is refused."""
+    """The distinct settings that shape a plan, on the driver: they become columns, of which there can't be more than ``most``."""
     rows = df.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"a table of settings has more than {most} rows")
     return rows
 
 
+def lengths(timeframes: DataFrame) -> DataFrame:
+    """tf and ``length``, its bars' length in microseconds; 0 for daily bars. One row a timeframe."""
+    longest = F.max("minutes").cast("long") * F.lit(60_000_000)
+    return small(timeframes.where(F.col("tf").isNotNull()).groupBy("tf").agg(F.coalesce(longest, F.lit(0).cast("long")).alias("length")))
+
+
 def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     """Broadcast a table whose size was looked at: beyond ``most`` rows it stays an ordinary side of the join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -13,7 +13,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import bars as B, forecasting as M, joins as J, ledger as L, recursive as R, signals as S, stats as P, text as X, trades as T, vectors
-from quillon.plans.shared import nudged
 from quillon.sources import feeds, stores
 from quillon.streaming import pipeline as Z
 
@@ -335,7 +334,3 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     slid = str(tmp_path / "slid")
     Z.drained(Z.sliding_sums(read(), "k", "t", "v", "1 hour", "30 minutes", "1 minute"), slid, str(tmp_path / "c3")).awaitTermination()
     assert spark.read.parquet(slid).count() > 0
-
-
-def test_rounding_step_in_sql():
-    assert nudged("round(a + b(1, 2), 3)") == "round((a + b(1, 2)) + 1.3e-08, 3)"
