@@ -135,11 +135,12 @@ def test_blocks_give_what_whole_series_give(spark):
 
 def test_forward_backward_equals_plain_recursion():
     rng = np.random.default_rng(0)
-    emit, move = rng.random((30, 4)), I.transitions(I.Emissions())
+    emit, moves = rng.random((30, 4)), I.transitions(I.Emissions(), np.array([1e-3, 4e-3, 2e-4]))
     group = np.repeat([0, 1, 2], [12, 1, 17])
-    got = I.forward_backward(emit, group, move)
+    got = I.forward_backward(emit, group, moves)
     start = np.array([0.997, 1e-3, 1e-3, 1e-3])
-    for a, n in zip(*bounds(group)):
+    for move, a, n in zip(moves, *bounds(group)):
+        assert np.allclose(move.sum(axis=1), 1, atol=1e-4)
         e = emit[a : a + n]
         for t in range(n):
             f = start.copy()
@@ -151,6 +152,39 @@ def test_forward_backward_equals_plain_recursion():
             assert np.allclose(got[a + t], f * b / (f * b).sum())
 
 
+def test_neighbours_decide_about_a_reading_in_between(spark):
+    """The same distance is a spike beside a spike and none by itself: no threshold on the distance gives these rows."""
+    rows = walk(600, 8)
+    unit = float(np.median(np.abs(np.diff([math.log(r[8]) for r in rows]))))
+    lift = lambda r, k: price(r[0], r[4], *[r[8] * math.exp(k * unit)], r[1], r[2], r[3], *(x * math.exp(k * unit) for x in r[5:8]))
+    far, near = {200: 300, 201: 19, 400: 300}, {300: 19}
+    moved = [lift(r, (far | near)[r[0]]) if r[0] in far | near else r for r in rows]
+    got = {r.line_id: (r.state, r.distance) for r in I.judged(table(spark, moved), frames(spark)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: I.SPIKE for k in far}
+    alone = I.bar_states(table(spark, moved), frames(spark)).where(f"at = {int((moved[299][4] - dt.datetime(1970, 1, 1)).total_seconds() * 1e6)}").first()
+    assert alone.state == I.NORMAL and alone.distance > 0.8 * got[201][1]
+
+
+def test_each_source_has_its_own_estimates():
+    e, rng = I.Emissions(), np.random.default_rng(4)
+    hist = lambda x: np.bincount(I.cells(x), minlength=I.CELLS)
+    moves = np.vstack([hist(np.abs(rng.standard_normal(20_000)) * s) for s in (1e-4, 1e-2)])
+    far = np.vstack([hist(rng.exponential(3.0 * 0.67e-4, 20_000)), hist(np.r_[rng.exponential(2.0 * 0.67e-2, 20_000), np.full(100, 5.0)])])
+    unit, scale, share = I.estimate(moves, far, np.zeros(2, dtype=int), e)
+    assert np.allclose(unit, [0.67e-4, 0.67e-2], rtol=0.05)
+    assert 2.7 < scale[0] <= 3.0 and 2.0 <= scale[1] < 2.4 and share[1] > 0.003 > share[0]
+    assert np.isnan(I.estimate(moves * 0, far * 0, np.zeros(2, dtype=int), e)[0]).all()
+
+
+def test_sources_without_a_name_or_a_move(spark):
+    rows = walk(200)
+    nameless = [(r[0] + 1000, None, *r[2:]) for r in rows]
+    still = [price(3000 + k, T0 + dt.timedelta(hours=k), 1.0, root="still") for k in range(3)] + [price(4000, T0, 2.0, root="one")]
+    spiked = [price(r[0], r[4], r[8] * 1.3, r[1], o=r[5] * 1.3, h=r[6] * 1.3, l=r[7] * 1.3) if r[0] in (100, 1100) else r for r in rows + nameless + still]
+    got = found(spark, spiked)
+    assert got[100] == I.SPIKE and got[1100] == I.SPIKE and 4000 not in got
+
+
 # --- problem 3
 
 
