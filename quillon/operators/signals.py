@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -11,11 +11,79 @@ from quillon.operators.bars import LONDON, in_zone, series_window, trading_day
 from quillon.sources.tables import SERIES
 
 CLOUD_SHIFT = 26
-# fixed values: names of the signals, in their order
-SIGNALS = [
-    "sma20", "sma75", "sma200", "ma_20_75", "ma_20_75_cross", "macd_state", "macd_cross", "macd_zero", "rsi_50_cross", "rsi_30_70", "bb_pctb", "bb_touch", "bb_break",
-    "ichi_cloud", "ichi_tk", "ichi_tk_cross", "ichi_sanyaku", "stoch_cross", "adx_di", "psar", "donchian20", "pivot", "roc12", "williams_r", "cci_100",
-]
+
+# --- rules ----------------------------------------------------------------------------------------------------------
+# A rule is a condition to buy and one to sell over the columns of the indicator frame; ``was_x`` is x one bar earlier.
+# Conditions on unknown values don't hold. The forms below write them down; names, inputs and limits are fixed values.
+
+Rule = tuple[str, str]
+
+
+def over(a: str, b: str | float) -> Rule:
+    return f"{a} > {b}", f"{a} < {b}"
+
+
+def through(a: str, b: str | float) -> Rule:
+    """a passes b from one bar to the next; b is a column or a level."""
+    then = f"was_{b}" if isinstance(b, str) else b
+    return f"{a} > {b} AND was_{a} <= {then}", f"{a} < {b} AND was_{a} >= {then}"
+
+
+def outside(x: str, low: str | float, high: str | float, closed: bool = False) -> Rule:
+    """Bought below the low limit and sold above the high one."""
+    return (f"{x} <= {low}", f"{x} >= {high}") if closed else (f"{x} < {low}", f"{x} > {high}")
+
+
+def beyond(x: str, low: str, high: str) -> Rule:
+    """Bought above the high limit and sold below the low one."""
+    return f"{x} > {high}", f"{x} < {low}"
+
+
+def both(*rules: Rule) -> Rule:
+    return tuple(" AND ".join(f"({r[side]})" for r in rules) for side in (0, 1))
+
+
+def only(rule: Rule, buy: str, sell: str | None = None) -> Rule:
+    return f"({rule[0]}) AND {buy}", f"({rule[1]}) AND {sell or buy}"
+
+
+CLOUD = beyond("close", "cloud_bottom", "cloud_top")
+TOUCH = ("low <= bb_lower", "high >= bb_upper")
+RULES: dict[str, Rule] = {
+    "sma20": over("close", "sma20"), "sma75": over("close", "sma75"), "sma200": over("close", "sma200"),
+    "ma_20_75": over("sma20", "sma75"), "ma_20_75_cross": through("sma20", "sma75"),
+    "macd_state": over("macd", "macd_signal"), "macd_cross": through("macd", "macd_signal"), "macd_zero": over("macd", 0),
+    "rsi_50_cross": through("rsi", 50), "rsi_30_70": outside("rsi", 30, 70),
+    "bb_pctb": outside("pctb", 0, 1, closed=True), "bb_touch": only(TOUCH, f"NOT ({TOUCH[1]})", f"NOT ({TOUCH[0]})"),
+    "bb_break": both(beyond("close", "bb_lower", "bb_upper"), ("was_close <= was_bb_upper", "was_close >= was_bb_lower")),
+    "ichi_cloud": CLOUD, "ichi_tk": over("tenkan", "kijun"), "ichi_tk_cross": through("tenkan", "kijun"),
+    "ichi_sanyaku": both(over("tenkan", "kijun"), CLOUD, over("close", "close_26")),
+    "stoch_cross": only(through("stoch_k", "stoch_d"), "stoch_d < 20", "stoch_d > 80"),
+    "adx_di": only(over("plus_di", "minus_di"), "adx > 25"), "psar": over("psar_trend", 0),
+    "donchian20": beyond("close", "don_low", "don_high"), "pivot": over("close", "pivot_point"), "roc12": over("roc12", 0),
+    "williams_r": outside("williams_r", -80, -20), "cci_100": outside("cci", -100, 100),
+}
+SIGNALS = list(RULES)
+PLACES = 9  # digits that values are compared at: of frozen prices a mean and a price are the same
+
+
+def lagged() -> list[str]:
+    """Columns whose value one bar earlier some rule reads."""
+    return sorted({w for rule in RULES.values() for text in rule for w in re.findall(r"was_(\w+)", text)})
+
+
+def compared() -> list[str]:
+    """Columns that rules read."""
+    words = {w for rule in RULES.values() for text in rule for w in re.findall(r"[a-z]\w*", text)}
+    return sorted(w for w in words if not w.startswith("was_"))
+
+
+def verdict(name: str) -> str:
+    buy, sell = RULES[name]
+    return f"CASE WHEN {buy} THEN 1 WHEN {sell} THEN -1 ELSE 0 END"
+
+
+# --- the frame ------------------------------------------------------------------------------------------------------
 
 
 def stochastic(df: DataFrame, n: int = 14, smooth: int = 3, d: int = 3) -> DataFrame:
@@ -54,7 +122,7 @@ def indicator_frame(bars: DataFrame) -> DataFrame:
     df = df.withColumn("day", F.when(F.col("tf") == "1d", F.to_date("bar_time")).otherwise(trading_day(local)))
     df = df.withColumn("typical", (F.col("high") + F.col("low") + F.col("close")) / 3)
     df = df.withColumns({**{f"sma{n}": V.sma("close", n) for n in (20, 75, 200)}, **V.bollinger("close"), **V.ichimoku(), **V.donchian(), "williams_r": V.williams_r(), "cci": V.cci(), "roc12": V.roc(12)})
-    df = pivots_within(stochastic(df)).drop("day")
+    df = pivots_within(stochastic(df)).drop("day").withColumnRenamed("pivot", "pivot_point")
     w = series_window()
     a, b = F.lag("span_a", CLOUD_SHIFT).over(w), F.lag("span_b", CLOUD_SHIFT).over(w)
     known = a.isNotNull() & b.isNotNull()
@@ -65,39 +133,23 @@ def indicator_frame(bars: DataFrame) -> DataFrame:
     }).drop("span_a", "span_b", "typical")
 
 
-def _mark(up, down):
-    return F.coalesce(up.cast("int"), F.lit(0)) - F.coalesce(down.cast("int"), F.lit(0))
-
-
 def signal_frame(bars: DataFrame) -> DataFrame:
-    """The 25 signals (1 buy, -1 sell, 0 none or unknown) at each bar."""
-    df = indicator_frame(bars)
-    c = F.col
+    """The signals (1 buy, -1 sell, 0 none or unknown) at each bar, compiled from RULES."""
     w = series_window()
-    was, upper, lower = F.lag("close").over(w), F.lag("bb_upper").over(w), F.lag("bb_lower").over(w)
-    low_touch, high_touch = F.coalesce(c("low") <= c("bb_lower"), F.lit(False)), F.coalesce(c("high") >= c("bb_upper"), F.lit(False))
-    tk, cloud, lag = V.state(c("tenkan"), c("kijun")), _mark(c("close") > c("cloud_top"), c("close") < c("cloud_bottom")), V.state(c("close"), c("close_26"))
-    k_cross = V.cross("stoch_k", "stoch_d")
-    made = {
-        **{f"sma{n}": V.state(c("close"), c(f"sma{n}")) for n in (20, 75, 200)},
-        "ma_20_75": V.state(c("sma20"), c("sma75")), "ma_20_75_cross": V.cross("sma20", "sma75"),
-        "macd_state": V.state(c("macd"), c("macd_signal")), "macd_cross": V.cross("macd", "macd_signal"), "macd_zero": V.state(c("macd"), F.lit(0.0)),
-        "rsi_50_cross": V.cross("rsi", 50.0), "rsi_30_70": V.zone(c("rsi"), 30, 70), "bb_pctb": _mark(c("pctb") <= 0, c("pctb") >= 1),
-        "bb_touch": _mark(low_touch & ~high_touch, high_touch & ~low_touch),
-        "bb_break": _mark((c("close") > c("bb_upper")) & (was <= upper), (c("close") < c("bb_lower")) & (was >= lower)),
-        "ichi_cloud": cloud, "ichi_tk": tk, "ichi_tk_cross": V.cross("tenkan", "kijun"),
-        "ichi_sanyaku": _mark((tk == 1) & (cloud == 1) & (lag == 1), (tk == -1) & (cloud == -1) & (lag == -1)),
-        "stoch_cross": _mark((k_cross == 1) & (c("stoch_d") < 20), (k_cross == -1) & (c("stoch_d") > 80)),
-        "adx_di": F.when(c("adx") > 25, V.state(c("plus_di"), c("minus_di"))).otherwise(0), "psar": F.coalesce(c("psar_trend"), F.lit(0)),
-        "donchian20": _mark(c("close") > c("don_high"), c("close") < c("don_low")), "pivot": V.state(c("close"), c("pivot")), "roc12": V.state(c("roc12"), F.lit(0.0)),
-        "williams_r": V.zone(c("williams_r"), -80, -20), "cci_100": V.zone(c("cci"), -100, 100),
-    }
-    return df.select(*SERIES, "bar_time", *(made[s].alias(s) for s in SIGNALS))
-
-
-def consensus(signals: DataFrame, keys: list[str] = SIGNALS, neutral: float = 0.1, strong: float = 0.4) -> DataFrame:
-    """``score``: (buys - sells) / signals; ``level`` -2..2, 0 up to ``neutral`` and 2 from ``strong`` in size."""
-    score = reduce(lambda a, b: a + b, (F.col(k) for k in keys)) / len(keys)
-    size = F.abs(F.col("score"))
-    level = F.signum("score").cast("int") * ((size > neutral + 1e-9).cast("int") + (size >= strong - 1e-9).cast("int"))
-    return signals.select(*SERIES, "bar_time", score.alias("score")).withColumn("level", level)
+    df = indicator_frame(bars)
+    whole = dict(df.dtypes)
+    df = df.withColumns({c: F.round(c, PLACES) for c in compared() if whole[c] == "double"})
+    df = df.withColumns({f"was_{c}": F.lag(c).over(w) for c in lagged()})
+    return df.select(*SERIES, "bar_time", *(F.expr(verdict(name)).alias(name) for name in RULES))
+
+
+# fixed values: sizes of the score from which a level counts; the first must be exceeded, the second reached
+LEVELS = (0.1 + 1e-9, 0.4 - 1e-9)
+
+
+def consensus(signals: DataFrame, keys: list[str] = SIGNALS, cuts: tuple[float, ...] = LEVELS) -> DataFrame:
+    """``score``, the mean of the signals, and ``level``: its sign times the number of cuts that its size is beyond."""
+    mean = F.aggregate(F.array(*keys), F.lit(0), lambda total, x: total + x) / len(keys)
+    scored = signals.select(*SERIES, "bar_time", mean.alias("score"))
+    passed = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: F.abs("score") > cut))
+    return scored.withColumn("level", (F.signum("score") * passed).cast("int"))

@@ -213,28 +213,71 @@ def adx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(R.adx(bars_of(spark, sf_dir)), ["plus_di", "minus_di", "adx"], 5)
 
 
-@query("parabolic_sar")
+STOP_SQL = f"""z AS (SELECT *, row_number() OVER ({W}) AS rn, lag(close) OVER ({W}) AS pc, lag(high) OVER ({W}) AS ph, lag(low) OVER ({W}) AS pl, lag(high, 2) OVER ({W}) AS ph2, lag(low, 2) OVER ({W}) AS pl2 FROM bars),
+sar AS (SELECT root, pair, tf, bar_time, rn, CAST(NULL AS DOUBLE) AS s, CAST(NULL AS DOUBLE) AS best, 0.02::DOUBLE AS speed, NULL::BOOLEAN AS up FROM z WHERE rn = 1
+UNION ALL SELECT root, pair, tf, bar_time, rn, CASE WHEN rn = 2 THEN s1 WHEN broken THEN CASE WHEN up THEN greatest(best, high, ph) ELSE least(best, low, pl) END ELSE s1 END,
+ CASE WHEN rn = 2 THEN best WHEN broken THEN CASE WHEN up THEN low ELSE high END WHEN up THEN greatest(best, high) ELSE least(best, low) END,
+ CASE WHEN rn = 2 OR broken THEN 0.02 WHEN (up AND high > best) OR (NOT up AND low < best) THEN least(speed + 0.02, 0.2) ELSE speed END, CASE WHEN rn > 2 AND broken THEN NOT up ELSE up END FROM
+ (SELECT *, CASE WHEN up THEN low < s1 ELSE high > s1 END AS broken FROM (SELECT root, pair, tf, bar_time, rn, high, low, ph, pl, speed, up,
+  CASE WHEN rn > 2 THEN best WHEN up THEN greatest(high, ph) ELSE least(low, pl) END AS best,
+  CASE WHEN rn = 2 THEN CASE WHEN up THEN least(low, pl) ELSE greatest(high, ph) END WHEN up THEN least(s + speed * (best - s), pl, pl2) ELSE greatest(s + speed * (best - s), ph, ph2) END AS s1 FROM
+  (SELECT z.root, z.pair, z.tf, z.bar_time, z.rn, z.high, z.low, z.ph, z.pl, z.ph2, z.pl2, sar.s, sar.best, sar.speed, CASE WHEN z.rn = 2 THEN z.close >= z.pc ELSE sar.up END AS up
+   FROM sar JOIN z ON z.root = sar.root AND z.pair = sar.pair AND z.tf = sar.tf AND z.rn = sar.rn + 1))))"""
+TREND = "CASE WHEN rn > 1 THEN CASE WHEN up THEN 1 ELSE -1 END ELSE 0 END"
+
+
+@query("parabolic_sar", f"WITH RECURSIVE {BARS}, {STOP_SQL} SELECT {KEY}, round(s, 6) AS psar, {TREND} AS psar_trend FROM sar")
 def parabolic_sar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(R.parabolic(bars_of(spark, sf_dir)), ["psar", "psar_trend"])
 
 
-@query("indicator_frame")
+def over_window(expr: str, column: str, n: int) -> str:
+    return f"CASE WHEN count({column}) {rows(n)} >= {n} THEN {expr} {rows(n)} END"
+
+
+LOCAL_DAY = f"CASE WHEN tf = '1d' THEN CAST(bar_time AS DATE) ELSE {DAY_SQL} END"
+MEANS = {f"sma{n}": gate("avg(close)", n) for n in (20, 75, 200)} | {"tenkan": mid_sql(9), "kijun": mid_sql(26), "b52": mid_sql(52), "don_high": gate("max(high)", 20, 1), "don_low": gate("min(low)", 20, 1), "sd20": gate("stddev_pop(close)", 20), "hh": gate("max(high)", 14), "ll": gate("min(low)", 14)}
+FRAME_SQL = WILDER_SQL.rstrip() + f""", {STOP_SQL}, e AS (SELECT root, pair, tf, bar_time, rn, close AS a, close AS b, CAST(NULL AS DOUBLE) AS s FROM x WHERE rn = 1
+UNION ALL SELECT root, pair, tf, bar_time, rn, na, nb, CASE WHEN rn < 26 THEN NULL WHEN s IS NULL THEN na - nb ELSE 0.2 * (na - nb) + 0.8 * s END FROM
+(SELECT x.root, x.pair, x.tf, x.bar_time, x.rn, 2.0 / 13 * x.close + 11.0 / 13 * e.a AS na, 2.0 / 27 * x.close + 25.0 / 27 * e.b AS nb, e.s FROM e JOIN x ON {SAME.replace('r.', 'e.')})),
+f0 AS (SELECT *, (high + low + close) / 3 AS tp, {LOCAL_DAY} AS day, lag(close, 26) OVER ({W}) AS close_26, 100 * (close / lag(close, 12) OVER ({W}) - 1) AS roc12, {', '.join(f'{v} AS {k}' for k, v in MEANS.items())} FROM bars),
+f1 AS (SELECT *, sma20 - 2 * sd20 AS bb_lower, sma20 + 2 * sd20 AS bb_upper, CASE WHEN hh IS NULL THEN NULL WHEN hh > ll THEN 100 * (close - ll) / (hh - ll) ELSE 50 END AS raw, CASE WHEN hh IS NULL THEN NULL WHEN hh > ll THEN -100 * (hh - close) / (hh - ll) ELSE -50 END AS williams_r,
+ CASE WHEN count(tp) {rows(20)} >= 20 THEN avg(tp) {rows(20)} END AS mtp, list(tp) {rows(20)} AS held, lag((tenkan + kijun) / 2, 26) OVER ({W}) AS ca, lag(b52, 26) OVER ({W}) AS cb FROM f0),
+f2 AS (SELECT *, {over_window('avg(raw)', 'raw', 3)} AS stoch_k, list_sum(list_transform(held, lambda q: abs(q - mtp))) / 20 AS md FROM f1),
+dd AS (SELECT root, pair, tf, day, lag(max(high)) OVER o AS h, lag(min(low)) OVER o AS l, lag(arg_max(close, bar_time)) OVER o AS c FROM f0 GROUP BY root, pair, tf, day WINDOW o AS (PARTITION BY root, pair, tf ORDER BY day)),
+f3 AS (SELECT f2.*, {over_window('avg(stoch_k)', 'stoch_k', 3)} AS stoch_d FROM f2),
+frame AS (SELECT f3.root, f3.pair, f3.tf, f3.bar_time, open, high, low, close, sma20, sma75, sma200, bb_lower, sma20 AS bb_mid, bb_upper, tenkan, kijun, don_high, don_low, williams_r, roc12, stoch_k, stoch_d, close_26, CASE WHEN md > 1e-12 THEN (tp - mtp) / (0.015 * md) END AS cci,
+ CASE WHEN ca IS NOT NULL AND cb IS NOT NULL THEN greatest(ca, cb) END AS cloud_top, CASE WHEN ca IS NOT NULL AND cb IS NOT NULL THEN least(ca, cb) END AS cloud_bottom, CASE WHEN bb_upper - bb_lower > 0 THEN (close - bb_lower) / (bb_upper - bb_lower) END AS pctb,
+ (h + l + c) / 3 AS pivot_point, 2 * (h + l + c) / 3 - l AS r1, 2 * (h + l + c) / 3 - h AS s1, (h + l + c) / 3 + (h - l) AS r2, (h + l + c) / 3 - (h - l) AS s2, h + 2 * ((h + l + c) / 3 - l) AS r3, l - 2 * (h - (h + l + c) / 3) AS s3,
+ CASE WHEN e.rn >= 26 THEN e.a - e.b END AS macd, CASE WHEN e.rn >= 34 THEN e.s END AS macd_signal, CASE WHEN e.rn >= 34 THEN e.a - e.b - e.s END AS macd_hist, CASE WHEN r.rn < 15 THEN NULL WHEN r.s = 0 THEN 100 ELSE 100 - 100 / (1 + r.g / r.s) END AS rsi, CASE WHEN r.rn >= 14 THEN r.atr END AS atr,
+ CASE WHEN r.rn >= 15 AND r.t > 0 THEN 100 * r.p / r.t END AS plus_di, CASE WHEN r.rn >= 15 AND r.t > 0 THEN 100 * r.m / r.t END AS minus_di, CASE WHEN r.nd >= 14 AND r.rn >= 15 AND r.t > 0 AND r.p + r.m > 0 THEN r.adx END AS adx, sar.s AS psar, {TREND.replace('rn', 'sar.rn')} AS psar_trend
+ FROM f3 JOIN r USING (root, pair, tf, bar_time) JOIN e USING (root, pair, tf, bar_time) JOIN sar USING (root, pair, tf, bar_time) JOIN dd ON dd.root = f3.root AND dd.pair = f3.pair AND dd.tf = f3.tf AND dd.day = f3.day)"""
+FRAME_COLUMNS = ["open", "high", "low", "close", "macd", "macd_signal", "macd_hist", "rsi", "atr", "adx", "plus_di", "minus_di", "psar", "sma20", "sma75", "sma200", "bb_lower", "bb_mid", "bb_upper", "tenkan", "kijun", "don_high", "don_low", "williams_r", "cci", "roc12", "stoch_k", "stoch_d", "pivot_point", "r1", "s1", "r2", "s2", "r3", "s3", "cloud_top", "cloud_bottom", "close_26", "pctb"]
+# digits of the frame as shown: means and prices at nine, ratios that amplify the last place at five
+SHOWN = {c: 5 if c in ("cci", "rsi", "adx", "plus_di", "minus_di", "pctb") else 6 if c in ("bb_lower", "bb_upper", "macd", "macd_signal", "macd_hist", "atr", "psar", "williams_r", "roc12", "stoch_k", "stoch_d") else 9 for c in FRAME_COLUMNS}
+
+
+@query("indicator_frame", f"{FRAME_SQL} SELECT {KEY}, psar_trend, {', '.join(f'round({c}, {SHOWN[c]}) AS {c}' for c in FRAME_COLUMNS)} FROM frame")
 def indicator_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = S.indicator_frame(bars_of(spark, sf_dir))
-    return shown(df, [c for c in df.columns if c not in (*SERIES, "bar_time")])
+    return shown(S.indicator_frame(bars_of(spark, sf_dir)), [*FRAME_COLUMNS, "psar_trend"], SHOWN)
+
+
+SIGNALS_SQL = f"""{FRAME_SQL}, g0 AS (SELECT root, pair, tf, bar_time, {', '.join('psar_trend' if c == 'psar_trend' else f'round({c}, {S.PLACES}) AS {c}' for c in S.compared())} FROM frame), g AS (SELECT *, {', '.join(f'lag({c}) OVER ({W}) AS was_{c}' for c in S.lagged())} FROM g0),
+signals AS (SELECT root, pair, tf, bar_time, {', '.join(f'{S.verdict(n)} AS s_{n}' for n in S.SIGNALS)} FROM g), said AS (SELECT root, pair, tf, bar_time, ({' + '.join(f's_{n}' for n in S.SIGNALS)}) / {len(S.SIGNALS)} AS score FROM signals),
+scored AS (SELECT *, CAST(sign(score) AS INTEGER) * (CASE WHEN abs(score) > 0.1 + 1e-9 THEN 1 ELSE 0 END + CASE WHEN abs(score) > 0.4 - 1e-9 THEN 1 ELSE 0 END) AS level FROM said)"""
 
 
-@query("signals_25")
+@query("signals_25", f"{SIGNALS_SQL} SELECT {KEY}, {', '.join(f's_{n} AS {n}' for n in S.SIGNALS)} FROM signals")
 def signals_25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(S.signal_frame(bars_of(spark, sf_dir)), S.SIGNALS)
 
 
-@query("consensus")
+@query("consensus", f"{SIGNALS_SQL} SELECT {KEY}, round(score, 6) AS score, level FROM scored")
 def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(S.consensus(S.signal_frame(bars_of(spark, sf_dir))), ["score", "level"])
 
 
-@query("consensus_now")
+@query("consensus_now", f"{SIGNALS_SQL} SELECT {KEY}, round(score, 6) AS score, level FROM scored QUALIFY row_number() OVER (PARTITION BY root, pair, tf ORDER BY bar_time DESC) = 1")
 def consensus_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last bar of each series, with its consensus."""
     scored = S.consensus(S.signal_frame(bars_of(spark, sf_dir)))

@@ -96,29 +96,53 @@ def test_market_hours_on_both_clocks(spark):
 # --- forecasts
 
 
+def alone(name, y, steps):
+    return y[-1] + M.MODELS[name](M.Ends(y, np.array([0]), np.array([len(y)])), steps)[0]
+
+
+def test_series_side_by_side_give_what_each_gives_alone():
+    rng = np.random.default_rng(3)
+    parts = [np.cumsum(rng.standard_normal(n) * 0.01) for n in (70, 130, 900, 900, 1400, 2)]
+    length = np.array([len(p) for p in parts])
+    ends = M.Ends(np.concatenate(parts), np.r_[0, np.cumsum(length)[:-1]], length)
+    for name, f in M.MODELS.items():
+        both = f(ends, 7)
+        for k, p in enumerate(parts):
+            assert np.allclose(both[k], alone(name, p, 7) - p[-1], atol=1e-12), name
+
+
+def test_student_distribution_by_integration():
+    for nu in (1, 2, 3, 4, 5, 6, 10, 15):
+        x = np.linspace(-80, 80, 320_001)
+        density = (1 + x * x / nu) ** (-(nu + 1) / 2)
+        area = np.r_[0, np.cumsum((density[1:] + density[:-1]) / 2)]
+        for p in (0.6, 0.75, 0.9, 0.975):
+            assert abs(M.quantile(p, nu) - np.interp(p, area / area[-1], x)) < 1e-5
+
+
 def test_forecasts_are_made_from_whole_series(spark):
     rows = walk(1600, "long", 5)
     y = np.log([r[-1] for r in rows])
     got = {(r.model, r.h): r.bp for r in M.forecasts(spark.createDataFrame(rows, BARS), [1, 20]).collect()}
-    want = {(n, h): float(f(y, 20)[h - 1] - y[-1]) * 1e4 for n, f in M.MODELS.items() for h in (1, 20)}
+    want = {(n, h): float(alone(n, y, 20)[h - 1] - y[-1]) * 1e4 for n in M.MODELS for h in (1, 20)}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
-    assert abs(want["knn", 20] - (M.pattern_match(y[-1100:], 20)[19] - y[-1]) * 1e4) > 1  # the older shapes matter
+    assert abs(want["knn", 20] - (alone("knn", y[-1100:], 20)[19] - y[-1]) * 1e4) > 1  # the older shapes matter
 
 
 
 @pytest.mark.parametrize("name", list(M.MODELS))
 def test_models_give_finite_paths_that_no_later_bar_changes(name):
     y = np.log(np.array([b[7] for b in walk(600)]))
-    path = M.MODELS[name](y[:500], 10)
+    path = alone(name, y[:500], 10)
     assert path.shape == (10,) and np.isfinite(path).all()
-    assert np.allclose(path, M.MODELS[name](y[:500].copy(), 10))
-    assert np.isfinite(M.MODELS[name](y[:25], 10)).all()
+    assert np.allclose(path, alone(name, y[:500].copy(), 10))
+    assert np.isfinite(alone(name, y[:25], 10)).all()
 
 
 def test_models_know_a_straight_line():
     y = np.linspace(0, 1, 400)
     for name in ("drift", "holt"):
-        assert abs(M.MODELS[name](y, 5)[-1] - (1 + 5 / 399)) < 0.01
+        assert abs(alone(name, y, 5)[-1] - (1 + 5 / 399)) < 0.01
 
 
 def test_better_models_get_more_weight(spark):
