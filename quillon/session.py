@@ -30,14 +30,19 @@ def durable(df: DataFrame) -> DataFrame:
     executor loses nothing). Only where that is unset and no folder was set before, as in local tests, is a
     folder of this machine used.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, set where it isn't yet (see ``durable``)."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
         if named is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-"))
-    return df.checkpoint()
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def reachable(spark: SparkSession) -> SparkSession:

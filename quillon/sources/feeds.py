@@ -53,12 +53,17 @@ def flat_rates(payloads: DataFrame, payload: str, quote: str) -> DataFrame:
 
 def rate_csv(spark, path: str) -> DataFrame:
     """date,value files of a rate series; values that are no numbers are dropped."""
-    raw = spark.read.csv(path, header=True, schema="date string, value string")
+    return rate_rows(spark.read.csv(path, header=True, schema="date string, value string"))
+
+
+def rate_rows(raw: DataFrame) -> DataFrame:
+    """obs_date and value of written dates and values."""
     return raw.select(F.expr("try_cast(date AS date)").alias("obs_date"), F.expr("try_cast(value AS double)").alias("value")).where(F.col("obs_date").isNotNull() & F.col("value").isNotNull())
 
 
 def feed_items(payloads: DataFrame, key: str, payload: str) -> DataFrame:
-    """Items of RSS, Atom or RDF feeds: key, title, link, published (as written); items without a title are dropped."""
+    """Items of RSS, Atom or RDF feeds: key, title, link, published (as written), publisher ("" where none is named);
+    items without a title are dropped."""
     text = F.col(payload)
     item = r"(?s)<(item|entry)\b[^>]*>(.*?)</(?:item|entry)>"
     rows = payloads.select(key, F.explode(F.regexp_extract_all(text, F.lit(item), 2)).alias("_i"))
@@ -69,7 +74,7 @@ def feed_items(payloads: DataFrame, key: str, payload: str) -> DataFrame:
 
     filled = lambda *cs: F.coalesce(*(F.nullif(c, F.lit("")) for c in cs))
     href = F.regexp_extract("_i", r"<link\b[^>]*href=\"([^\"]*)\"", 1)
-    out = rows.select(key, tag("title").alias("title"), filled(tag("link"), href).alias("link"), filled(tag("pubDate"), tag("published"), tag("updated"), tag("date")).alias("published"))
+    out = rows.select(key, tag("title").alias("title"), filled(tag("link"), href).alias("link"), filled(tag("pubDate"), tag("published"), tag("updated"), tag("date")).alias("published"), tag("source").alias("publisher"))
     return out.where(F.col("title") != "")
 
 
@@ -80,7 +85,14 @@ def feed_time(published: Column) -> Column:
 
 
 def normalised(items: DataFrame, now: Column, days: int = 3) -> DataFrame:
-    """Feed items with an id of their normal key; published no later than ``now`` and no more than ``days`` before."""
+    """Feed items with an id of their normal key; published no later than ``now`` and no more than ``days`` before.
+
+    A title that ends with " - " and its publisher loses that end.
+    """
+    if "publisher" in items.columns:
+        end = F.concat(F.lit(" - "), F.col("publisher"))
+        ends = (F.col("publisher") != "") & F.endswith("title", end)
+        items = items.withColumn("title", F.when(ends, F.trim(F.substring("title", F.lit(1), F.length("title") - F.length(end)))).otherwise(F.col("title")))
     at = F.least(F.coalesce(feed_time(F.col("published")), now), now)
     kept = items.withColumn("published_at", at).where(F.col("published_at") >= now - F.make_dt_interval(F.lit(days)))
     return kept.withColumn("id", F.substring(F.sha2(normal_key(F.col("title")), 256), 1, 16)).withColumn("title", F.substring("title", 1, 300))
