@@ -58,3 +58,46 @@ def drift(used: DataFrame, least: int, t_min: float = 2.0) -> DataFrame:
     day = slot_stats(used, "tod", least).select(*SERIES, "tod", F.col("mean").alias("md"), F.col("t").alias("td"))
     met = used.join(week, [*SERIES, "slot"]).join(day, [*SERIES, "tod"])
     return met.withColumn("drift", F.when(F.abs("tw") >= t_min, F.col("mw")).when(F.abs("td") >= t_min, F.col("md")).otherwise(0.0))
+
+
+def window_stats(used: DataFrame, keys: list[str], slot: str, window: int) -> DataFrame:
+    """keys, day, slot, n and mean of the last ``window`` moves before each day, of slots that have any.
+
+    Each move counts from the day after it until ``window`` moves have passed: it is one step up and one step down in
+    its slot, at places of the series. The steps are summed by day and run up, so no day's window is read again.
+    """
+    w = Window.partitionBy(*keys)
+    moves = used.withColumns({"_k": F.row_number().over(w.orderBy("bar_time")), "day": F.to_date("bar_time")})
+    cuts = moves.groupBy(*keys, "day").agg(F.min("_k").alias("_cut"))
+    stream = moves.select(*keys, "day", F.col(slot).alias("slot"), "x", "_k")
+    # the first day whose cut lies beyond a place: the next day for coming in, that of place + window for going out
+    ends = F.array(F.struct(F.col("_k").alias("_place"), F.lit(1).alias("_sign")), F.struct((F.col("_k") + window).alias("_place"), F.lit(-1).alias("_sign")))
+    steps = stream.select(*keys, "slot", "x", F.inline(ends))
+    both = steps.select(*keys, "_place", F.lit(1).alias("_side"), "slot", "x", "_sign", F.lit(None).cast("date").alias("day"))
+    marks = cuts.select(*keys, F.col("_cut").alias("_place"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("slot"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("int").alias("_sign"), "day")
+    placed = both.unionByName(marks).withColumn("_day", F.last("day", ignorenulls=True).over(w.orderBy(F.col("_place").desc(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, -1)))
+    sums = placed.where("_side = 1 AND _day IS NOT NULL").groupBy(*keys, "slot", F.col("_day").alias("day")).agg(F.sum("_sign").alias("n"), F.sum(F.col("_sign") * F.col("x")).alias("s"))
+    grid = cuts.select(*keys, "day").join(stream.select(*keys, "slot").distinct(), keys)
+    full = grid.join(sums, [*keys, "slot", "day"], "left")
+    run = Window.partitionBy(*keys, "slot").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = full.select(*keys, "day", "slot", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("n"), F.coalesce(F.sum("s").over(run), F.lit(0.0)).alias("_s"))
+    return upto.where("n > 0").select(*keys, "day", "slot", "n", (F.col("_s") / F.col("n")).alias("mean"))
+
+
+def calls(used: DataFrame, least: int, clear: dict[str, float], otherwise: float) -> DataFrame:
+    """``d`` and ``t`` of each bar: its slot's mean, shrunk by its reliability, where |t| reaches the timeframe's ``clear``
+    value; else 0."""
+    stats = slot_stats(used, "slot", least)
+    factor = shrink(stats, "slot").select(*SERIES, "slot", "factor")
+    from_ = F.coalesce(*(F.when(F.col("tf") == tf, F.lit(t)) for tf, t in clear.items()), F.lit(otherwise))
+    told = stats.join(factor, [*SERIES, "slot"]).where(F.abs("t") >= from_).select(*SERIES, "slot", (F.col("mean") * F.col("factor")).alias("d"), "t")
+    return used.join(told, [*SERIES, "slot"], "left").withColumns({"d": F.coalesce("d", F.lit(0.0)), "t": F.coalesce("t", F.lit(0.0))})
+
+
+def combined(called: DataFrame, bars: int) -> DataFrame:
+    """``centre`` and ``centre_t``: the drifts of the last ``bars`` bars together and their t, of independent means."""
+    w = series_window().rowsBetween(-(bars - 1), 0)
+    own = (F.col("t") != 0) & (F.col("d") != 0)
+    error = F.when(own, F.abs(F.col("d") / F.nullif("t", F.lit(0.0))))
+    spread = F.sqrt(F.sum(error * error).over(w))
+    return called.withColumns({"centre": F.sum("d").over(w), "centre_t": F.coalesce(F.sum(F.when(own, F.col("d"))).over(w) / F.nullif(spread, F.lit(0.0)), F.lit(0.0))})

@@ -76,13 +76,44 @@ def block_t(rows: DataFrame, keys: list[str], block: str, value: str) -> DataFra
     return sums.groupBy(*keys).agg(F.count(F.lit(1)).alias("blocks"), (F.avg("_s") / F.nullif(F.stddev_samp("_s"), F.lit(0.0)) * F.sqrt(F.count(F.lit(1)))).alias("t"))
 
 
-def weighted_quantile(rows: DataFrame, keys: list[str], value: str, weight: str, order: str, q: float) -> DataFrame:
-    """The smallest value at which the running weight reaches q of the total, without interpolation."""
-    w = Window.partitionBy(*keys)
-    running = F.sum(weight).over(w.orderBy(value, order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    run = rows.withColumns({"_run": running, "_all": F.sum(weight).over(w)})
-    reached = run.where(F.col("_run") >= q * F.col("_all") - 1e-12)
-    return reached.groupBy(*keys).agg(F.min(value).alias("value"))
+def weighted_quantile(rows: DataFrame, keys: list[str], value: str, weight: str, order: str | Column, q: float, width: float = 1.0) -> DataFrame:
+    """The smallest value at which the running weight reaches q of the total, without interpolation.
+
+    Weights are summed by bins of ``width`` first; only the rows of the bin in which q is reached are put in order, so
+    no task holds a key.
+    """
+    binned = rows.where(F.col(value).isNotNull()).withColumn("_bin", F.floor(F.col(value) / width).cast("long"))
+    all_ = Window.partitionBy(*keys)
+    upto = all_.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bins = binned.groupBy(*keys, "_bin").agg(F.sum(weight).alias("_w")).withColumns({"_upto": F.sum("_w").over(upto), "_all": F.sum("_w").over(all_)})
+    open_ = bins.where((F.col("_upto") >= q * F.col("_all") - 1e-12) & (F.col("_upto") - F.col("_w") < q * F.col("_all") - 1e-12))
+    inside = binned.join(open_, [*keys, "_bin"])
+    w = Window.partitionBy(*keys, "_bin").orderBy(value, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = inside.withColumn("_run", F.col("_upto") - F.col("_w") + F.sum(weight).over(w))
+    return run.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("_run") >= q * F.col("_all") - 1e-12, F.col(value))), F.max(value)).alias("value"))
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, levels: dict[str, float], width: float) -> DataFrame:
+    """keys and the exact quantiles (linear) named in ``levels``, of the known values.
+
+    Counts by bins of ``width`` find the bins that the wanted places lie in; only their rows are put in order. No task
+    holds a key's values, however many there are.
+    """
+    binned = rows.where(F.col(value).isNotNull()).withColumn("_bin", F.floor(F.col(value) / width).cast("long"))
+    all_ = Window.partitionBy(*keys)
+    bins = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    bins = bins.withColumns({"_upto": F.sum("_n").over(all_.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_all": F.sum("_n").over(all_)})
+    wanted = F.array(*(F.struct(F.lit(name).alias("_name"), (q * (F.col("_all") - 1)).alias("_place")) for name, q in levels.items()))
+    low, high = F.floor("_place"), F.ceil("_place")
+    hit = lambda p: (F.col("_upto") - F.col("_n") <= p) & (p < F.col("_upto"))
+    open_ = bins.select("*", F.inline(wanted)).where(hit(low) | hit(high))
+    ordered = binned.join(open_.select(*keys, "_bin", "_n", "_upto").distinct(), [*keys, "_bin"])
+    rank = F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy(value)) - 1 + F.col("_upto") - F.col("_n")
+    ordered = ordered.select(*keys, "_bin", F.col(value).alias("_v"), rank.alias("_rank"))
+    met = open_.join(ordered, [*keys, "_bin"]).where((F.col("_rank") == low) | (F.col("_rank") == high))
+    ends = met.groupBy(*keys, "_name", "_place").agg(F.min("_v").alias("_a"), F.max("_v").alias("_z"))
+    ends = ends.withColumn("_q", F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_place") - low))
+    return ends.groupBy(*keys).agg(*(F.max(F.when(F.col("_name") == name, F.col("_q"))).alias(name) for name in levels))
 
 
 def gaussian_crps(error: Column, sd: Column, density: Column, below: Column) -> Column:

@@ -84,3 +84,12 @@ def pressures(scored: DataFrame, hours: int = 48, decay: float = 12.0, shrink: f
     return reach.withColumn("d", d).groupBy("day", "cur").agg((F.sum(F.col("d") * F.col("score")) / (shrink + F.sum("d"))).alias("pressure"), F.count(F.lit(1)).alias("n"))
 
 
+def calendar_lines(lines: DataFrame, day: str, line: str, form: str) -> DataFrame:
+    """The columns and the event of each line of a calendar: time, cur, title, impact, forecast and previous (as written).
+
+    ``form`` has these in groups: hour, minute, currency, title, impact, forecast, previous. Other lines give nothing.
+    """
+    part = lambda k: F.regexp_extract(line, form, k)
+    hit = lines.where(F.col(line).rlike(form) & (part(1).cast("int") < 24))
+    time = F.timestamp_add("MINUTE", part(1).cast("int") * 60 + part(2).cast("int"), F.col(day))
+    return hit.select("*", time.alias("time"), part(3).alias("cur"), part(4).alias("title"), part(5).alias("impact"), part(6).alias("forecast"), part(7).alias("previous")).drop(day, line)

@@ -247,7 +247,8 @@ def histogram_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("exact_quantiles", f"WITH {RETURNS} SELECT root, pair, tf, round(quantile_cont(x, 0.1), 6) AS q10, round(median(x), 6) AS q50, round(quantile_cont(x, 0.9), 6) AS q90 FROM r WHERE x IS NOT NULL GROUP BY root, pair, tf")
 def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = returns(spark, sf_dir).where(F.col("x").isNotNull())
-    return df.groupBy(*SERIES).agg(*(F.round(F.percentile("x", F.lit(q)), 6).alias(f"q{round(q * 100)}") for q in (0.1, 0.5, 0.9)))
+    q = P.quantiles(df, SERIES, "x", {"q10": 0.1, "q50": 0.5, "q90": 0.9}, 5.0)
+    return q.select(*SERIES, *(F.round(c, 6).alias(c) for c in ("q10", "q50", "q90")))
 
 
 @query("regression_slope", f"WITH {RETURNS} SELECT root, pair, tf, count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(corr(y, x), 6) AS corr FROM r WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY root, pair, tf")
@@ -260,7 +261,7 @@ def regression_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The top tenth by the earlier period's cut, scored on the later period."""
     df = returns(spark, sf_dir).where(F.col("x").isNotNull()).withColumn("late", F.col("bar_time") >= F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'"))
-    cuts = df.where("NOT late").groupBy("tf").agg(F.percentile(F.abs("x"), F.lit(0.9)).alias("cut"))
+    cuts = P.quantiles(df.where("NOT late").withColumn("size", F.abs("x")), ["tf"], "size", {"cut": 0.9}, 5.0)
     top = df.where("late").where(F.col("y").isNotNull()).join(cuts, "tf").where(F.abs("x") >= F.col("cut") + 1e-9)
     return top.groupBy("tf").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.signum("x") * F.col("y")), 6).alias("mean"))
 
