@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillon.functions.times import floor_div, micros
 from quillon.operators.batches import bounds, in_order, whole_groups, with_halo
+from quillon.operators.stats import quantiles
 from quillon.sources.tables import SERIES, plain_pair, small
 
 
@@ -83,18 +84,26 @@ def own_units(gap: np.ndarray, value: np.ndarray, first: np.ndarray, length: np.
     return unit
 
 
-def with_units(one: DataFrame) -> DataFrame:
-    """``unit`` of each reading: what ``own_units`` gives for its whole series, in windows that spill."""
-    series = Window.partitionBy(*SERIES)
-    by_time = series.orderBy("at")
-    gap = (F.col("at") - F.lag("at").over(by_time)) / F.col("slot_us")
-    rate = F.pow(F.col("value") - F.lag("value").over(by_time), F.lit(2.0)) / F.greatest(gap, F.lit(0.25))
-    df = one.withColumns({"_r": rate, "_v": F.first("value").over(by_time)})
-    df = df.withColumn("_r", F.when((F.col("_r") > 0) & (F.col("_r") < float("inf")), F.col("_r")))
-    df = df.withColumns({"_k": F.row_number().over(series.orderBy(F.col("_r").asc_nulls_last())), "_n": F.count("_r").over(series)})
-    middle = F.avg(F.when(F.abs(2 * F.col("_k") - F.col("_n") - 1) <= 1, F.col("_r"))).over(series)
+def with_units(one: DataFrame, block_slots: int = 1024) -> DataFrame:
+    """``unit`` of each reading: what ``own_units`` gives for its whole series.
+
+    Moves are taken within blocks of time and, from a row a block, across their borders; the median comes from binned
+    counts. No task holds or sorts a series.
+    """
+    keys = [*SERIES, "_b"]
+    cut = one.withColumn("_b", floor_div(F.col("at"), F.col("slot_us") * block_slots))
+    rate = lambda at, value, was_at, was: F.pow(value - was, F.lit(2.0)) / F.greatest((at - was_at) / F.col("slot_us"), F.lit(0.25))
+    inside = Window.partitionBy(*keys).orderBy("at")
+    within = cut.select(*SERIES, rate(F.col("at"), F.col("value"), F.lag("at").over(inside), F.lag("value").over(inside)).alias("_r"))
+    ends = cut.groupBy(*keys, "slot_us").agg(F.min(F.struct("at", "value")).alias("a"), F.max(F.struct("at", "value")).alias("z"))
+    ends = ends.withColumn("_was", F.lag("z").over(Window.partitionBy(*SERIES).orderBy("_b")))
+    across = ends.select(*SERIES, rate(F.col("a.at"), F.col("a.value"), F.col("_was.at"), F.col("_was.value")).alias("_r"))
+    rates = within.unionByName(across).where((F.col("_r") > 0) & (F.col("_r") < float("inf")))
+    middle = quantiles(rates, SERIES, "_r", {"_m": 0.5}, bins=F.floor(F.log("_r") * 8))
+    first = ends.groupBy(*SERIES).agg(F.min("a")["value"].alias("_v"))
     none = F.pow(F.greatest(F.abs("_v") * 1e-4, F.lit(1e-9)), F.lit(2.0))
-    return df.withColumn("unit", F.coalesce(middle / 0.4549, none)).drop("_r", "_v", "_k", "_n")
+    units = first.join(middle, SERIES, "left").select(*SERIES, F.coalesce(F.col("_m") / 0.4549, none).alias("unit"))
+    return one.join(units, SERIES)
 
 
 def back_step(state: list, ahead: list, later: list, d: np.ndarray) -> list:

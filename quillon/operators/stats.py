@@ -93,13 +93,13 @@ def weighted_quantile(rows: DataFrame, keys: list[str], value: str, weight: str,
     return run.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("_run") >= q * F.col("_all") - 1e-12, F.col(value))), F.max(value)).alias("value"))
 
 
-def quantiles(rows: DataFrame, keys: list[str], value: str, levels: dict[str, float], width: float) -> DataFrame:
+def quantiles(rows: DataFrame, keys: list[str], value: str, levels: dict[str, float], width: float = 1.0, bins: Column | None = None) -> DataFrame:
     """keys and the exact quantiles (linear) named in ``levels``, of the known values.
 
-    Counts by bins of ``width`` find the bins that the wanted places lie in; only their rows are put in order. No task
+    Counts by bins of ``width`` (or ``bins``, whole numbers that rise with the value) find the bins that the wanted places lie in; only their rows are put in order. No task
     holds a key's values, however many there are.
     """
-    binned = rows.where(F.col(value).isNotNull()).withColumn("_bin", F.floor(F.col(value) / width).cast("long"))
+    binned = rows.where(F.col(value).isNotNull()).withColumn("_bin", (F.floor(F.col(value) / width) if bins is None else bins).cast("long"))
     all_ = Window.partitionBy(*keys)
     bins = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
     bins = bins.withColumns({"_upto": F.sum("_n").over(all_.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_all": F.sum("_n").over(all_)})
