@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quillon.functions.times import floor_div, micros
 from quillon.operators.batches import bounds, in_order, whole_groups
@@ -17,56 +17,83 @@ from quillon.sources.tables import SERIES
 BLOCK_BARS = 256
 
 
-def chain(name: str, alpha: float):
-    """Step over a series' blocks: the carry into each block and the number of values before it."""
-
-    def step(acc: Column, block: Column) -> Column:
-        last, part = F.element_at(acc, -1), block[name]
-        begun = F.coalesce(last["carry"], part["seed"])
-        carry = F.when(part["n"] > 0, part["end"] + F.pow(F.lit(1 - alpha), part["n"]) * begun).otherwise(last["carry"])
-        return F.concat(acc, F.array(F.struct(carry.alias("carry"), (last["seen"] + part["n"]).alias("seen"))))
-
-    return step
-
-
 def exponential(df: DataFrame, specs: dict[str, tuple[str, float, int]]) -> DataFrame:
     """Adds the exponential averages ``{name: (column, alpha, least)}``, seeded with the first known value.
 
     Each is null until ``least`` values are known and where the value itself is unknown; unknown values are
     passed over. ``df`` has root, pair, tf and bar_time.
 
-    In a block of some hundred bars the recursion has a closed form over running sums; the blocks' ends are
-    chained per series (one small row a block) and the carry is added back: y = local + (1 - alpha)**i * carry.
-    All of it is built-in and a hot series is many blocks.
+    A series is cut into blocks of some hundred bars that lie in any task. A first pass gives each block's end as if
+    nothing came before it, its first value and its number of values: one row a block. A scan over these rows, in order
+    and holding one of them, gives what comes into each block, and a second pass over the same placed rows starts
+    there. The rows are shuffled and scanned once, and no series gathers anywhere.
     """
     minutes = F.when(F.col("tf") == "15m", 15).when(F.col("tf") == "1h", 60).otherwise(1440)
     block = floor_div(micros(F.col("bar_time")), F.lit(60_000_000).cast("long") * minutes * BLOCK_BARS)
-    df = df.withColumn("_block", block)
-    inside = Window.partitionBy(*SERIES, "_block").orderBy("bar_time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # weights grow towards the newest value, so the running sum keeps its precision
-    df = df.withColumns({f"_i_{name}": F.count(column).over(inside) for name, (column, _, _) in specs.items()})
-    grown = {f"_x_{name}": F.col(column) * F.pow(F.lit(1 / (1 - alpha)), F.col(f"_i_{name}")) for name, (column, alpha, _) in specs.items()}
-    df = df.withColumns(grown)
-    df = df.withColumns({f"_s_{name}": alpha * F.pow(F.lit(1 - alpha), F.col(f"_i_{name}")) * F.coalesce(F.sum(f"_x_{name}").over(inside), F.lit(0.0)) for name, (_, alpha, _) in specs.items()})
-    summed = [F.struct(F.max(f"_i_{n}").alias("n"), F.max_by(f"_s_{n}", "bar_time").alias("end"), F.min_by(c, F.when(F.col(c).isNotNull(), F.col("bar_time"))).alias("seed")).alias(n) for n, (c, _, _) in specs.items()]
-    each = df.groupBy(*SERIES, "_block").agg(*summed)
-    chained = each.groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("_block", *specs))).alias("blocks"))
-    lists = {}
-    for name, (_, alpha, _) in specs.items():
-        start = F.array(F.struct(F.lit(None).cast("double").alias("carry"), F.lit(0).cast("long").alias("seen")))
-        lists[name] = F.aggregate("blocks", start, chain(name, alpha))
-    carries = chained.select(*SERIES, "blocks", *(x.alias(f"_l_{n}") for n, x in lists.items()))
-    rows = F.transform(F.sequence(F.lit(1), F.size("blocks")), lambda k: F.struct(F.element_at("blocks", k)["_block"].alias("_block"), *(F.element_at(f"_l_{n}", k).alias(f"_c_{n}") for n in specs)))
-    carries = carries.select(*SERIES, F.inline(rows))
-    joined = df.join(carries, [*SERIES, "_block"])
-    out = {}
-    for name, (column, alpha, least) in specs.items():
-        i, c = F.col(f"_i_{name}"), F.col(f"_c_{name}")
-        first = F.first(column, ignorenulls=True).over(inside)
-        value = F.col(f"_s_{name}") + F.pow(F.lit(1 - alpha), i) * F.coalesce(c["carry"], first)
-        out[name] = F.when(F.col(column).isNotNull() & (c["seen"] + i >= least), value)
-    helpers = [f"_{k}_{n}" for n in specs for k in "ixsc"]
-    return joined.withColumns(out).drop("_block", *helpers)
+    keys, names, columns = [*SERIES, "_block"], list(specs), df.columns
+    alpha, least = np.array([a for _, a, _ in specs.values()]), np.array([n for _, _, n in specs.values()])
+
+    def known(table: pa.Table) -> np.ndarray:
+        return np.vstack([table.column(c).to_numpy(zero_copy_only=False).astype(float) for c, _, _ in specs.values()])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in whole_groups(batches, keys):
+            first, _ = bounds(group)
+            values = known(table)
+            there = ~np.isnan(values)
+            count = np.add.reduceat(there, first, axis=1)
+            ahead = np.cumsum(there, axis=1)
+            left = (ahead[:, np.r_[first[1:], len(group)] - 1])[:, group] - ahead  # known values after each in its block
+            weight = alpha[:, None] * (1 - alpha[:, None]) ** left
+            end = np.add.reduceat(np.where(there, values * weight, 0.0), first, axis=1)
+            place = np.where(there, np.arange(len(group)), len(group))
+            lead = np.minimum.reduceat(place, first, axis=1)
+            seed = np.where(count > 0, np.take_along_axis(np.c_[values, np.full(len(values), np.nan)], lead, axis=1), np.nan)
+            out = table.select(keys).take(pa.array(first))
+            for i in range(len(names)):
+                for kind, x in (("n", count[i].astype(np.int64)), ("e", end[i]), ("s", seed[i])):
+                    out = out.append_column(f"{kind}{i}", pa.array(x, from_pandas=True))
+            yield from out.to_batches()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, carry, seen = None, [None] * len(names), [0] * len(names)
+        for batch in batches:
+            series = list(zip(*(batch.column(k).to_pylist() for k in SERIES)))
+            n, e, s = ([batch.column(f"{kind}{i}").to_pylist() for i in range(len(names))] for kind in "nes")
+            carries, counts = [[] for _ in names], [[] for _ in names]
+            for r, key in enumerate(series):
+                if key != held:
+                    held, carry, seen = key, [None] * len(names), [0] * len(names)
+                for i, a in enumerate(alpha):
+                    carries[i].append(carry[i]), counts[i].append(seen[i])
+                    if n[i][r]:
+                        begun = s[i][r] if carry[i] is None else carry[i]
+                        carry[i] = e[i][r] + (1 - a) ** n[i][r] * begun
+                        seen[i] += n[i][r]
+            made = [batch.column(k) for k in keys]
+            for i in range(len(names)):
+                made += [pa.array(carries[i], pa.float64()), pa.array(counts[i], pa.int64())]
+            yield pa.RecordBatch.from_arrays(made, names=[*keys, *(f"{kind}{i}" for i in range(len(names)) for kind in ("_c", "_k"))])
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in whole_groups(batches, keys):
+            first, _ = bounds(group)
+            into = np.vstack([table.column(f"_c{i}").to_numpy(zero_copy_only=False).astype(float)[first] for i in range(len(names))])
+            seen = np.vstack([np.nan_to_num(table.column(f"_k{i}").to_numpy(zero_copy_only=False).astype(float)[first]) for i in range(len(names))]).astype(np.int64)
+            found = side_by_side(known(table), group, alpha, least, into, seen)
+            out = table.select(columns)
+            for i, name in enumerate(names):
+                out = out.append_column(name, pa.array(found[i], from_pandas=True))
+            yield from out.to_batches()
+
+    placed = df.withColumn("_block", block).repartition(*keys)
+    types = dict(df.dtypes)
+    key_types = [*(f"{k} {types[k]}" for k in SERIES), "_block bigint"]
+    one = placed.sortWithinPartitions(*keys, "bar_time").mapInArrow(ends, ", ".join([*key_types, *(f"n{i} bigint, e{i} double, s{i} double" for i in range(len(names)))]))
+    carried = in_order(one, SERIES, "_block").mapInArrow(scan, ", ".join([*key_types, *(f"_c{i} double, _k{i} bigint" for i in range(len(names)))]))
+    met = placed.join(carried.hint("shuffle_hash"), keys, "left").select(*df.columns, "_block", *(F.col(f"{kind}{i}") for i in range(len(names)) for kind in ("_c", "_k")))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"`{name}` double" for name in names)])
+    return met.sortWithinPartitions(*keys, "bar_time").mapInArrow(values, schema)
 
 
 def ema(df: DataFrame, name: str, column: str, n: int, least: int | None = None) -> DataFrame:
@@ -110,14 +137,19 @@ def adx(df: DataFrame, n: int = 14) -> DataFrame:
     return exponential(df, {"adx": ("_dx", 1 / n, n)}).drop("_tr", "_pdm", "_mdm", "_at", "_ap", "_am", "_dx")
 
 
-def side_by_side(values: np.ndarray, group: np.ndarray, alpha: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Exponential averages of several columns (rows of ``values``) for all groups at once, NaN where not known."""
+def side_by_side(values: np.ndarray, group: np.ndarray, alpha: np.ndarray, least: np.ndarray, into: np.ndarray | None = None, before: np.ndarray | None = None) -> np.ndarray:
+    """Exponential averages of several columns (rows of ``values``) for all groups at once, NaN where not known.
+
+    ``into`` and ``before`` are each group's average and number of known values so far, a column a group.
+    """
     first, length = bounds(group)
     order = np.argsort(-length, kind="stable")
     first, length = first[order], length[order]
     alive = np.searchsorted(-length, -np.arange(1, int(length.max()) + 1), side="right")
     out = np.full(values.shape, np.nan)
-    state, seen, a = np.full((len(alpha), len(first)), np.nan), np.zeros((len(alpha), len(first)), dtype=np.int64), alpha[:, None]
+    a = alpha[:, None]
+    state = np.full((len(alpha), len(first)), np.nan) if into is None else into[:, order].copy()
+    seen = np.zeros((len(alpha), len(first)), dtype=np.int64) if before is None else before[:, order].copy()
     for t, k in enumerate(alive):
         state, seen = state[:, :k], seen[:, :k]
         x = values[:, first[:k] + t]
