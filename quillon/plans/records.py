@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillon.functions.times import DAY_US, floor_div, micros
-from quillon.operators import bars as B, forecasting as M, joins as J, ledger as L, text as X, vectors
+from quillon.operators import bars as B, forecasting as M, joins as J, ledger as L, news as N, text as X, vectors
 from quillon.plans.shared import BARS, KEY, PAIR, Registry, W, bars_of, shown, stamp
 from quillon.sources.tables import SERIES, plain_pair, small, table
 
@@ -85,6 +85,28 @@ def pressures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.date_format(F.date_from_unix_date(F.col("day").cast("int")), "yyyy-MM-dd").alias("day"), "cur", F.round(F.col("pressure"), 6).alias("pressure"), "n")
 
 
+@query("headline_reading")
+def headline_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document's headline says of each currency: moves, policy, data, fear and intervention, in two languages."""
+    return N.scores(titles(spark, sf_dir), "doc_id", "title")
+
+
+PRESSURE_SQL = f"""{SAID}, e AS (SELECT cur, round(tanh(v / 1.5), 3) AS score, epoch_us(published_at) // 1000000 AS sec FROM s WHERE published_at IS NOT NULL),
+r AS (SELECT *, unnest(generate_series(sec // 86400 + 1, greatest(sec // 86400 + 1, (sec + 172800) // 86400))) AS day FROM e), d AS (SELECT *, exp(-(day * 86400 - sec) / 3600.0 / 12) AS d FROM r), p AS (SELECT day, cur, sum(d * score) / (3 + sum(d)) AS p FROM d GROUP BY day, cur)"""
+
+
+@query("pair_signal", f"""WITH {PRESSURE_SQL}, l AS (SELECT code AS pair, day, coalesce(sum(CASE WHEN cur = base THEN p ELSE -p END), 0) AS v FROM fx_pairs JOIN p ON cur = base OR cur = quote GROUP BY ALL)
+SELECT strftime(DATE '1970-01-01' + CAST(day AS INTEGER), '%Y-%m-%d') AS day, pair, round(greatest(-1, least(1, v)), 6) AS signal FROM l""")
+def pair_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """News signal of each pair at each midnight: pressure of the base less that of the quote."""
+    d = table(spark, sf_dir, "documents")
+    at = F.floor(micros(F.col("published_at")) / 1_000_000).cast("long")
+    p = X.pressures(X.scores(d).join(d.select("doc_id", at.alias("at")), "doc_id"))
+    pairs = table(spark, sf_dir, "fx_pairs").select(F.col("code").alias("pair"), "base", "quote")
+    signals = N.pair_signals(p.select("day", "cur", "pressure"), small(pairs), ["day"])
+    return signals.select(F.date_format(F.date_from_unix_date(F.col("day").cast("int")), "yyyy-MM-dd").alias("day"), "pair", F.round("signal", 6).alias("signal"))
+
+
 @query("prf1", """WITH j AS (SELECT lower(trim(source)) AS source, regexp_matches(text, '[ぁ-ん]') AS said, lower(lang) LIKE 'ja%' AS truth FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
 c AS (SELECT source, count(*) FILTER (said AND truth) AS tp, count(*) FILTER (said AND NOT truth) AS fp, count(*) FILTER (NOT said AND truth) AS fn FROM j GROUP BY source) SELECT source, tp, fp, fn, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c""")
 def prf1(spark: SparkSession, sf_dir: str) -> DataFrame:
