@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillon.operators.batches import in_order, whole_groups
+from quillon.operators.batches import bounds, in_order, whole_groups
 
 
 def expanding_slope(rows: DataFrame, keys: list[str], order: str, x: str, y: str, ready: int, least: int) -> DataFrame:
@@ -94,34 +95,35 @@ def leaders(pairs: DataFrame, items: DataFrame, ident: str, order: str) -> DataF
     """ident, story: each item joins the earliest item that is alike and itself leads; else it leads.
 
     An item whose alike earlier items are known to follow or lead is decided; deciding is repeated until none is
-    left, so the number of rounds is the longest chain of alike items, and every round is two joins over the
-    undecided. The pairs are written down between the rounds.
+    left, so the number of rounds is the longest chain of alike items. A round joins the links that are still open to
+    what the round before decided, and writes both down; what is decided is not touched again.
     """
     from quillon.session import durable
 
     when = items.select(F.col(ident).alias("_i"), F.struct(order, ident).alias("_o"))
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a"))
     links = both.join(when.select(F.col("_i").alias("x"), F.col("_o").alias("_ox")), "x").join(when.select(F.col("_i").alias("y"), F.col("_o").alias("_oy")), "y")
-    links = durable(links.where(F.col("_oy") < F.col("_ox")).select("x", "y", "_oy"))  # y is the earlier one
-    decided = items.select(F.col(ident).alias("i")).join(links.select(F.col("x").alias("i")).distinct(), "i", "left_anti").withColumn("story", F.col("i"))
-    decided = durable(decided)
-    open_ = links
+    links = durable(links.where(F.col("_oy") < F.col("_ox")).select("x", "y", "_oy").distinct())  # y is the earlier one
+    first = items.select(F.col(ident).alias("i")).join(links.select(F.col("x").alias("i")).distinct(), "i", "left_anti")
+    new = durable(first.withColumn("story", F.col("i")))
+    parts, open_ = [new], links.withColumn("lead", F.lit(None).cast("boolean"))
     while True:
-        state = open_.join(decided.select(F.col("i").alias("y"), F.col("story").alias("_s")), "y", "left")
-        lead = F.col("_s") == F.col("y")
-        judged = state.groupBy("x").agg(F.count_if(F.col("_s").isNull()).alias("unknown"), F.min_by("y", F.when(lead, F.col("_oy"))).alias("leader"), F.min(F.when(F.col("_s").isNull(), F.col("_oy"))).alias("first_unknown"), F.min(F.when(lead, F.col("_oy"))).alias("first_lead"))
+        told = new.select(F.col("i").alias("y"), (F.col("story") == F.col("i")).alias("_l"))
+        open_ = durable(open_.join(told, "y", "left").select("x", "y", "_oy", F.coalesce("lead", "_l").alias("lead")))
+        unknown = F.col("lead").isNull()
+        judged = open_.groupBy("x").agg(F.count_if(unknown).alias("unknown"), F.min_by("y", F.when(F.col("lead"), F.col("_oy"))).alias("leader"), F.min(F.when(unknown, F.col("_oy"))).alias("first_unknown"), F.min(F.when(F.col("lead"), F.col("_oy"))).alias("first_lead"))
         ready = judged.where((F.col("unknown") == 0) | (F.col("first_lead") < F.col("first_unknown")))
         new = durable(ready.select(F.col("x").alias("i"), F.coalesce("leader", "x").alias("story")))
         if new.isEmpty():
-            return decided.select(F.col("i").alias(ident), "story")
-        decided = durable(decided.unionByName(new))
-        open_ = durable(open_.join(new.select(F.col("i").alias("x")), "x", "left_anti"))
+            return reduce(DataFrame.unionByName, parts).select(F.col("i").alias(ident), "story")
+        parts.append(new)
+        open_ = open_.join(new.select(F.col("i").alias("x")), "x", "left_anti")
 
 
 def replay_scale(cases: DataFrame, keys: list[str], order: str, size: str, half_life: float = 100.0, prior: float = 30.0, q: float = 0.8, z: float = 1.2816) -> DataFrame:
     """The scale that a learner would have used at each case from the cases before it, kept in a decayed histogram.
 
-    Each step depends on the one before it, so a key is walked in order; keys share a task's batches.
+    Each step depends on the one before it, so a key is walked in order; all keys of a batch are walked side by side.
     """
     edges = np.exp(np.linspace(np.log(1e-3), np.log(1e3), 601))
 
@@ -129,16 +131,20 @@ def replay_scale(cases: DataFrame, keys: list[str], order: str, size: str, half_
         for table, group in whole_groups(batches, keys):
             value = table.column(size).to_numpy()
             cell = np.clip(np.searchsorted(edges, value), 0, len(edges) - 1)
-            out = np.empty(len(value))
-            held, keep, at = np.zeros(len(edges)), 0.5 ** (1 / half_life), -1
-            for i, g in enumerate(group.tolist()):
-                if g != at:
-                    held, at = np.zeros(len(edges)), g
-                total = held.sum()
-                k = edges[np.searchsorted(np.cumsum(held), q * total)] / z if total > 0 else 1.0
-                out[i] = (prior + total * k) / (prior + total)
-                held *= keep
-                held[cell[i]] += 1
+            out, keep = np.empty(len(value)), 0.5 ** (1 / half_life)
+            first, length = bounds(group)
+            order_ = np.argsort(-length, kind="stable")
+            first, length = first[order_], length[order_]
+            held = np.zeros((len(first), len(edges)))
+            for t in range(int(length[0])):
+                n = int(np.searchsorted(-length, -t, side="left"))  # keys that have a case at this step
+                at, own = first[:n] + t, held[:n]
+                run = np.cumsum(own, axis=1)
+                total = run[:, -1]
+                k = np.where(total > 0, edges[(run < q * total[:, None]).sum(axis=1).clip(0, len(edges) - 1)] / z, 1.0)
+                out[at] = (prior + total * k) / (prior + total)
+                own *= keep
+                own[np.arange(n), cell[at]] += 1
             yield from table.append_column("scale", pa.array(out)).to_batches()
 
     types = dict(cases.dtypes)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quillon.operators.batches import in_order, whole_groups
+from quillon.operators.batches import bounds, in_order, whole_groups
 from quillon.operators.bars import series_window, trailing
 from quillon.sources.tables import SERIES
 
@@ -63,11 +63,15 @@ def one_at_a_time(done: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in whole_groups(batches, SERIES):
             start, end = table.column("n").to_numpy(), table.column("n").to_numpy() + table.column("bars").to_numpy()
-            free = np.full(int(group[-1]) + 1, -1)
-            keep = np.zeros(len(start), dtype=bool)
-            for i, (g, s, e) in enumerate(zip(group.tolist(), start.tolist(), end.tolist())):
-                if s >= free[g]:
-                    keep[i], free[g] = True, e
+            # the trade after one is the first that starts at its end or later: a jump in the series' own stretch of places
+            span = int(max(end.max(), start.max())) + 1
+            after = np.searchsorted(group * span + start, group * span + end)
+            stop = np.searchsorted(group, np.arange(int(group[-1]) + 1), side="right")
+            keep, now = np.zeros(len(start), dtype=bool), bounds(group)[0]
+            while len(now):
+                keep[now] = True
+                nxt = after[now]
+                now = nxt[nxt < stop[group[now]]]
             yield from table.filter(pa.array(keep)).to_batches()
 
     rows = in_order(done.select(*SERIES, "bar_time", "n", "how", "bars", "r"), SERIES, "bar_time")

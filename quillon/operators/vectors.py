@@ -7,12 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def nearest(rows: DataFrame, queries: DataFrame, ident: str, vector: str, k: int = 10, block: int = 512, shard: int = 20_000) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, ident: str, vector: str, k: int = 10, block: int = 16_384, shard: int = 20_000, step: int = 512) -> DataFrame:
     """query, neighbour, distance (squared) and place of the ``k`` nearest other rows of each query.
 
-    Queries are cut into blocks of about ``block``, rows into shards of about ``shard``; each (block, shard) is one
-    matrix product that keeps k per query, and a window over those few picks the k of all shards. The numbers of
-    blocks and shards follow two counts, so a task's memory doesn't grow with the tables. Null vectors take no part.
+    Queries are cut into blocks of about ``block``, rows into shards of about ``shard``; each (block, shard) keeps k per
+    query by matrix products of ``step`` queries, and a window over those few picks the k of all shards. A row is sent
+    once a block, a query once a shard; large blocks keep the copies of the rows few (one up to 16,384 queries), and a
+    task's memory doesn't grow with the tables. Null vectors take no part. This is the exact way; it does all the work
+    that all queries against all rows are.
     """
     rows, queries = rows.where(F.col(vector).isNotNull()), queries.where(F.col(vector).isNotNull())
     blocks, shards = max(1, -(-queries.count() // block)), max(1, -(-rows.count() // shard))
@@ -25,11 +27,15 @@ def nearest(rows: DataFrame, queries: DataFrame, ident: str, vector: str, k: int
         if not len(a) or not len(b):
             return pd.DataFrame({"query": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
         x, y = np.stack(a["v"].to_numpy()).astype(np.float64), np.stack(b["v"].to_numpy()).astype(np.float64)
-        d = np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T, 0.0)
-        d[a["query"].to_numpy()[:, None] == b["row"].to_numpy()[None, :]] = np.inf
-        m = min(k, d.shape[1])
-        near = np.argpartition(d, m - 1, axis=1)[:, :m]
-        out = pd.DataFrame({"query": np.repeat(a["query"].to_numpy(), m), "neighbour": b["row"].to_numpy()[near.ravel()], "distance": np.take_along_axis(d, near, axis=1).ravel()})
+        asked, held, norm = a["query"].to_numpy(), b["row"].to_numpy(), (y * y).sum(axis=1)
+        m, parts = min(k, len(y)), []
+        for i in range(0, len(x), step):
+            own = x[i : i + step]
+            d = np.maximum((own * own).sum(axis=1)[:, None] + norm[None, :] - 2 * own @ y.T, 0.0)
+            d[asked[i : i + step][:, None] == held[None, :]] = np.inf
+            near = np.argpartition(d, m - 1, axis=1)[:, :m]
+            parts.append(pd.DataFrame({"query": np.repeat(asked[i : i + step], m), "neighbour": held[near.ravel()], "distance": np.take_along_axis(d, near, axis=1).ravel()}))
+        out = pd.concat(parts, ignore_index=True)
         return out[np.isfinite(out["distance"])]
 
     found = q.groupBy("block", "shard").cogroup(r.groupBy("block", "shard")).applyInPandas(search, "query bigint, neighbour bigint, distance double")

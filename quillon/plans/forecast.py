@@ -247,7 +247,7 @@ def usable_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest rate of a quote's base currency stored before it, unless it is more than a week old."""
     q = table(spark, sf_dir, "quotes").where(F.col("quote_time").isNotNull()).select("quote_id", "root", F.substring(plain_pair(F.col("pair")), 1, 3).alias("cur"), micros(F.col("quote_time")).alias("since"))
     r = table(spark, sf_dir, "rates").where(F.col("value").isNotNull()).select("root", "cur", micros(F.col("fetched_at")).alias("stored"), F.col("value").alias("rate"))
-    return J.asof(q, r, ["root", "cur"], "since", "stored", ["rate"], tolerance=7 * DAY_US, strict=True).select("quote_id", "rate")
+    return J.asof(q, r, ["root", "cur"], "since", "stored", ["rate"], tolerance=7 * DAY_US, strict=True, width=32 * DAY_US).select("quote_id", "rate")
 
 
 # --- season -----------------------------------------------------------------------------------------------------------
@@ -298,7 +298,7 @@ def with_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = bars_of(spark, sf_dir).where("tf = '1d'").withColumns({"since": micros(F.col("bar_time")) + DAY_US, "base": F.substring("pair", 1, 3), "quote": F.substring("pair", 4, 3)})
     r = table(spark, sf_dir, "rates").where(F.col("value").isNotNull()).select("root", "cur", micros(F.col("fetched_at")).alias("stored"), "value")
     for side in ("base", "quote"):
-        daily = J.asof(daily, r.withColumnsRenamed({"cur": side, "value": f"{side}_rate"}), ["root", side], "since", "stored", [f"{side}_rate"], strict=True).drop("as_of")
+        daily = J.asof(daily, r.withColumnsRenamed({"cur": side, "value": f"{side}_rate"}), ["root", side], "since", "stored", [f"{side}_rate"], strict=True, width=365 * DAY_US).drop("as_of")
     return daily.withColumn("diff", F.col("base_rate") - F.col("quote_rate"))
 
 

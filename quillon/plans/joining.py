@@ -12,6 +12,8 @@ from quillon.sources.tables import SERIES, lengths, plain_pair, small, table
 query = Registry()
 QUERIES, ORACLE = query.queries, query.sql
 
+MONTH_US = 32 * DAY_US  # blocks of time that as-of joins are cut into
+
 
 def quotes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "quotes").where(F.col("quote_time").isNotNull())
@@ -30,17 +32,17 @@ ASOF = "q ASOF LEFT JOIN ended b ON q.root = b.root AND q.pair = b.pair AND q.tf
 @query("asof_price", f"WITH {ENDED} SELECT quote_id, b.close AS close, b.bar_end AS as_of FROM {ASOF}")
 def asof_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price at an origin: the last bar that had ended by then."""
-    return J.asof(quotes_of(spark, sf_dir), ended(spark, sf_dir), SERIES, "at", "bar_end", ["close"]).select("quote_id", "close", "as_of")
+    return J.asof(quotes_of(spark, sf_dir), ended(spark, sf_dir), SERIES, "at", "bar_end", ["close"], width=MONTH_US).select("quote_id", "close", "as_of")
 
 
 @query("asof_tolerance", f"WITH {ENDED} SELECT quote_id, CASE WHEN q.at - b.bar_end <= 10800000000 THEN b.close END AS close FROM {ASOF}")
 def asof_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.asof(quotes_of(spark, sf_dir), ended(spark, sf_dir), SERIES, "at", "bar_end", ["close"], tolerance=10_800_000_000).select("quote_id", "close")
+    return J.asof(quotes_of(spark, sf_dir), ended(spark, sf_dir), SERIES, "at", "bar_end", ["close"], tolerance=10_800_000_000, width=MONTH_US).select("quote_id", "close")
 
 
 @query("asof_strict", f"WITH {ENDED} SELECT quote_id, b.close AS close FROM {ASOF.replace('q.at >= b.bar_end', 'q.at > b.bar_end')}")
 def asof_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.asof(quotes_of(spark, sf_dir), ended(spark, sf_dir), SERIES, "at", "bar_end", ["close"], strict=True).select("quote_id", "close")
+    return J.asof(quotes_of(spark, sf_dir), ended(spark, sf_dir), SERIES, "at", "bar_end", ["close"], strict=True, width=MONTH_US).select("quote_id", "close")
 
 
 @query("outcome_join", f"""WITH {ENDED}, t AS (SELECT quote_id, root, pair, tf, q.at AS at, q.at + 4 * minutes::BIGINT * 60000000 AS target FROM q JOIN timeframes USING (tf)),
@@ -53,7 +55,7 @@ def outcome_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = quotes_of(spark, sf_dir).join(minutes, "tf").withColumn("target", F.col("at") + 4 * F.col("minutes").cast("long") * 60_000_000)
     bars = ended(spark, sf_dir)
     reach = bars.groupBy(*SERIES).agg(F.max("bar_end").alias("reach"))
-    met = J.asof(asked.select("quote_id", *SERIES, "at", "target"), bars, SERIES, "target", "bar_end", ["close"])
+    met = J.asof(asked.select("quote_id", *SERIES, "at", "target"), bars, SERIES, "target", "bar_end", ["close"], width=MONTH_US)
     return met.join(reach, SERIES).where(F.col("reach") >= F.col("target")).select("quote_id", F.when(F.col("as_of") > F.col("at"), F.col("close")).alias("actual"))
 
 
@@ -69,8 +71,8 @@ def asof_lagged_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = bars.select("line_id", "root", F.substring(plain_pair(F.col("pair")), 1, 3).alias("cur"), micros(F.col("bar_time")).alias("at"))
     lag = F.when(F.col("freq") == "m", F.add_months("obs_date", 2)).otherwise(F.date_add("obs_date", 1))
     known = table(spark, sf_dir, "rates").where(F.col("value").isNotNull()).select("root", "cur", "freq", "value", (F.unix_date(lag).cast("long") * DAY_US).alias("known"))
-    first = J.asof(asked, known.where("freq = 'd'").withColumnRenamed("value", "daily"), ["root", "cur"], "at", "known", ["daily"]).drop("as_of")
-    both = J.asof(first, known.where("freq = 'm'").withColumnRenamed("value", "monthly"), ["root", "cur"], "at", "known", ["monthly"])
+    first = J.asof(asked, known.where("freq = 'd'").withColumnRenamed("value", "daily"), ["root", "cur"], "at", "known", ["daily"], width=12 * MONTH_US).drop("as_of")
+    both = J.asof(first, known.where("freq = 'm'").withColumnRenamed("value", "monthly"), ["root", "cur"], "at", "known", ["monthly"], width=12 * MONTH_US)
     return both.select("line_id", F.coalesce("daily", "monthly").alias("rate"))
 
 
@@ -151,13 +153,10 @@ def window_join_48h(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("range_count", f"""WITH {BARS}, d AS (SELECT DISTINCT root, pair, epoch_us(bar_time) AS at FROM bars WHERE tf = '1h'), q AS (SELECT quote_id, root, {PAIR} AS pair, epoch_us(quote_time) AS at FROM quotes WHERE quote_time IS NOT NULL)
 SELECT quote_id, count(d.at) AS hours FROM q LEFT JOIN d ON d.root = q.root AND d.pair = q.pair AND d.at > q.at - 86400000000 AND d.at <= q.at GROUP BY quote_id""")
 def range_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly bars in the day before each quote: two as-of lookups into a running count."""
+    """Hourly bars in the day before each quote."""
     hours = bars_of(spark, sf_dir).where("tf = '1h'").select("root", "pair", micros(F.col("bar_time")).alias("h"))
-    running = hours.withColumn("n", F.row_number().over(Window.partitionBy("root", "pair").orderBy("h")).cast("long"))
-    asked = quotes_of(spark, sf_dir).select("quote_id", "root", "pair", "at", (F.col("at") - DAY_US).alias("since"))
-    a = J.asof(asked, running, ["root", "pair"], "at", "h", ["n"]).withColumnRenamed("n", "n_to").drop("as_of")
-    b = J.asof(a, running, ["root", "pair"], "since", "h", ["n"])
-    return b.select("quote_id", (F.coalesce("n_to", F.lit(0)) - F.coalesce("n", F.lit(0))).cast("long").alias("hours"))
+    asked = quotes_of(spark, sf_dir).select("quote_id", "root", "pair", (F.col("at") + 1).alias("at"))
+    return J.counted_before(hours, asked, "quote_id", "at", DAY_US, MONTH_US, ["root", "pair"], "h").select("quote_id", F.col("n").alias("hours"))
 
 
 @query("outer_index_union", f"""WITH {BARS}, b AS (SELECT root, pair, bar_time, close FROM bars WHERE tf = '1h'), i AS (SELECT DISTINCT root, bar_time FROM b), p AS (SELECT DISTINCT root, pair FROM b), g AS (SELECT * FROM i JOIN p USING (root)),
@@ -242,3 +241,18 @@ def total_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of each quote in the total order."""
     q = table(spark, sf_dir, "quotes").where(F.col("quote_time").isNotNull())
     return J.numbered(q, [], F.to_date("quote_time"), ["quote_time", "root", "quote_id"], "place").select("quote_id", "place")
+
+
+@query("interpolated_price", f"WITH {ENDED}, a AS (SELECT quote_id, q.root, q.pair, q.tf, q.at AS since, b.bar_end AS a0, b.close AS u0 FROM {ASOF}), z AS (SELECT a.*, n.bar_end AS a1, n.close AS u1 FROM a ASOF LEFT JOIN ended n ON a.root = n.root AND a.pair = n.pair AND a.tf = n.tf AND a.since <= n.bar_end) SELECT quote_id, round(CASE WHEN u0 IS NULL THEN u1 WHEN u1 IS NULL THEN u0 WHEN a1 = a0 THEN u0 ELSE u0 + (u1 - u0) * ((since - a0) / (a1 - a0)::DOUBLE) END, 8) AS close FROM z")
+def interpolated_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price at each quote's instant, linear between the closes before and after it."""
+    q = quotes_of(spark, sf_dir).drop("price")
+    return J.interpolated(q, ended(spark, sf_dir), SERIES, "at", "bar_end", "close", MONTH_US).select("quote_id", F.round("close", 8).alias("close"))
+
+
+@query("first_usable", f"WITH {BARS}, s AS (SELECT pair, bar_time, close, CASE tf WHEN '1h' THEN 0 WHEN '15m' THEN 1 ELSE 2 END AS source FROM bars), n AS (SELECT pair, source, count(*) AS n FROM s GROUP BY ALL HAVING count(*) >= 300), f AS (SELECT pair, min(source) AS source FROM n GROUP BY pair) SELECT pair, source, count(*) AS bars, round(sum(close), 6) AS closes FROM s JOIN f USING (pair, source) GROUP BY pair, source")
+def first_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of each pair from the first timeframe that has 300 of them."""
+    bars = bars_of(spark, sf_dir)
+    chosen = J.first_usable([bars.where(F.col("tf") == tf).select("pair", "bar_time", "close") for tf in ("1h", "15m", "1d")], ["pair"], 300)
+    return chosen.groupBy("pair", "source").agg(F.count(F.lit(1)).alias("bars"), F.round(F.sum("close"), 6).alias("closes"))
