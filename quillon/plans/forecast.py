@@ -6,12 +6,14 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quillon.functions.times import DAY_US, micros
-from quillon.operators import bars as B, forecasting as M, joins as J, record as C, season as N, stats as P, text as X, windows as V
+from quillon.functions.times import DAY_US, floor_div, micros
+from quillon.operators import bars as B, calendars as K, forecasting as M, joins as J, record as C, season as N, stats as P, text as X, variance as Y, windows as V
 from quillon.plans.indicators import FRAME_SQL
+from quillon.plans.records import SAID
 from quillon.plans.scoring import RETURNS, SLOT, returns
 from quillon.plans.shared import BARS, KEY, PAIR, Registry, W, bars_of, shown, stamp
-from quillon.sources.tables import SERIES, lengths, plain_pair, small, table
+from quillon.sources import synthetic
+from quillon.sources.tables import SERIES, few, plain_pair, small, table
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.sql
@@ -403,3 +405,85 @@ def technical_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_top(columns: str) -> list[str]:
     """Expressions of a select list (none of them holds a comma)."""
     return columns.replace("\n", " ").split(", ")
+
+
+# --- paths, backtests, made markets -----------------------------------------------------------------------------------------
+
+PATH_SQL = f"""{SLOT}, hp AS (SELECT * FROM u WHERE tf = '1h'), pa AS (SELECT root, pair, tod, avg(x * x) AS v FROM hp GROUP BY ALL), pb AS (SELECT a.root, a.pair, a.tod, 0.5 * a.v + 0.25 * coalesce(l.v, a.v) + 0.25 * coalesce(h.v, a.v) AS w FROM pa a LEFT JOIN pa l ON l.root = a.root AND l.pair = a.pair AND l.tod = (a.tod + 23) % 24 LEFT JOIN pa h ON h.root = a.root AND h.pair = a.pair AND h.tod = (a.tod + 1) % 24),
+pf AS (SELECT root, pair, tod, w / avg(w) OVER (PARTITION BY root, pair) AS profile FROM pb), uu AS (SELECT hp.root, hp.pair, hp.bar_time, x * x / profile AS u2, row_number() OVER (PARTITION BY hp.root, hp.pair ORDER BY hp.bar_time) AS rn FROM hp JOIN pf USING (root, pair, tod)),
+st AS (SELECT *, avg(u2) OVER (PARTITION BY root, pair ORDER BY bar_time ROWS 19 PRECEDING) AS m20, avg(u2) OVER (PARTITION BY root, pair ORDER BY bar_time ROWS 1499 PRECEDING) AS long FROM uu), er AS (SELECT root, pair, rn, m20 AS e FROM st WHERE rn = 20 UNION ALL SELECT s.root, s.pair, s.rn, 0.03 * s.u2 + 0.97 * er.e FROM er JOIN st s ON s.root = er.root AND s.pair = er.pair AND s.rn = er.rn + 1),
+la AS (SELECT st.root, st.pair, max(rn) AS rn, max(bar_time) + INTERVAL 1 HOUR AS origin, arg_max(long, bar_time) AS long FROM st GROUP BY ALL), lb AS (SELECT la.*, e FROM la JOIN er USING (root, pair, rn)), sl AS (SELECT root, pair, origin, long, e, unnest(generate_series(origin, origin + INTERVAL 6 DAY, INTERVAL 1 HOUR)) AS slot FROM lb),
+so AS (SELECT *, slot AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS ny FROM sl), sk AS (SELECT *, row_number() OVER (PARTITION BY root, pair ORDER BY slot) AS k, coalesce(lag(slot) OVER (PARTITION BY root, pair ORDER BY slot) + INTERVAL 1 HOUR, origin) AS was FROM so WHERE (isodow(ny) <= 4) OR (isodow(ny) = 5 AND hour(ny) < 17) OR (isodow(ny) = 7 AND hour(ny) >= 17))
+SELECT sk.root AS root, sk.pair AS pair, k, strftime(slot, '%Y-%m-%d %H:%M:%S') AS slot, round(sqrt((long + (e - long) * pow(0.985, k)) * coalesce(profile, 1) + CASE WHEN slot > was THEN 2 * long ELSE 0 END), 4) AS sigma FROM sk LEFT JOIN pf ON pf.root = sk.root AND pf.pair = sk.pair AND pf.tod = hour(ny) WHERE k <= 24"""
+
+
+@query("variance_path", PATH_SQL.replace("WITH ", "WITH RECURSIVE ", 1))
+def variance_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spread of each of the next 24 open hours: a level that goes back to the long mean, by time of day, and closed gaps."""
+    used = N.slotted(returns(spark, sf_dir).where("tf = '1h'"), table(spark, sf_dir, "timeframes").where("tf = '1h'"))
+    return Y.path_ahead(used, 24, 60).select("root", "pair", "k", stamp("slot"), F.round(F.sqrt("variance"), 4).alias("sigma"))
+
+
+@query("backtest_rows")
+def backtest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts of every model from ten origins of each daily series, each from the bars up to it, with what followed."""
+    rows = M.backtests(bars_of(spark, sf_dir).where("tf = '1d'"), [1, 5, 10, 20], 10, 20, 130)
+    return rows.select(*SERIES, stamp("origin"), "model", "h", F.round("bp", 4).alias("bp"), F.round("actual", 4).alias("actual"))
+
+
+def uniform_sql(*parts: str) -> str:
+    return f"((('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 12))::BIGINT + 0.5) / {float(1 << 48)!r})"
+
+
+Z_SQL = f"sqrt(-2 * ln({uniform_sql(repr('a'), '7', 'pair', 'k')})) * cos(2 * pi() * {uniform_sql(repr('b'), '7', 'pair', 'k')})"
+
+
+@query("synthetic_market", f"""WITH g AS (SELECT code AS pair, unnest(generate_series(0, 499)) AS k FROM fx_pairs), z AS (SELECT *, 0.001 * {Z_SQL} AS z FROM g), c AS (SELECT *, exp(sum(z) OVER (PARTITION BY pair ORDER BY k)) AS close FROM z), o AS (SELECT *, close / exp(z) AS open FROM c)
+SELECT pair, k, round(open, 8) AS open, round(greatest(open, close) * (1 + 0.0005 * {uniform_sql(repr('r1'), '7', 'pair', 'k')}), 8) AS high, round(least(open, close) * (1 - 0.0005 * {uniform_sql(repr('r-1'), '7', 'pair', 'k')}), 8) AS low, round(close, 8) AS close FROM o""")
+def synthetic_market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hundred made hours of each pair; a longer market begins with the same bars."""
+    pairs = table(spark, sf_dir, "fx_pairs").select(F.col("code").alias("pair"), F.lit(1.0).alias("level"))
+    bars = synthetic.hourly_bars(spark, pairs, 500, 7, block=128)
+    return bars.select("pair", "k", *(F.round(c, 8).alias(c) for c in ("open", "high", "low", "close")))
+
+
+TONE = (3, 48, 168)
+
+
+def tone_sql(h: int) -> str:
+    w = f"(PARTITION BY cur ORDER BY hour RANGE BETWEEN {h - 1} PRECEDING AND CURRENT ROW)"
+    return f"round(sum(s) OVER {w} / sum(n) OVER {w}, 6) AS tone{h}"
+
+
+@query("tone", f"WITH {SAID}, e AS (SELECT cur, round(tanh(v / 1.5), 3) AS score, epoch_us(published_at) // 3600000000 AS hour FROM s WHERE published_at IS NOT NULL), g AS (SELECT cur, hour, sum(score) AS s, count(*) AS n FROM e GROUP BY ALL) SELECT cur, hour, {', '.join(map(tone_sql, TONE))} FROM g")
+def tone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean score of each currency's headlines over the last 3, 48 and 168 hours, at every hour with one."""
+    d = table(spark, sf_dir, "documents")
+    hour = F.floor(micros(F.col("published_at")) / 3_600_000_000).cast("long")
+    e = X.scores(d).join(d.select("doc_id", hour.alias("hour")), "doc_id").where(F.col("hour").isNotNull())
+    g = e.groupBy("cur", "hour").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("n"))
+    w = lambda h: Window.partitionBy("cur").orderBy("hour").rangeBetween(-(h - 1), 0)
+    return g.select("cur", "hour", *(F.round(F.sum("s").over(w(h)) / F.sum("n").over(w(h)), 6).alias(f"tone{h}") for h in TONE))
+
+
+@query("committed_before", f"WITH l AS (SELECT root, line_id, {PAIR} AS pair, row_number() OVER (PARTITION BY root ORDER BY line_id) AS n FROM prices), b AS (SELECT *, CAST(ceil(n / 250.0) AS BIGINT) AS batch FROM l), g AS (SELECT root, batch, count(*) AS k FROM b GROUP BY ALL) SELECT root, batch, CAST(coalesce(sum(k) OVER (PARTITION BY root ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lines FROM g")
+def committed_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines of each root were committed before each batch: what a reader as of that batch sees."""
+    lines = J.numbered(table(spark, sf_dir, "prices").select("root", "line_id"), ["root"], floor_div(F.col("line_id"), 65_536), ["line_id"], "n")
+    g = lines.groupBy("root", F.ceil(F.col("n") / 250).cast("long").alias("batch")).agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy("root").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    return g.select("root", "batch", F.coalesce(F.sum("k").over(w), F.lit(0)).cast("long").alias("lines"))
+
+
+@query("roll_shift")
+def roll_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected move of hourly bars that start at the roll, from the rate difference and the days that the value date moves."""
+    hours = bars_of(spark, sf_dir).where("tf = '1h'").withColumns({"since": micros(F.col("bar_time")), "base": F.substring("pair", 1, 3), "quote": F.substring("pair", 4, 3)})
+    r = table(spark, sf_dir, "rates").where(F.col("value").isNotNull()).select("root", "cur", micros(F.col("fetched_at")).alias("stored"), "value")
+    for side in ("base", "quote"):
+        hours = J.asof(hours, r.withColumnsRenamed({"cur": side, "value": f"{side}_rate"}), ["root", side], "since", "stored", [f"{side}_rate"], strict=True, width=365 * DAY_US).drop("as_of")
+    span = hours.agg(F.min(F.year("bar_time")).alias("a"), F.max(F.year("bar_time")).alias("z")).first()
+    years = range(span.a, span.z + 1) if span.a is not None else range(2024, 2025)
+    pairs = [(r.base, r.quote) for r in few(table(spark, sf_dir, "fx_pairs").where(F.col("base").isin(*K.RULES) & F.col("quote").isin(*K.RULES)).select("base", "quote").distinct())]
+    days = small(K.spot_table(spark, pairs, years).select("pair", "day", "roll_days"), 100_000)
+    return shown(N.roll_shift(hours, days, F.col("base_rate") - F.col("quote_rate")), ["shift", "roll_days"])

@@ -243,11 +243,11 @@ def total_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.numbered(q, [], F.to_date("quote_time"), ["quote_time", "root", "quote_id"], "place").select("quote_id", "place")
 
 
-@query("interpolated_price", f"WITH {ENDED}, a AS (SELECT quote_id, q.root, q.pair, q.tf, q.at AS since, b.bar_end AS a0, b.close AS u0 FROM {ASOF}), z AS (SELECT a.*, n.bar_end AS a1, n.close AS u1 FROM a ASOF LEFT JOIN ended n ON a.root = n.root AND a.pair = n.pair AND a.tf = n.tf AND a.since <= n.bar_end) SELECT quote_id, round(CASE WHEN u0 IS NULL THEN u1 WHEN u1 IS NULL THEN u0 WHEN a1 = a0 THEN u0 ELSE u0 + (u1 - u0) * ((since - a0) / (a1 - a0)::DOUBLE) END, 8) AS close FROM z")
+@query("interpolated_price", f"WITH {ENDED}, a AS (SELECT quote_id, q.root, q.pair, q.tf, q.at AS since, b.bar_end AS a0, b.close AS u0 FROM {ASOF}), z AS (SELECT a.*, n.bar_end AS a1, n.close AS u1 FROM a ASOF LEFT JOIN ended n ON a.root = n.root AND a.pair = n.pair AND a.tf = n.tf AND a.since <= n.bar_end) SELECT quote_id, CASE WHEN u0 IS NULL THEN u1 WHEN u1 IS NULL THEN u0 WHEN a1 = a0 THEN u0 ELSE u0 + (u1 - u0) * ((since - a0) / (a1 - a0)::DOUBLE) END AS close FROM z")
 def interpolated_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price at each quote's instant, linear between the closes before and after it."""
     q = quotes_of(spark, sf_dir).drop("price")
-    return J.interpolated(q, ended(spark, sf_dir), SERIES, "at", "bar_end", "close", MONTH_US).select("quote_id", F.round("close", 8).alias("close"))
+    return J.interpolated(q, ended(spark, sf_dir), SERIES, "at", "bar_end", "close", MONTH_US).select("quote_id", "close")
 
 
 @query("first_usable", f"WITH {BARS}, s AS (SELECT pair, bar_time, close, CASE tf WHEN '1h' THEN 0 WHEN '15m' THEN 1 ELSE 2 END AS source FROM bars), n AS (SELECT pair, source, count(*) AS n FROM s GROUP BY ALL HAVING count(*) >= 300), f AS (SELECT pair, min(source) AS source FROM n GROUP BY pair) SELECT pair, source, count(*) AS bars, round(sum(close), 6) AS closes FROM s JOIN f USING (pair, source) GROUP BY pair, source")
