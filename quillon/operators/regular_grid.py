@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillon.functions.times import floor_div, micros
 from quillon.operators.batches import bounds, in_order, whole_groups, with_halo
-from quillon.operators.stats import quantiles
 from quillon.sources.tables import SERIES, plain_pair, small
 
 
@@ -84,26 +83,35 @@ def own_units(gap: np.ndarray, value: np.ndarray, first: np.ndarray, length: np.
     return unit
 
 
+CELLS = 2048  # cells of the moves' logarithm to a factor of e; a cell is held as a list
+
+
 def with_units(one: DataFrame, block_slots: int = 1024) -> DataFrame:
     """``unit`` of each reading: what ``own_units`` gives for its whole series.
 
-    Moves are taken within blocks of time and, from a row a block, across their borders; the median comes from binned
-    counts. No task holds or sorts a series.
+    Moves are taken within blocks of time; the first and last readings of the blocks give the moves across. Moves are
+    put together by narrow cells of their logarithm, the cells' counts are run up, and the median is picked from its
+    cell. No task holds or sorts a series.
     """
-    keys = [*SERIES, "_b"]
     cut = one.withColumn("_b", floor_div(F.col("at"), F.col("slot_us") * block_slots))
-    rate = lambda at, value, was_at, was: F.pow(value - was, F.lit(2.0)) / F.greatest((at - was_at) / F.col("slot_us"), F.lit(0.25))
-    inside = Window.partitionBy(*keys).orderBy("at")
-    within = cut.select(*SERIES, rate(F.col("at"), F.col("value"), F.lag("at").over(inside), F.lag("value").over(inside)).alias("_r"))
-    ends = cut.groupBy(*keys, "slot_us").agg(F.min(F.struct("at", "value")).alias("a"), F.max(F.struct("at", "value")).alias("z"))
-    ends = ends.withColumn("_was", F.lag("z").over(Window.partitionBy(*SERIES).orderBy("_b")))
-    across = ends.select(*SERIES, rate(F.col("a.at"), F.col("a.value"), F.col("_was.at"), F.col("_was.value")).alias("_r"))
-    rates = within.unionByName(across).where((F.col("_r") > 0) & (F.col("_r") < float("inf")))
-    middle = quantiles(rates, SERIES, "_r", {"_m": 0.5}, bins=F.floor(F.log("_r") * 8))
-    first = ends.groupBy(*SERIES).agg(F.min("a")["value"].alias("_v"))
+    inside = Window.partitionBy(*SERIES, "_b").orderBy("at")
+    rate = lambda was_at, was: F.pow(F.col("value") - was, F.lit(2.0)) / F.greatest((F.col("at") - was_at) / F.col("slot_us"), F.lit(0.25))
+    told = cut.withColumns({"_t": F.lag("at").over(inside), "_u": F.lag("value").over(inside), "_last": F.lead("at").over(inside).isNull()})
+    within = told.where(F.col("_t").isNotNull()).select(*SERIES, "at", "value", rate(F.col("_t"), F.col("_u")).alias("_r"))
+    across = Window.partitionBy(*SERIES).orderBy("at")
+    border = told.where(F.col("_t").isNull() | F.col("_last")).withColumns({"_wt": F.lag("at").over(across), "_wu": F.lag("value").over(across)})
+    border = border.where(F.col("_t").isNull()).select(*SERIES, "at", "value", rate(F.col("_wt"), F.col("_wu")).alias("_r"))
+    good = (F.col("_r") > 0) & (F.col("_r") < float("inf"))
+    rates = within.unionByName(border).withColumn("_r", F.when(good, F.col("_r")))
+    cells = rates.groupBy(*SERIES, F.floor(F.log("_r") * CELLS).alias("_c")).agg(F.sort_array(F.collect_list("_r")).alias("_a"), F.min(F.struct("at", "value")).alias("_f"))
+    series = Window.partitionBy(*SERIES)
+    n = F.size("_a")
+    run = cells.withColumns({"_upto": F.sum(n).over(series.orderBy(F.col("_c").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_all": F.sum(n).over(series)})
+    at = lambda place: F.try_element_at("_a", F.when((place >= F.col("_upto") - n) & (place < F.col("_upto")), (place - F.col("_upto") + n + 1).cast("int")))
+    ends = run.withColumns({"_x": at(F.floor((F.col("_all") - 1) / 2)), "_y": at(F.ceil((F.col("_all") - 1) / 2))})
+    units = ends.groupBy(*SERIES).agg(((F.max("_x") + F.max("_y")) / 2).alias("_m"), F.min("_f")["value"].alias("_v"))
     none = F.pow(F.greatest(F.abs("_v") * 1e-4, F.lit(1e-9)), F.lit(2.0))
-    units = first.join(middle, SERIES, "left").select(*SERIES, F.coalesce(F.col("_m") / 0.4549, none).alias("unit"))
-    return one.join(units, SERIES)
+    return one.join(units.select(*SERIES, F.coalesce(F.col("_m") / 0.4549, none).alias("unit")), SERIES)
 
 
 def back_step(state: list, ahead: list, later: list, d: np.ndarray) -> list:
