@@ -86,8 +86,12 @@ def own_units(gap: np.ndarray, value: np.ndarray, first: np.ndarray, length: np.
 CELLS = 2048  # cells of the moves' logarithm to a factor of e; a cell is held as a list
 
 
-def with_units(one: DataFrame, block_slots: int = 1024) -> DataFrame:
-    """``unit`` of each reading: what ``own_units`` gives for its whole series.
+def with_units(one: DataFrame) -> DataFrame:
+    return one.join(series_units(one), SERIES)
+
+
+def series_units(one: DataFrame, block_slots: int = 1024) -> DataFrame:
+    """``unit`` of each series: what ``own_units`` gives for the whole of it.
 
     Moves are taken within blocks of time; the first and last readings of the blocks give the moves across. Moves are
     put together by narrow cells of their logarithm, the cells' counts are run up, and the median is picked from its
@@ -111,7 +115,7 @@ def with_units(one: DataFrame, block_slots: int = 1024) -> DataFrame:
     ends = run.withColumns({"_x": at(F.floor((F.col("_all") - 1) / 2)), "_y": at(F.ceil((F.col("_all") - 1) / 2))})
     units = ends.groupBy(*SERIES).agg(((F.max("_x") + F.max("_y")) / 2).alias("_m"), F.min("_f")["value"].alias("_v"))
     none = F.pow(F.greatest(F.abs("_v") * 1e-4, F.lit(1e-9)), F.lit(2.0))
-    return one.join(units.select(*SERIES, F.coalesce(F.col("_m") / 0.4549, none).alias("unit")), SERIES)
+    return units.select(*SERIES, F.coalesce(F.col("_m") / 0.4549, none).alias("unit"))
 
 
 def back_step(state: list, ahead: list, later: list, d: np.ndarray) -> list:
@@ -213,15 +217,14 @@ def regular_grid(readings: DataFrame, slot_us: Column, block_slots: int = 1024,
     """
     good = F.col("at").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value") & slot_us.isNotNull() & (slot_us > 0)
     one = readings.where(good).groupBy(*SERIES, "at", slot_us.cast("long").alias("slot_us")).agg(F.avg("value").alias("value"))
-    one = with_units(one)
     width = F.col("slot_us") * block_slots
     near = with_halo(one, F.col("at"), width, F.col("slot_us") * halo_slots)
-    near = near.select(*SERIES, "block", "slot_us", "at", "value", "unit", F.when(F.col("own"), 0).otherwise(1).alias("role"))
-    ends = one.groupBy(*SERIES, "slot_us", floor_div(F.col("at"), width).alias("block")).agg(F.min(F.struct("at", "value", "unit")).alias("a"), F.max(F.struct("at", "value", "unit")).alias("z"))
+    near = near.select(*SERIES, "block", "slot_us", "at", "value", F.when(F.col("own"), 0).otherwise(1).alias("role"))
+    ends = one.groupBy(*SERIES, "slot_us", floor_div(F.col("at"), width).alias("block")).agg(F.min(F.struct("at", "value")).alias("a"), F.max(F.struct("at", "value")).alias("z"))
     order = Window.partitionBy(*SERIES).orderBy("block")
     bridges = ends.select(*SERIES, "slot_us", "block", F.array_compact(F.array(F.lag("z").over(order), F.lead("a").over(order))).alias("both"))
     bridges = bridges.select(*SERIES, "block", "slot_us", F.inline("both")).withColumn("role", F.lit(1))
-    whole = near.unionByName(bridges)
+    whole = near.unionByName(bridges).join(series_units(one), SERIES)
     # a block outside the series' readings (a halo without own readings) has nothing to own
     sorted_rows = in_order(whole, [*SERIES, "block"], "at", "role")
     schema = "root string, pair string, tf string, slot bigint, value double, sd double, readings bigint, missing boolean"
