@@ -4,29 +4,28 @@
     python -m quillon run NAME FOLDER [--out PATH] [--rows N]
     python -m quillon explain NAME FOLDER
     python -m quillon sql NAME
+
+``--also MODULE`` before the verb adds the queries of a module.
 """
 
 from __future__ import annotations
 
 import argparse
 import importlib
-import importlib.util
 
 from quillon.plans import catalogue
 from quillon.session import reachable, session
 
 
-def known() -> tuple[dict, dict]:
-    """Queries and their SQL, those of the optional subpackage included where it is there."""
-    modules = catalogue.modules()
-    name = ".".join(["quillon", "llm", "queries"])
-    if importlib.util.find_spec("quillon.llm") is not None:
-        modules.append(importlib.import_module(name))
+def known(also: list[str]) -> tuple[dict, dict]:
+    """Queries and their SQL, those of the modules ``also`` included."""
+    modules = [*catalogue.modules(), *map(importlib.import_module, also)]
     return {n: q for m in modules for n, q in m.QUERIES.items()}, {n: s for m in modules for n, s in m.ORACLE.items()}
 
 
 def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quillon", description=__doc__.splitlines()[0])
+    parser.add_argument("--also", action="append", default=[], help="a module with more QUERIES and ORACLE")
     verbs = parser.add_subparsers(dest="verb", required=True)
     verbs.add_parser("list")
     for verb in ("run", "explain", "sql"):
@@ -37,7 +36,7 @@ def main(arguments: list[str] | None = None) -> int:
         if verb == "run":
             p.add_argument("--out"), p.add_argument("--rows", type=int, default=20)
     given = parser.parse_args(arguments)
-    queries, sql = known()
+    queries, sql = known(given.also)
     if given.verb == "list":
         print("\n".join(f"{n}{'' if n in sql else '  (no SQL)'}" for n in sorted(queries)))
         return 0

@@ -443,7 +443,7 @@ SELECT pair, k, round(open, 8) AS open, round(greatest(open, close) * (1 + 0.000
 def synthetic_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five hundred made hours of each pair; a longer market begins with the same bars."""
     pairs = table(spark, sf_dir, "fx_pairs").select(F.col("code").alias("pair"), F.lit(1.0).alias("level"))
-    bars = synthetic.hourly_bars(spark, pairs, 500, 7, block=128)
+    bars = synthetic.hourly_bars(pairs, 500, 7, block=128)
     return bars.select("pair", "k", *(F.round(c, 8).alias(c) for c in ("open", "high", "low", "close")))
 
 

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-
-from quillon.functions.times import floor_div
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def uniform(*parts: Column) -> Column:
@@ -20,14 +18,16 @@ def normal(*parts: Column) -> Column:
     return F.sqrt(-2 * F.log(uniform(F.lit("a"), *parts))) * F.cos(2 * math.pi * uniform(F.lit("b"), *parts))
 
 
-def hourly_bars(spark: SparkSession, pairs: DataFrame, hours: int, seed: int, sd: float = 0.001, block: int = 4096) -> DataFrame:
+def hourly_bars(pairs: DataFrame, hours: int, seed: int, sd: float = 0.001, block: int = 4096) -> DataFrame:
     """pair, k (hour from 0), open, high, low, close: a random walk an hour, with a range drawn around each bar.
 
     ``pairs``: pair and ``level`` (first open). Steps are drawn where they lie; the walk is summed within blocks and the
     blocks' sums are run up, so no task walks a pair.
     """
-    grid = pairs.crossJoin(spark.range(hours).withColumnRenamed("id", "k")) if hours else pairs.withColumn("k", F.lit(0).cast("long")).limit(0)
-    steps = grid.withColumns({"_z": sd * normal(F.lit(seed), F.col("pair"), F.col("k")), "_b": floor_div(F.col("k"), block)})
+    count = lambda a, z: F.explode(F.sequence(a.cast("long"), z.cast("long")))
+    blocks = pairs.where(F.lit(hours > 0)).select("*", count(F.lit(0), F.lit(max(hours - 1, 0) // block)).alias("_b"))
+    grid = blocks.select("*", count(F.col("_b") * block, F.least((F.col("_b") + 1) * block, F.lit(hours)) - 1).alias("k"))
+    steps = grid.withColumn("_z", sd * normal(F.lit(seed), F.col("pair"), F.col("k")))
     sums = steps.groupBy("pair", "_b").agg(F.sum("_z").alias("_s"))
     before = F.coalesce(F.sum("_s").over(Window.partitionBy("pair").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     run = F.sum("_z").over(Window.partitionBy("pair", "_b").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
