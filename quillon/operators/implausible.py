@@ -39,7 +39,7 @@ class Emissions:
     to_spike: float = 1e-3
     shares: tuple[float, float] = (2e-4, 4e-3)  # what a source's share of spikes may be
     to_stuck: float = 1e-5
-    from_spike: float = 0.5
+    from_spike: float = 0.9
     from_stuck: float = 0.1
     at_least: float = 0.5  # posterior probability from which a reading is flagged
     rounds: int = 8  # of expectation and maximisation over a source's histogram

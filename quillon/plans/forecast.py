@@ -385,7 +385,7 @@ def strength_ls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 READ_SQL = """SELECT root, pair, tf, CASE WHEN rsi >= 70 THEN -1 WHEN rsi <= 30 THEN 1 ELSE 0 END AS rsi_bias, CASE WHEN was20 <= was75 AND a20 > a75 THEN 'golden cross' WHEN was20 >= was75 AND a20 < a75 THEN 'dead cross' WHEN a20 > a75 THEN 'above' ELSE 'below' END AS averages,
-CASE WHEN a200 IS NULL THEN NULL WHEN close > a200 THEN 1 ELSE -1 END AS long_bias, CASE WHEN m > sig THEN 1 ELSE -1 END AS macd_bias, CASE WHEN pctb >= 1 THEN -1 WHEN pctb <= 0 THEN 1 ELSE 0 END AS band_bias FROM {frame}"""
+CASE WHEN a200 IS NULL THEN 0 WHEN close > a200 THEN 1 ELSE -1 END AS long_bias, CASE WHEN m > sig THEN 1 ELSE -1 END AS macd_bias, CASE WHEN pctb >= 1 THEN -1 WHEN pctb <= 0 THEN 1 ELSE 0 END AS band_bias FROM {frame}"""
 
 
 @query("technical_summary", f"""{FRAME_SQL}, z9 AS (SELECT root, pair, tf, bar_time, close, rsi, round(sma20, 9) AS a20, round(sma75, 9) AS a75, round(sma200, 9) AS a200, round(macd, 9) AS m, round(macd_signal, 9) AS sig, coalesce(pctb, 0.5) AS pctb FROM frame), y9 AS (SELECT *, lag(a20) OVER ({W}) AS was20, lag(a75) OVER ({W}) AS was75, row_number() OVER (PARTITION BY root, pair, tf ORDER BY bar_time DESC) AS back FROM z9),

@@ -157,7 +157,7 @@ def test_neighbours_decide_about_a_reading_in_between(spark):
     rows = walk(600, 8)
     unit = float(np.median(np.abs(np.diff([math.log(r[8]) for r in rows]))))
     lift = lambda r, k: price(r[0], r[4], *[r[8] * math.exp(k * unit)], r[1], r[2], r[3], *(x * math.exp(k * unit) for x in r[5:8]))
-    far, near = {200: 300, 201: 19, 400: 300}, {300: 19}
+    far, near = {200: 300, 201: 18, 400: 300}, {300: 18}
     moved = [lift(r, (far | near)[r[0]]) if r[0] in far | near else r for r in rows]
     got = {r.line_id: (r.state, r.distance) for r in I.judged(table(spark, moved), frames(spark)).collect()}
     assert {k: v[0] for k, v in got.items()} == {k: I.SPIKE for k in far}
