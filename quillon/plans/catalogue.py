@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillon.plans import data_problems, feeding, forecast, indicators, joining, records, scoring, studying
+from quillon.plans import data_problems, details, feeding, forecast, indicators, joining, records, scoring, studying
 
 FLAGSHIP = "p1_found"
 
 
 def modules() -> list:
-    return [data_problems, indicators, joining, scoring, records, studying, feeding, forecast]
+    return [data_problems, indicators, joining, scoring, records, studying, feeding, forecast, details]

@@ -83,6 +83,11 @@ def tick_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.ticks_to_bars(table(spark, sf_dir, "events"), "event_type", "ts", "value", "event_id", bucket).withColumn("bucket", stamp("bucket"))
 
 
+def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars without the prices that closes alone don't need: what goes through Python isn't pruned by the planner."""
+    return bars_of(spark, sf_dir).select(*SERIES, "bar_time", "close")
+
+
 def rows(n: int, lag: int = 0) -> str:
     return f"OVER ({W} ROWS BETWEEN {n - 1 + lag} PRECEDING AND {lag} PRECEDING)" if lag else f"OVER ({W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
@@ -174,7 +179,7 @@ SAME = "x.root = r.root AND x.pair = r.pair AND x.tf = r.tf AND x.rn = r.rn + 1"
 UNION ALL SELECT x.root, x.pair, x.tf, x.bar_time, x.rn, 2.0 / 13 * x.close + 11.0 / 13 * r.a, 2.0 / 27 * x.close + 25.0 / 27 * r.b FROM r JOIN x ON {SAME})
 SELECT {KEY}, round(CASE WHEN rn >= 12 THEN a END, 6) AS ema12, round(CASE WHEN rn >= 26 THEN b END, 6) AS ema26 FROM r""")
 def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = R.exponential(bars_of(spark, sf_dir), {"ema12": ("close", 2 / 13, 12), "ema26": ("close", 2 / 27, 26)})
+    df = R.exponential(closes(spark, sf_dir), {"ema12": ("close", 2 / 13, 12), "ema26": ("close", 2 / 27, 26)})
     return shown(df, ["ema12", "ema26"])
 
 
@@ -183,7 +188,7 @@ UNION ALL SELECT root, pair, tf, bar_time, rn, na, nb, CASE WHEN rn < 26 THEN NU
 (SELECT x.root, x.pair, x.tf, x.bar_time, x.rn, 2.0 / 13 * x.close + 11.0 / 13 * r.a AS na, 2.0 / 27 * x.close + 25.0 / 27 * r.b AS nb, r.s FROM r JOIN x ON {SAME}))
 SELECT {KEY}, round(CASE WHEN rn >= 26 THEN a - b END, 6) AS macd, round(CASE WHEN rn >= 34 THEN s END, 6) AS macd_signal, round(CASE WHEN rn >= 34 THEN a - b - s END, 6) AS macd_hist FROM r""")
 def macd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(R.macd(bars_of(spark, sf_dir)), ["macd", "macd_signal", "macd_hist"])
+    return shown(R.macd(closes(spark, sf_dir)), ["macd", "macd_signal", "macd_hist"])
 
 
 WILDER_SQL = f"""WITH RECURSIVE {BARS}, {RN}, y AS (SELECT *, greatest(close - pc, 0) AS gain, greatest(pc - close, 0) AS loss, greatest(high - low, coalesce(abs(high - pc), 0), coalesce(abs(low - pc), 0)) AS tr,
@@ -199,7 +204,7 @@ UNION ALL SELECT root, pair, tf, bar_time, rn, g, s, atr, t, p, m, CASE WHEN dx
 
 @query("rsi", WILDER_SQL + f"SELECT {KEY}, round(CASE WHEN rn < 15 THEN NULL WHEN s = 0 THEN 100 ELSE 100 - 100 / (1 + g / s) END, 6) AS rsi FROM r")
 def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(R.rsi(bars_of(spark, sf_dir)), ["rsi"])
+    return shown(R.rsi(closes(spark, sf_dir)), ["rsi"])
 
 
 @query("atr", WILDER_SQL + f"SELECT {KEY}, round(CASE WHEN rn >= 14 THEN atr END, 6) AS atr FROM r")
