@@ -201,7 +201,15 @@ def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.auc(df, ["tf"], "score", "up", "tie").withColumn("auc", F.round(F.col("auc"), 8))
 
 
-@query("crps_gauss")
+def cdf_sql(z: str) -> str:
+    """The same rational approximation in SQL."""
+    t = f"(1 / (1 + 0.3275911 * abs({z}) / sqrt(2)))"
+    tail = f"({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-{z} * {z} / 2))"
+    return f"CASE WHEN {z} >= 0 THEN 1 - {tail} / 2 ELSE {tail} / 2 END"
+
+
+@query("crps_gauss", f"""WITH {RETURNS}, d AS (SELECT tf, y, CASE WHEN count(x) OVER ({W} ROWS 19 PRECEDING) >= 20 THEN stddev_pop(x) OVER ({W} ROWS 19 PRECEDING) END AS sd FROM r), z AS (SELECT tf, sd, y / sd AS z FROM d WHERE sd > 0 AND y IS NOT NULL)
+SELECT tf, count(*) AS n, round(avg(sd * (z * (2 * ({cdf_sql('z')}) - 1) + 2 * exp(-z * z / 2) / sqrt(2 * pi()) - 1 / sqrt(pi()))), 4) AS crps FROM z GROUP BY tf""")
 def crps_gauss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean CRPS of a normal forecast with the deviation of the last 20 moves."""
     df = returns(spark, sf_dir).withColumn("sd", V.gated(F.stddev_pop("x").over(B.trailing(20)), "x", 20)).where((F.col("sd") > 0) & F.col("y").isNotNull())
@@ -368,7 +376,15 @@ def trade_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.settled(T.entries(bars_of(spark, sf_dir).where("tf = '1d'"))).select(*SERIES, stamp(), "how", F.col("bars").cast("long").alias("bars"), F.round(F.col("r"), 5).alias("r"))
 
 
-@query("trade_metrics")
+SETTLED = f"""{BARS}, a AS (SELECT *, row_number() OVER ({W}) AS n, avg(high - low) OVER ({W} ROWS 13 PRECEDING) AS atr FROM bars WHERE tf = '1d'), e0 AS (SELECT *, CASE WHEN close >= lag(close, 5) OVER ({W}) THEN 1 ELSE -1 END AS d FROM a QUALIFY n > 14), e AS (SELECT * FROM e0, (SELECT unnest({{widths}}) AS width), (SELECT unnest({{holds}}) AS hold)),
+m AS (SELECT e.root, e.pair, e.tf, e.bar_time, e.n, width, hold, e.d, e.close AS entry, e.close - e.d * width * e.atr AS sl, e.close + e.d * width * e.atr AS tp, b.n - e.n AS k, b.open, b.high, b.low, b.close AS c FROM e JOIN a b ON b.root = e.root AND b.pair = e.pair AND b.n BETWEEN e.n + 1 AND e.n + hold),
+x AS (SELECT *, d * (open - sl) <= 0 AS gs, d * (open - tp) >= 0 AS gt, d * ((CASE WHEN d > 0 THEN low ELSE high END) - sl) <= 0 AS st, d * ((CASE WHEN d > 0 THEN high ELSE low END) - tp) >= 0 AS ta FROM m), y AS (SELECT *, CASE WHEN gs OR gt THEN open WHEN st THEN sl WHEN ta THEN tp WHEN k = hold THEN c END AS px, CASE WHEN gs THEN 'sl' WHEN gt THEN 'tp' WHEN st THEN 'sl' WHEN ta THEN 'tp' WHEN k = hold THEN 'time' END AS how FROM x),
+s AS (SELECT root, pair, tf, bar_time, n, width, hold, arg_min(how, k) AS how, min(k) AS bars, arg_min(d * (px - entry), k) / arg_min(abs(entry - sl), k) AS r FROM y WHERE px IS NOT NULL GROUP BY ALL)"""
+
+
+@query("trade_metrics", f"""WITH RECURSIVE {SETTLED.format(widths='[2.0]', holds='[5]')}, nx AS (SELECT s.*, t.n AS nxt FROM s ASOF LEFT JOIN (SELECT root, pair, n FROM s) t ON s.root = t.root AND s.pair = t.pair AND s.n + s.bars <= t.n), f AS (SELECT root, pair, min(n) AS n FROM nx GROUP BY ALL),
+kept AS (SELECT nx.* FROM nx JOIN f USING (root, pair, n) UNION ALL SELECT nx.* FROM kept JOIN nx ON nx.root = kept.root AND nx.pair = kept.pair AND nx.n = kept.nxt), c AS (SELECT *, sum(r) OVER ({W} ROWS UNBOUNDED PRECEDING) AS cum FROM kept), g AS (SELECT *, greatest(0, max(cum) OVER ({W} ROWS UNBOUNDED PRECEDING)) - cum AS dd FROM c)
+SELECT root, pair, tf, count(*) AS trades, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 4) AS win_rate, round(avg(r), 4) AS avg_r, round(sum(r), 4) AS total_r, round(sum(greatest(r, 0)) / nullif(sum(greatest(-r, 0)), 0), 4) AS profit_factor, count(*) FILTER (how = 'sl') AS by_sl, count(*) FILTER (how = 'tp') AS by_tp, count(*) FILTER (how = 'time') AS by_time, round(max(dd), 4) AS max_drawdown FROM g GROUP BY root, pair, tf""")
 def trade_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One position at a time: the trades kept, their rates and exits."""
     kept = T.one_at_a_time(T.settled(T.entries(bars_of(spark, sf_dir).where("tf = '1d'"))))
