@@ -83,7 +83,7 @@ def own_units(gap: np.ndarray, value: np.ndarray, first: np.ndarray, length: np.
     return unit
 
 
-CELLS = 2048  # cells of the moves' logarithm to a factor of e; a cell is held as a list
+CELLS = 256  # cells of the moves' logarithm to a factor of e; a cell is held as a list
 
 
 def with_units(one: DataFrame) -> DataFrame:
