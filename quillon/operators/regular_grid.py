@@ -97,7 +97,7 @@ def series_units(one: DataFrame, block_slots: int = 1024) -> DataFrame:
     put together by narrow cells of their logarithm, the cells' counts are run up, and the median is picked from its
     cell. No task holds or sorts a series.
     """
-    cut = one.withColumn("_b", floor_div(F.col("at"), F.col("slot_us") * block_slots))
+    cut = one if "_b" in one.columns else one.withColumn("_b", floor_div(F.col("at"), F.col("slot_us") * block_slots))
     inside = Window.partitionBy(*SERIES, "_b").orderBy("at")
     rate = lambda was_at, was: F.pow(F.col("value") - was, F.lit(2.0)) / F.greatest((F.col("at") - was_at) / F.col("slot_us"), F.lit(0.25))
     told = cut.withColumns({"_t": F.lag("at").over(inside), "_u": F.lag("value").over(inside), "_last": F.lead("at").over(inside).isNull()})
@@ -216,11 +216,14 @@ def regular_grid(readings: DataFrame, slot_us: Column, block_slots: int = 1024,
     give an empty result; other columns are dropped.
     """
     good = F.col("at").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value") & slot_us.isNotNull() & (slot_us > 0)
-    one = readings.where(good).groupBy(*SERIES, "at", slot_us.cast("long").alias("slot_us")).agg(F.avg("value").alias("value"))
     width = F.col("slot_us") * block_slots
-    near = with_halo(one, F.col("at"), width, F.col("slot_us") * halo_slots)
+    # readings are placed by block once: averages, moves and the blocks' ends all find them there
+    placed = readings.where(good).select(*SERIES, "at", "value", slot_us.cast("long").alias("slot_us")).withColumn("_b", floor_div(F.col("at"), width)).repartition(*SERIES, "_b")
+    one = placed.groupBy(*SERIES, "_b", "at", "slot_us").agg(F.avg("value").alias("value"))
+    near = with_halo(one.drop("_b"), F.col("at"), width, F.col("slot_us") * halo_slots)
     near = near.select(*SERIES, "block", "slot_us", "at", "value", F.when(F.col("own"), 0).otherwise(1).alias("role"))
-    ends = one.groupBy(*SERIES, "slot_us", floor_div(F.col("at"), width).alias("block")).agg(F.min(F.struct("at", "value")).alias("a"), F.max(F.struct("at", "value")).alias("z"))
+    ends = one.groupBy(*SERIES, "slot_us", "_b").agg(F.min(F.struct("at", "value")).alias("a"), F.max(F.struct("at", "value")).alias("z"))
+    ends = ends.withColumnRenamed("_b", "block")
     order = Window.partitionBy(*SERIES).orderBy("block")
     bridges = ends.select(*SERIES, "slot_us", "block", F.array_compact(F.array(F.lag("z").over(order), F.lead("a").over(order))).alias("both"))
     bridges = bridges.select(*SERIES, "block", "slot_us", F.inline("both")).withColumn("role", F.lit(1))
