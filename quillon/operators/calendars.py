@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillon.operators.bars import market_open
@@ -119,12 +120,7 @@ def holidays(currency: str, year: int) -> set[dt.date]:
     if currency == "USD":
         return {d + DAY if d.weekday() == SUN else d for d in days if d.weekday() != 5}
     if currency == "JPY":
-        days |= set(equinoxes(year))
-        days |= {d + DAY for d in days if d + 2 * DAY in days and (d + DAY).weekday() != SUN}
-        for sunday in sorted(d for d in days if d.weekday() == SUN):
-            free = next(sunday + DAY * k for k in range(1, 9) if sunday + DAY * k not in days)
-            days.add(free)
-        return days | {dt.date(year, 1, 2), dt.date(year, 1, 3), dt.date(year, 12, 31)}
+        return japanese(days | set(equinoxes(year)), year)
     movable = MOVABLE.get(currency, set())
     late = sorted(d for d in days if d.weekday() > 4 and (d.month, d.day) in movable)
     days -= set(late)
@@ -133,28 +129,70 @@ def holidays(currency: str, year: int) -> set[dt.date]:
     return days
 
 
+def japanese(named: set[dt.date], year: int) -> set[dt.date]:
+    """The year's named days with those that follow from them: days between two of them, the day for one on a Sunday, and
+    the banks' own days at the turn of the year. Worked out on a row of marks, one a day."""
+    first = dt.date(year, 1, 1)
+    marks = np.zeros(377, dtype=bool)  # a few days of the next year too
+    marks[[(d - first).days for d in named]] = True
+    sunday = (np.arange(len(marks)) + first.weekday()) % 7 == SUN
+    between = np.r_[False, marks[:-1]] & np.r_[marks[1:], False] & ~sunday
+    marks |= between
+    for late in np.flatnonzero(marks & sunday):
+        marks[late + int(np.argmin(marks[late:]))] = True
+    return {first + DAY * int(k) for k in np.flatnonzero(marks)} | {dt.date(year, 1, 2), dt.date(year, 1, 3), dt.date(year, 12, 31)}
+
+
 def holiday_table(spark: SparkSession, years: range) -> DataFrame:
     """cur, day: some fifty rows a year, built on the driver."""
     rows = [(cur, day) for cur in RULES for year in years for day in sorted(holidays(cur, year))]
     return spark.createDataFrame(rows, "cur string, day date")
 
 
+class BusinessDays:
+    """Which days are open in each currency from a first day on, as a row of marks, and look-ups of the next open day."""
+
+    def __init__(self, first: dt.date, last: dt.date, closed: dict[str, set[dt.date]] | None = None):
+        closed = closed or {c: set().union(*(holidays(c, y) for y in range(first.year, last.year + 1))) for c in RULES}
+        self.first, self.size = first, (last - first).days + 1
+        weekend = (np.arange(self.size) + first.weekday()) % 7 > 4
+        self.open: dict[str, np.ndarray] = {}
+        for currency, days in closed.items():
+            marks = ~weekend
+            marks[[(day - first).days for day in days if first <= day <= last]] = False
+            self.open[currency] = marks
+
+    def following(self, currencies: set[str]) -> np.ndarray:
+        """For each day the first day, it or a later one, that is open in all the currencies; past the end the end."""
+        both = np.logical_and.reduce([self.open[c] for c in sorted(currencies)])
+        at = np.where(both, np.arange(self.size), self.size - 1)
+        return np.minimum.accumulate(at[::-1])[::-1]
+
+    def spots(self, base: str, quote: str, days: int) -> np.ndarray:
+        """Value day of a trade on each day: ``days`` open days on, those before the last of the currencies without the
+        dollar, the last of both and the dollar."""
+        every = self.following({base, quote, "USD"})
+        others = self.following({base, quote} - {"USD"})
+        step = lambda at, row: row[np.minimum(at + 1, self.size - 1)]
+        at = np.arange(self.size)
+        for _ in range(days - 1):
+            at = step(at, others)
+        return step(at, every)
+
+
+def value_day(trade: dt.date, base: str, quote: str, closed: dict[str, set[dt.date]], days: int) -> dt.date:
+    """Value day of one trade under the days that each currency is closed."""
+    return trade + DAY * int(BusinessDays(trade, trade + DAY * 60, closed).spots(base, quote, days)[0])
+
+
 def spot_date(trade: dt.date, base: str, quote: str, closed: dict[str, set[dt.date]]) -> dt.date:
-    """Two business days on: the first of the currencies other than the dollar, the second of both and the dollar."""
-    day = trade
-    for curs in ([c for c in (base, quote) if c != "USD"], [base, quote, "USD"]):
-        day += DAY
-        while day.weekday() > 4 or any(day in closed[c] for c in curs):
-            day += DAY
-    return day
+    """Two business days on."""
+    return value_day(trade, base, quote, closed, 2)
 
 
 def spot_next_day(trade: dt.date, base: str, quote: str, closed: dict[str, set[dt.date]]) -> dt.date:
     """The next business day of both currencies and the dollar, the market's way for USDCAD."""
-    day = trade + DAY
-    while day.weekday() > 4 or any(day in closed[c] for c in (base, quote, "USD")):
-        day += DAY
-    return day
+    return value_day(trade, base, quote, closed, 1)
 
 
 NEXT_DAY = {"USDCAD"}
@@ -165,19 +203,20 @@ def spot_table(spark: SparkSession, pairs: list[tuple[str, str]], years: range)
 
     ``spot_t1`` and ``roll_days_t1`` are by the next-day rule, for the pairs that the market settles so.
     """
-    closed = {c: set().union(*(holidays(c, y) for y in (*years, years[-1] + 1))) for c in RULES}
+    first, last = dt.date(years[0], 1, 1), dt.date(years[-1], 12, 31)
+    table = BusinessDays(first, last + DAY * 60)
     rows = []
     for base, quote in pairs:
         if base in RULES and quote in RULES:
-            day = dt.date(years[0], 1, 1)
-            while day.year <= years[-1]:
-                nxt, found = day + DAY * (3 if day.weekday() == 4 else 1), []
-                for rule in (spot_date, spot_next_day):
-                    known = rule is spot_date or base + quote in NEXT_DAY
-                    spot = rule(day, base, quote, closed) if known else None
-                    found += [spot, (rule(nxt, base, quote, closed) - spot).days if known else None]
-                rows.append((base + quote, day, *found))
-                day += DAY
+            columns = []
+            for days in (2, 1):
+                spot = table.spots(base, quote, days) if days == 2 or base + quote in NEXT_DAY else None
+                columns.append(spot)
+            for i in range((last - first).days + 1):
+                nxt, found = i + (3 if (first + DAY * i).weekday() == 4 else 1), []
+                for spot in columns:
+                    found += [None, None] if spot is None else [first + DAY * int(spot[i]), int(spot[nxt] - spot[i])]
+                rows.append((base + quote, first + DAY * i, *found))
     return spark.createDataFrame(rows, "pair string, day date, spot date, roll_days int, spot_t1 date, roll_days_t1 int")
 
 
