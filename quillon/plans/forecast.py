@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillon.functions.times import DAY_US, floor_div, micros
-from quillon.operators import bars as B, calendars as K, forecasting as M, joins as J, record as C, season as N, stats as P, text as X, variance as Y, windows as V
+from quillon.operators import bars as B, calendars as K, candles, forecasting as M, joins as J, record as C, season as N, stats as P, text as X, variance as Y, windows as V
 from quillon.plans.indicators import FRAME_SQL
 from quillon.plans.records import SAID
 from quillon.plans.scoring import RETURNS, SLOT, returns
@@ -487,3 +487,10 @@ def roll_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = [(r.base, r.quote) for r in few(table(spark, sf_dir, "fx_pairs").where(F.col("base").isin(*K.RULES) & F.col("quote").isin(*K.RULES)).select("base", "quote").distinct())]
     days = small(K.spot_table(spark, pairs, years).select("pair", "day", "roll_days"), 100_000)
     return shown(N.roll_shift(hours, days, F.col("base_rate") - F.col("quote_rate")), ["shift", "roll_days"])
+
+
+@query("forecast_candles")
+def forecast_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty candles after each daily series."""
+    made = candles.forecast_candles(bars_of(spark, sf_dir).where("tf = '1d'"), 20)
+    return made.select(*SERIES, "k", *(F.round(c, 8).alias(c) for c in ("open", "high", "low", "close")))

@@ -128,3 +128,25 @@ def test_command_line(capsys):
     assert cli.main(["list"]) == 0 and "p1_found" in capsys.readouterr().out
     assert cli.main(["sql", "p1_found"]) == 0 and "SELECT" in capsys.readouterr().out
     assert cli.main(["sql", "nothing"]) == 2
+
+
+def test_candles_are_whole_and_end_where_they_should(spark):
+    from quillon.operators import candles as K
+
+    rng, rows, c = np.random.default_rng(9), [], 1.0
+    days = [T0 + dt.timedelta(days=i) for i in range(600) if (T0 + dt.timedelta(days=i)).weekday() < 5]
+    for t in days:
+        o, c = c, c * float(np.exp(0.01 * rng.standard_normal()))
+        rows.append(("r", "p", "1d", t, o, max(o, c) * 1.002, min(o, c) * 0.998, c, float(np.log(1.5))))
+    rows += [("short", *r[1:]) for r in rows[:100]] + [("flat", "p", "1d", t, 1.0, 1.0, 1.0, 1.0, 0.0) for t in days]
+    df = spark.createDataFrame(rows, "root string, pair string, tf string, bar_time timestamp_ntz, open double, high double, low double, close double, goal double")
+    free = {r.k: r for r in K.forecast_candles(df, 10).collect()}
+    aimed = {r.k: r for r in K.forecast_candles(df, 10, target="goal").collect()}
+    assert sorted(free) == sorted(aimed) == list(range(1, 11)) and {r.root for r in free.values()} == {"r"}
+    for path in (free, aimed):
+        assert all(r.low <= min(r.open, r.close) and max(r.open, r.close) <= r.high for r in path.values())
+        assert abs(path[1].open - c) < 1e-12 and all(abs(path[k].open - path[k - 1].close) < 1e-12 for k in range(2, 11))
+    assert abs(aimed[10].close - 1.5) < 1e-9
+    after = np.random.default_rng(1).standard_normal((12, 4))
+    apart = ((after[:, None] - after[None]) ** 2).sum(axis=(1, 2))
+    assert apart.argmin() == ((after - after.mean(axis=0)) ** 2).sum(axis=1).argmin()
