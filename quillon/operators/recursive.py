@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
 from quillon.functions.times import floor_div, micros
@@ -163,10 +164,12 @@ def side_by_side(values: np.ndarray, group: np.ndarray, alpha: np.ndarray, least
 def recursions(df: DataFrame, n: int = 14, step: float = 0.02, most: float = 0.2) -> DataFrame:
     """All recursive indicators in one pass: macd, macd_signal, macd_hist, rsi, atr, adx, plus_di, minus_di, psar, psar_trend.
 
+    And cci, whose mean deviation isn't decomposable: here its window is a view and not a list a row.
+
     For frames that hold the parabolic stop, whose state machine walks a series in one task anyway; where only
     averages are wanted, ``exponential`` spreads a series over blocks. Series run side by side in numpy.
     """
-    names = ["macd", "macd_signal", "macd_hist", "rsi", "atr", "adx", "plus_di", "minus_di"]
+    names = ["macd", "macd_signal", "macd_hist", "rsi", "atr", "adx", "plus_di", "minus_di", "cci"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in whole_groups(batches, SERIES):
@@ -187,7 +190,7 @@ def recursions(df: DataFrame, n: int = 14, step: float = 0.02, most: float = 0.2
                 rsi_ = np.where(loss == 0, 100.0, 100 - 100 / (1 + gain / np.where(loss == 0, 1.0, loss)))
             stop, trend = stop_and_reverse(high, low, close, group, step, most)
             out = table
-            for name, x in zip(names, (line, signal, line - signal, rsi_, atr_, adx_, plus, minus)):
+            for name, x in zip(names, (line, signal, line - signal, rsi_, atr_, adx_, plus, minus, channel((high + low + close) / 3, group, 20))):
                 out = out.append_column(name, pa.array(x, from_pandas=True))
             yield from out.append_column("psar", pa.array(stop, from_pandas=True)).append_column("psar_trend", pa.array(trend)).to_batches()
 
@@ -196,6 +199,18 @@ def recursions(df: DataFrame, n: int = 14, step: float = 0.02, most: float = 0.2
     return rows.mapInArrow(run, f"root string, pair string, tf string, bar_time timestamp_ntz, {fields}, psar_trend int")
 
 
+def channel(typical: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Typical price against its mean of ``n`` bars, in 0.015 mean absolute deviations; NaN before ``n`` bars or without spread."""
+    out = np.full(len(typical), np.nan)
+    if len(typical) >= n:
+        view = sliding_window_view(typical, n)
+        mean = view.mean(axis=1)
+        spread = np.abs(view - mean[:, None]).mean(axis=1)
+        whole = (group[n - 1 :] == group[: len(group) - n + 1]) & (spread > 1e-12)
+        out[n - 1 :][whole] = (typical[n - 1 :][whole] - mean[whole]) / (0.015 * spread[whole])
+    return out
+
+
 def stop_and_reverse(high: np.ndarray, low: np.ndarray, close: np.ndarray, group: np.ndarray, step: float, most: float) -> tuple[np.ndarray, np.ndarray]:
     """Parabolic stop and trend of each bar, all groups side by side: one numpy step per bar of the longest."""
     first, length = bounds(group)

@@ -120,8 +120,7 @@ def indicator_frame(bars: DataFrame) -> DataFrame:
     df = R.recursions(bars)
     local = F.when(F.col("tf") == "1d", F.col("bar_time")).otherwise(in_zone(F.col("bar_time"), LONDON))
     df = df.withColumn("day", F.when(F.col("tf") == "1d", F.to_date("bar_time")).otherwise(trading_day(local)))
-    df = df.withColumn("typical", (F.col("high") + F.col("low") + F.col("close")) / 3)
-    df = df.withColumns({**{f"sma{n}": V.sma("close", n) for n in (20, 75, 200)}, **V.bollinger("close"), **V.ichimoku(), **V.donchian(), "williams_r": V.williams_r(), "cci": V.cci(), "roc12": V.roc(12)})
+    df = df.withColumns({**{f"sma{n}": V.sma("close", n) for n in (20, 75, 200)}, **V.bollinger("close"), **V.ichimoku(), **V.donchian(), "williams_r": V.williams_r(), "roc12": V.roc(12)})
     df = pivots_within(stochastic(df)).drop("day").withColumnRenamed("pivot", "pivot_point")
     w = series_window()
     a, b = F.lag("span_a", CLOUD_SHIFT).over(w), F.lag("span_b", CLOUD_SHIFT).over(w)
@@ -130,7 +129,7 @@ def indicator_frame(bars: DataFrame) -> DataFrame:
     return df.withColumns({
         "cloud_top": F.when(known, F.greatest(a, b)), "cloud_bottom": F.when(known, F.least(a, b)), "close_26": F.lag("close", CLOUD_SHIFT).over(w),
         "pctb": F.when(width > 0, (F.col("close") - F.col("bb_lower")) / F.nullif(width, F.lit(0.0))),
-    }).drop("span_a", "span_b", "typical")
+    }).drop("span_a", "span_b")
 
 
 def signal_frame(bars: DataFrame) -> DataFrame:
