@@ -232,7 +232,7 @@ def parse_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("events_between", f"""WITH {BARS}, {CALENDAR}, o AS (SELECT root, pair, tf, bar_time, bar_time + INTERVAL 1 DAY AS origin, unnest([substr(pair, 1, 3), substr(pair, 4, 3)]) AS cur FROM bars WHERE tf = '1d'),
 m AS (SELECT o.root, o.pair, o.tf, o.bar_time, impact FROM o JOIN ev ON ev.cur = o.cur AND ev.time > o.origin AND ev.time <= o.origin + INTERVAL 3 DAY AND ev.fetched_at < o.origin + INTERVAL 1 DAY)
-SELECT {KEY}, count(*) FILTER (impact = 'High') AS high, count(*) FILTER (impact = 'Medium') AS medium, round(1 + 0.25 * count(*) FILTER (impact = 'High') + 0.08 * count(*) FILTER (impact = 'Medium'), 6) AS factor FROM m GROUP BY root, pair, tf, bar_time""")
+SELECT {KEY}, count(*) FILTER (impact = 'High') AS high, count(*) FILTER (impact = 'Medium') AS medium, round(CAST(1 + 0.25 * count(*) FILTER (impact = 'High') + 0.08 * count(*) FILTER (impact = 'Medium') AS DOUBLE), 6) AS factor FROM m GROUP BY root, pair, tf, bar_time""")
 def events_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a daily bar's currencies in the three days after it, as known a day after it, and what they add to the variance."""
     daily = bars_of(spark, sf_dir).where("tf = '1d'").withColumn("origin", micros(F.col("bar_time")) + DAY_US)
@@ -275,7 +275,7 @@ def slot_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots by how clear their mean is."""
     used = N.slotted(returns(spark, sf_dir), table(spark, sf_dir, "timeframes"))
     s = N.slot_stats(used, "slot", 5)
-    return s.select(*SERIES, "slot", F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.round(F.abs("t"), 9).desc(), "slot")).alias("place"))
+    return s.select(*SERIES, "slot", F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.round(F.abs("t"), 9).desc(), "slot")).cast("long").alias("place"))
 
 
 @query("step_drift", f"""{SLOTS}, se AS (SELECT *, abs(mean / t) AS se FROM st WHERE t <> 0), tau AS (SELECT root, pair, tf, greatest(0, avg(mean * mean) - avg(se * se)) AS tau2, count(*) AS k FROM se GROUP BY ALL), f AS (SELECT se.*, CASE WHEN k >= 2 THEN tau2 / (tau2 + se * se) ELSE 0 END AS factor FROM se JOIN tau USING (root, pair, tf)),

@@ -126,7 +126,7 @@ def monthly_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.join(m, ["tf", "month"], "left").select("tf", F.date_format("month", "yyyy-MM").alias("month"), F.round(F.sum(F.coalesce("v", F.lit(0.0))).over(w), 5).alias("total"))
 
 
-@query("rule_grid", f"""WITH {SETTLED.format(widths='[1.0, 2.0, 3.0]', holds='[5, 10]')}, q AS (SELECT width, hold, bar_time < TIMESTAMP '2024-01-01' AS tune, r FROM s), g AS (SELECT width, hold, tune, count(*) AS n, round(avg(r), 4) AS mean_r, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(count(*)), 3) AS t FROM q GROUP BY ALL)
+@query("rule_grid", f"""WITH {SETTLED.format(widths='[1.0, 2.0, 3.0]', holds='[5, 10]')}, q AS (SELECT CAST(width AS DOUBLE) AS width, hold, bar_time < TIMESTAMP '2024-01-01' AS tune, r FROM s), g AS (SELECT width, hold, tune, count(*) AS n, round(avg(r), 4) AS mean_r, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(count(*)), 3) AS t FROM q GROUP BY ALL)
 SELECT *, tune AND row_number() OVER (PARTITION BY tune ORDER BY t DESC NULLS LAST, width, hold) = 1 AS chosen FROM g""")
 def rule_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stop width and holding period: trades and mean result before 2024, and the choice by its t."""
