@@ -107,14 +107,24 @@ def pair_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.select(F.date_format(F.date_from_unix_date(F.col("day").cast("int")), "yyyy-MM-dd").alias("day"), "pair", F.round("signal", 6).alias("signal"))
 
 
-@query("prf1", """WITH j AS (SELECT lower(trim(source)) AS source, regexp_matches(text, '[ぁ-ん]') AS said, lower(lang) LIKE 'ja%' AS truth FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
-c AS (SELECT source, count(*) FILTER (said AND truth) AS tp, count(*) FILTER (said AND NOT truth) AS fp, count(*) FILTER (NOT said AND truth) AS fn FROM j GROUP BY source) SELECT source, tp, fp, fn, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c""")
+TITLED = SAID.replace("f AS (", "tf_ AS (").replace("s AS (", "ts AS (").replace("FROM f GROUP", "FROM tf_ GROUP").replace("(text,", "(title,").replace("FROM documents WHERE text IS NOT NULL", f"FROM (SELECT doc_id, published_at, {TITLE} AS title FROM documents WHERE text IS NOT NULL)")
+
+
+@query("prf1", f"""WITH {SAID}, {TITLED}, j AS (SELECT coalesce(s.cur, ts.cur) AS cur, sign(ts.v) AS said, sign(s.v) AS truth FROM s FULL JOIN ts ON s.doc_id = ts.doc_id AND s.cur = ts.cur), c AS (SELECT cur, count(*) FILTER (said = truth AND said <> 0) AS tp, count(*) FILTER (coalesce(said, 0) <> 0 AND said IS DISTINCT FROM truth) AS fp, count(*) FILTER (coalesce(truth, 0) <> 0 AND said IS DISTINCT FROM truth) AS fn FROM j GROUP BY cur)
+SELECT cur, tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c""")
 def prf1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and F1 of finding Japanese by its script against the language column."""
-    d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    said, truth = F.col("text").rlike("[ぁ-ん]"), F.lower("lang").startswith("ja")
-    c = d.groupBy(F.lower(F.trim("source")).alias("source")).agg(F.count_if(said & truth).alias("tp"), F.count_if(said & ~truth).alias("fp"), F.count_if(~said & truth).alias("fn"))
-    return c.withColumn("f1", F.round(2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0)), 6))
+    """How well a document's title alone gives the direction that its whole text gives, by currency: joined on document and currency."""
+    d = table(spark, sf_dir, "documents")
+    truth = X.scores(d).select("doc_id", "cur", F.signum("score").alias("truth"))
+    heads = d.where(F.col("text").isNotNull()).select("doc_id", X.title(F.col("text")).alias("text"))
+    said = X.scores(heads).select("doc_id", "cur", F.signum("score").alias("said"))
+    j = truth.join(said, ["doc_id", "cur"], "full")
+    differ = ~F.col("said").eqNullSafe(F.col("truth"))
+    told = lambda c: F.coalesce(c, F.lit(0.0)) != 0
+    c = j.groupBy("cur").agg(F.count_if((F.col("said") == F.col("truth")) & told("said")).alias("tp"), F.count_if(told("said") & differ).alias("fp"), F.count_if(told("truth") & differ).alias("fn"))
+    part = lambda a, b: F.round(a / F.nullif(b, F.lit(0)), 6)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return c.select("cur", "tp", "fp", "fn", part(tp, tp + fp).alias("precision"), part(tp, tp + fn).alias("recall"), part(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
 @query("json_props", "SELECT event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
@@ -269,9 +279,3 @@ def band_multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half-widths of t-shaped ranges, a driver-built dimension."""
     rows = [(nu, level, round(width, 6)) for nu in (4, 5, 6, 10, 15) for level, width in M.student_bands(nu).items()]
     return spark.createDataFrame(rows, "nu int, level int, half_width double")
-
-
-@query("pricing_summary", """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus""")
-def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("date"))
-    return l.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("n"))

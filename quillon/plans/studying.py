@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from quillon.functions.times import micros
 from quillon.operators import bars as B, calendars as C, studies as S, text as X, trades as T, variance as M
 from quillon.plans.indicators import DAY_SQL, hourly
-from quillon.plans.records import titles
+from quillon.plans.records import SAID, titles
 from quillon.plans.scoring import RETURNS, SETTLED, returns
 from quillon.plans.shared import BARS, KEY, Registry, W, bars_of, shown, stamp
 from quillon.sources.tables import SERIES, few, small, table
@@ -194,12 +194,15 @@ def gbt_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.groupBy("tf").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), 4).alias("accuracy"))
 
 
-@query("source_hours", f"""SELECT lower(trim(source)) AS source, strftime(date_trunc('hour', published_at), '%Y-%m-%d %H') AS hour, count(*) AS n, round(avg(n_chars), 6) AS chars, count(DISTINCT publisher) AS publishers FROM documents WHERE published_at IS NOT NULL GROUP BY lower(trim(source)), date_trunc('hour', published_at)""")
-def source_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly number, mean length and publishers by source."""
+@query("currency_days", f"""WITH {SAID}, e AS (SELECT cur, v, date_trunc('day', published_at) AS h FROM s WHERE published_at IS NOT NULL), g AS (SELECT h, cur, count(*) AS n, avg(round(tanh(v / 1.5), 3)) AS tone FROM e GROUP BY ALL)
+SELECT strftime(h, '%Y-%m-%d') AS day, cur, n, round(tone, 6) AS tone, round(n / sum(n) OVER (PARTITION BY h), 6) AS share FROM g""")
+def currency_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's headlines by currency: number, mean score and share of all of the day."""
     d = table(spark, sf_dir, "documents").where(F.col("published_at").isNotNull())
-    g = d.groupBy(F.lower(F.trim("source")).alias("source"), F.date_trunc("hour", "published_at").alias("t"))
-    return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 6).alias("chars"), F.count_distinct("publisher").alias("publishers")).select("source", F.date_format("t", "yyyy-MM-dd HH").alias("hour"), "n", "chars", "publishers")
+    e = X.scores(d).join(d.select("doc_id", F.date_trunc("day", "published_at").alias("h")), "doc_id")
+    g = e.groupBy("h", "cur").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("tone"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("h"))
+    return g.select(F.date_format("h", "yyyy-MM-dd").alias("day"), "cur", "n", F.round("tone", 6).alias("tone"), F.round(share, 6).alias("share"))
 
 
 @query("candle_stats", f"""WITH {RETURNS}, c AS (SELECT tf, close > open AS up, lead(close > open) OVER ({W}) AS nxt, high - low AS size, avg(high - low) OVER ({W} ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS said FROM r) SELECT tf, count(*) AS n, round(avg(CASE WHEN up = nxt THEN 1.0 ELSE 0.0 END), 6) AS colour, round(avg(abs(size - said) / said), 6) AS size_error FROM c WHERE nxt IS NOT NULL AND said > 1e-9 GROUP BY tf""")
