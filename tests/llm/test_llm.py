@@ -179,7 +179,7 @@ def test_sources_in_any_spelling_count(spark):
 # --- problem 8
 
 OPEN = ["Dear {{name}},", "USD/JPY traded at ${price} today.", "Rates rose by %COUNT% points.", "The euro {verb} 0.3% today.", "円は{{ 通貨ペア }}近辺で推移した。", "Stops below __PRICE__ held.", "[insert currency pair] fell.", "【為替】円は%(price)sまで上昇した。", "Hello {{customer.first-name}}", "Dear <customer_name>, thank you for your order.", "Hi [FIRST_NAME], your statement is ready."]
-# wordings that neither the weak labels' groups nor the made pages hold as they stand
+# not the corpus's wordings, but most match a weak label and three are made pages; for those that don't see FRESH
 PAGES = [
     "500 Internal Server Error", "HTTP 410 Gone", "Sample text only. Replace before release.", "JavaScriptをオンにしてください。", "Oops, that page is missing.", "This site needs cookies; switch them on and reload.", "Your login did time out, sign in once more.",
     "The service is temporarily swamped.", "502 Proxy Error", "お使いの環境ではクッキーが無効です。", "ただいま大変混み合っています。時間をおいてお試しください。", "Error 1020: blocked by firewall", "Please complete the captcha to proceed.", "Dummy dummy dummy dummy dummy dummy",
@@ -191,12 +191,27 @@ FINE = [
 ]
 
 
+# written after the classifier was settled and not used to change it; wordings that a weak label or a made page covers are left out below
+FRESH = [
+    "We could not complete that just now.", "That address leads nowhere.", "Nothing to see at this location.", "Hmm, the link seems broken.",
+    "This content has left our platform.", "Come back in a few minutes.", "The system is busy at present.", "An unexpected condition was met.",
+    "Segmentation fault (core dumped)", "NullReferenceException at Render()", "ORA-00942: table or view does not exist",
+    "Gateway did not answer in time.", "Too many visitors right now.", "You are not authorised for this.", "Subscription lapsed; renew to read on.",
+    "Prove that you are a person.", "Tick the box to go on.", "One more step before you proceed.", "Switch JS on.", "Client-side code is off.",
+    "Dynamic features are turned off on your device.", "Body copy goes in this block.", "Lead paragraph pending.", "Headline to follow.",
+    "Copy to come from editor.", "blah blah blah blah", "aaa bbb ccc aaa bbb ccc", "Text text text.", "表示する内容がありません。", "混雑のため表示を制限しています。",
+    "しばらく時間をあけてください。", "この先は会員の方のみ閲覧できます。", "URLが正しくありません。", "原稿待ち", "本文は後日掲載します。", "あああああああああ", "画像認証をお願いします。",
+    "The pair closed at ~PRICE~ yesterday.", "The yen moved by ??? pips.", "Rates: |RATE|", "Dear CUSTOMER_NAME_HERE,",
+    "The index rose <<<n>>> points.", "Sales came to (amount) in (month).", "円は■■円で引けた。", "ドルは△△まで上げた。",
+]
+
+
 @pytest.fixture(scope="module")
 def learned(spark):
     return R.trained(R.lot_of(R.drawn(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))))
 
 
-def test_unseen_wordings_are_found_and_mentions_are_not(learned):
+def test_other_wordings_are_found_and_mentions_are_not(learned):
     model, _ = learned
     cases = OPEN + PAGES + [f"Market wrap\n\n{p}\nShare this page" for p in PAGES]
     hit = model.probability(T.paged(cases)) >= model.threshold
@@ -205,6 +220,15 @@ def test_unseen_wordings_are_found_and_mentions_are_not(learned):
     assert hit.sum() / (hit.sum() + false.sum()) >= 0.9 and false.sum() <= 1, [c for c, f in zip(FINE, false) if f]
 
 
+def test_wordings_in_no_label(learned):
+    """A record, not a goal: 15 of 40 are found. A linear classifier has nothing to go by where words and forms are all new."""
+    model, _ = learned
+    made = R.made(["a b c"] * 3, np.random.default_rng(0))[0]
+    free = [x for x in FRESH if not any(x in t for t in made) and (p := T.paged([x])) and R.labels(p, T.shared([p])[0]).max() != 1]
+    found = (model.probability(T.paged(free)) >= model.threshold).sum()
+    assert len(free) == 40 and 12 <= found <= 40
+
+
 def test_unseen_publishers(learned):
     model, (documents, positive, found, both) = learned
     assert documents > 1000 and positive > 50 and both >= 0.95 * positive and both >= 0.95 * found
